@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from .sentencepiece_bpe import op6_sentencepiece
 from .sharding import op3_sharding
 
 QUERIES = {
     "op3_sharding": op3_sharding,
+    "op6_sentencepiece": op6_sentencepiece,
 }
 ORACLE_SQL: dict[str, str] = {}
