@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from .language_id import op5_language_id
 from .sentencepiece_bpe import op6_sentencepiece
 from .sharding import op3_sharding
+from .tiff_media import op9_tiff_media
 
 QUERIES = {
     "op3_sharding": op3_sharding,
+    "op5_language_id": op5_language_id,
     "op6_sentencepiece": op6_sentencepiece,
+    "op9_tiff_media": op9_tiff_media,
 }
 ORACLE_SQL: dict[str, str] = {}
