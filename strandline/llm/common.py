@@ -113,9 +113,14 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix(raw + (end - start).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of each document: starts and ends in the bytes, word offsets by document."""
-    inside = ~_SPACE[data]
+def words(
+    data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of each document: starts and ends in the bytes, and word offsets by document.
+
+    ``space`` tells which bytes part words; left alone, words are ``[^\\x20\\x09-\\x0D]+``.
+    """
+    inside = ~space[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     before = np.empty(len(data), bool)
@@ -129,10 +134,10 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of every word (A-Z lower-cased) and the word offsets by document."""
-    starts, ends, at = words(data, offsets)
-    return span_hash(prefix_hash(_LOWER[data] if lower else data), starts, ends), at
+    starts, ends, at = words(data, offsets, space)
+    return span_hash(prefix_hash(_LOWER[data]), starts, ends), at
 
 
 def shingles(hashes: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
