@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from .language_id import op5_language_id
+from .secrets_scan import op10_secret_scan
 from .sentencepiece_bpe import op6_sentencepiece
 from .sharding import op3_sharding
 from .tiff_media import op9_tiff_media
+from .toxicity import op8_toxicity
 
 QUERIES = {
     "op3_sharding": op3_sharding,
     "op5_language_id": op5_language_id,
     "op6_sentencepiece": op6_sentencepiece,
+    "op8_toxicity": op8_toxicity,
     "op9_tiff_media": op9_tiff_media,
+    "op10_secret_scan": op10_secret_scan,
 }
 ORACLE_SQL: dict[str, str] = {}
