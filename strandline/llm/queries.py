@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .language_id import op5_language_id
+from .ngram_join import op1_ngram_jaccard_join
 from .secrets_scan import op10_secret_scan
 from .sentencepiece_bpe import op6_sentencepiece
 from .sharding import op3_sharding
@@ -10,6 +11,7 @@ from .tiff_media import op9_tiff_media
 from .toxicity import op8_toxicity
 
 QUERIES = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op3_sharding": op3_sharding,
     "op5_language_id": op5_language_id,
     "op6_sentencepiece": op6_sentencepiece,
