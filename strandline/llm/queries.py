@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontamination import op7_decontamination
 from .language_id import op5_language_id
 from .ngram_join import op1_ngram_jaccard_join
 from .secrets_scan import op10_secret_scan
@@ -15,6 +16,7 @@ QUERIES = {
     "op3_sharding": op3_sharding,
     "op5_language_id": op5_language_id,
     "op6_sentencepiece": op6_sentencepiece,
+    "op7_decontamination": op7_decontamination,
     "op8_toxicity": op8_toxicity,
     "op9_tiff_media": op9_tiff_media,
     "op10_secret_scan": op10_secret_scan,
