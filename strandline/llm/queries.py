@@ -8,12 +8,14 @@ from .ngram_join import op1_ngram_jaccard_join
 from .secrets_scan import op10_secret_scan
 from .sentencepiece_bpe import op6_sentencepiece
 from .sharding import op3_sharding
+from .suffix_dedup import op4_suffix_dedup
 from .tiff_media import op9_tiff_media
 from .toxicity import op8_toxicity
 
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op3_sharding": op3_sharding,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_language_id": op5_language_id,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_decontamination": op7_decontamination,
