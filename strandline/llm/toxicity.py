@@ -162,6 +162,16 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str] = CATEGOR
     return Chain(rows, lists.values.to_numpy(), got.column("counts").combine_chunks().values.to_numpy(), square("dense"), square("y"))
 
 
+def probabilities(column: pa.Array, chain: Chain | None, n: int) -> np.ndarray:
+    """Of each text, its probability in each of n categories; 0 for texts without words or without a chain."""
+    out = np.zeros((len(column), n))
+    if chain is not None:
+        for first, rows, cols, values, dense in buckets(column):
+            some = np.bincount(rows, minlength=len(dense)) > 0
+            out[first : first + len(dense)] = chain.predict(rows, cols, values, dense) * some[:, None]
+    return out
+
+
 def score(docs: DataFrame, chain: Chain | None, categories: dict[str, str] = CATEGORIES, key: str = "doc_id") -> DataFrame:
     """``key``, p_<category> of each category and ``rejected`` (that of ``REJECT`` is at least 0.5).
 
@@ -173,11 +183,7 @@ def score(docs: DataFrame, chain: Chain | None, categories: dict[str, str] = CAT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = np.zeros((batch.num_rows, len(names)))
-            if shipped.value is not None:
-                for first, rows, cols, values, dense in buckets(batch.column("text")):
-                    some = np.bincount(rows, minlength=len(dense)) > 0
-                    out[first : first + len(dense)] = shipped.value.predict(rows, cols, values, dense) * some[:, None]
+            out = probabilities(batch.column("text"), shipped.value, len(names))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(key), *(pa.array(out[:, k]) for k in range(len(names))), pa.array(out[:, reject] >= THRESHOLD)],
                 [key, *names, "rejected"],
@@ -187,6 +193,18 @@ def score(docs: DataFrame, chain: Chain | None, categories: dict[str, str] = CAT
     return docs.select(key, "text").mapInArrow(run, f"`{key}` {kind}, " + "".join(f"{n} double, " for n in names) + "rejected boolean")
 
 
+def keep_clean(docs: DataFrame, chain: Chain | None, categories: dict[str, str] = CATEGORIES) -> DataFrame:
+    """The rows of ``docs`` that ``score`` doesn't reject, with all their columns."""
+    shipped = docs.sparkSession.sparkContext.broadcast(chain)
+    reject = list(categories).index(REJECT)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(probabilities(batch.column("text"), shipped.value, len(categories))[:, reject] < THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def inputs(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
     return only(docs, doc_id="long", text="string"), only(labels, doc_id="long", quality="int", toxic="int")
 
