@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontamination import op7_decontamination
 from .language_id import op5_language_id
+from .license_scan import op2_license_scan
 from .ngram_join import op1_ngram_jaccard_join
 from .secrets_scan import op10_secret_scan
 from .sentencepiece_bpe import op6_sentencepiece
@@ -14,6 +15,7 @@ from .toxicity import op8_toxicity
 
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_license_scan": op2_license_scan,
     "op3_sharding": op3_sharding,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_language_id": op5_language_id,
