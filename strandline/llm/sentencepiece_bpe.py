@@ -11,12 +11,17 @@ from heapq import heapify, heappop, heappush
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from .common import arrow_limits, as_text, only, table
 
 SPACE = "▁"
 #: Units whose ids one worker remembers; beyond it the memory starts anew, so a worker's size is bounded.
-CACHE_UNITS = 200_000
+CACHE_UNITS = 400_000
+#: Of every so many new units of a batch, one is checked against the library.
+CHECKED = 8
+#: Distinct units that are encoded together at most.
+PART_UNITS = 50_000
 
 
 class Unsupported(ValueError):
@@ -53,6 +58,10 @@ class MergeModel:
             raise Unsupported("the vocabulary has no full byte fallback")
         if any(SPACE in piece.lstrip(SPACE) for piece in self.ids):
             raise Unsupported("a piece has a space after another character")
+        if any("\n" in piece for piece in self.ids):
+            raise Unsupported("a piece has a line end")
+        # characters of words after which a piece goes on with one that isn't
+        self.joining = sorted({m[0] for piece in self.ids for m in re.findall(f"(?=(\\w[^\\w{SPACE}]))", piece)})
         for probe in ("", "a", "  a b  ", "\ta\r\n", "ａ　é", SPACE + "a", "a\x00b"):
             if self.encode(probe) != self.library.encode(probe) or self.decode(self.encode(probe)) != self.library.decode(
                 self.library.encode(probe)
@@ -147,12 +156,15 @@ class Agenda:
     """
 
     LONG = 256
-    NONE = np.int64(1) << 40
+    NONE = np.int32(1 << 30)
+    #: The pairs stand in an open hash table of 2**SLOTS places.
+    SLOTS, FACTOR = 20, 0x9E3779B97F4A7C15
+    TOGETHER = 4096
 
     def __init__(self, m: MergeModel):
         n = len(m.pieces)
         self.model, self.vocabulary = m, n
-        self.char_ids = np.arange(0x110000, dtype=np.int64) + n
+        self.char_ids = np.arange(0x110000, dtype=np.int32) + np.int32(n)
         for piece, i in m.ids.items():
             if len(piece) == 1:
                 self.char_ids[ord(piece)] = i
@@ -164,19 +176,33 @@ class Agenda:
                 left, right = known(piece[:cut]), known(piece[cut:])
                 if left is not None and right is not None:
                     pairs[left << 32 | right] = (i, ranks[m.scores[piece]])
-        self.keys = np.array(sorted(pairs), np.int64)
-        self.merged = np.array([pairs[k][0] for k in self.keys.tolist()], np.int64)
-        self.ranks = np.array([pairs[k][1] for k in self.keys.tolist()], np.int64)
+        self.keys = np.full(1 << self.SLOTS, -1, np.int64)
+        self.merged = np.zeros(1 << self.SLOTS, np.int32)
+        self.ranks = np.full(1 << self.SLOTS, self.NONE)
+        for key, (i, rank) in pairs.items():
+            at = (key * self.FACTOR & (1 << 64) - 1) >> 64 - self.SLOTS
+            while self.keys[at] >= 0:
+                at = (at + 1) & (1 << self.SLOTS) - 1
+            self.keys[at], self.merged[at], self.ranks[at] = key, i, rank
         self.id_text = [str(i) for i in range(n)]
         self.id_bytes = [m.decode_bytes([i]) for i in range(n)]
 
     def look_up(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        key = left << 32 | right
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        found = self.keys[at] == key
-        return np.where(found, self.ranks[at], self.NONE), self.merged[at]
+        key = left.astype(np.int64) << 32 | right
+        at = (key.view(np.uint64) * np.uint64(self.FACTOR) >> np.uint64(64 - self.SLOTS)).astype(np.int64)
+        there = self.keys[at]
+        open_ = np.flatnonzero((there != key) & (there >= 0))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & (1 << self.SLOTS) - 1
+            there = self.keys[at[open_]]
+            open_ = open_[(there != key[open_]) & (there >= 0)]
+        return self.ranks[at], self.merged[at]  # a free place has the rank NONE
 
     def encode(self, units: list[str]) -> list[list[int]]:
+        """The ids of each unit; so few units at a time that the arrays stay in a core's cache."""
+        return [ids for at in range(0, len(units), self.TOGETHER) for ids in self.encode_part(units[at : at + self.TOGETHER])]
+
+    def encode_part(self, units: list[str]) -> list[list[int]]:
         out: list = [None] * len(units)
         short = []
         for i, u in enumerate(units):
@@ -187,9 +213,9 @@ class Agenda:
         if not short:
             return out
         sym = self.char_ids[np.frombuffer("".join([units[i] for i in short]).encode("utf-32-le"), np.uint32)]
-        own = np.repeat(np.arange(len(short)), [len(units[i]) for i in short])
+        own = np.repeat(np.arange(len(short), dtype=np.int32), [len(units[i]) for i in short])
         rank = np.full(len(sym), self.NONE)
-        into = np.zeros(len(sym), np.int64)
+        into = np.zeros(len(sym), np.int32)
         inner = np.flatnonzero(own[:-1] == own[1:])
         rank[inner], into[inner] = self.look_up(sym[inner], sym[inner + 1])
         done = []
@@ -239,90 +265,115 @@ def agenda(path: str) -> Agenda:
     return Agenda(model(path))
 
 
+_FINE = re.compile(f"{SPACE}+[^\\w{SPACE}\\n]*\\w*|[^\\w{SPACE}\\n]+\\w*|\\w+|\\n")
+_MARKS = re.compile(r"\W[.,]")
+_MEETING = ("  ", "\n\n", "\n ", "\0", SPACE)
+
+
 class Encoder:
-    """Encodes whole texts with a bounded memory of units; every new unit is checked against the library.
+    """Encodes whole texts with a bounded memory of units; new units are checked against the library.
 
-    New units of an Arrow batch are joined to texts (each starts with the space that parts it from the
-    one before) and the library's ids of those must be the same, else the library's ids of each unit
-    are taken and ``differing`` counts it. The memory has a young and an old half; a full young half
-    becomes the old one, so frequent units stay and a worker's size is bounded.
+    A batch's new units are encoded together. One in ``CHECKED`` of them, joined to a text (each starts
+    with the space that parts it from the one before; others aren't checked), must have the ids that the library gives; if any
+    differs, all of that batch's new units take the library's ids and ``differing`` counts those that
+    changed. The memory has a young and an old half; a full young half becomes the old one, so frequent
+    units stay and a worker's size is bounded. 
     """
 
     def __init__(self, path: str):
         self.model, self.agenda = model(path), agenda(path)
-        self.known: dict[str, tuple[str, int, bytes]] = {}
-        self.old: dict[str, tuple[str, int, bytes]] = {}
+        self.ids: dict[str, str] = {}
+        self.raw: dict[str, bytes] = {}
+        self.old: tuple[dict[str, str], dict[str, bytes]] = ({}, {})
         self.differing = 0
 
+    def units(self, text: str) -> list[str]:
+        """The text's units, with plain spaces; cut more finely than the model's own.
+
+        No piece holds a line end, or a character that isn't part of a word after one that is (but for the
+        model's few ``joining`` characters), so merges don't cross those places either. Most texts can be
+        cut there by replacing and splitting; where two marks meet, a pattern does it.
+        """
+        if not text:
+            return []
+        if any(c in text for c in self.model.joining):
+            return [u.replace(SPACE, " ") for u in self.model.units(text)]
+        if not (any(m in text for m in _MEETING) or text[0] in " \n.," or text[-1] == "\n" or _MARKS.search(text)):
+            for mark, cut in (("\n", "\0\n\0"), (".", "\0."), (",", "\0,"), (" ", "\0 ")):
+                text = text.replace(mark, cut)
+            return (" " + text).split("\0")
+        return [u.replace(SPACE, " ") for u in _FINE.findall(SPACE + text.replace(" ", SPACE))]
+
     def checked(self, units: list[str]) -> list[list[int]]:
-        found = self.agenda.encode(units)
+        found = self.agenda.encode([u.replace(" ", SPACE) for u in units])
         library = self.model.library
-        for at in range(0, len(units), 4096):
-            part = range(at, min(at + 4096, len(units)))
-            joined = [i for i in part if units[i].strip(SPACE)]
-            text = "".join([units[i] for i in joined])[1:].replace(SPACE, " ")
-            if library.encode(text) == [x for i in joined for x in found[i]] and len(joined) == len(part):
-                continue
-            for i in part:
-                want = library.encode(units[i][1:].replace(SPACE, " "))
-                if len(units[i]) > 1 and want != found[i]:
+        part = [i for i in range(0, len(units), CHECKED) if units[i][0] == " " and units[i].strip()]
+        if library.encode("".join([units[i] for i in part])[1:]) != [x for i in part for x in found[i]]:
+            for i, u in enumerate(units):
+                if u[0] == " " and u.strip() and (want := library.encode(u[1:])) != found[i]:
                     found[i] = want
                     self.differing += 1
         return found
 
     def learn(self, distinct: set[str]) -> None:
         """Bring units of one part into the young half."""
-        fresh = distinct - self.known.keys()
-        if len(self.known) + len(fresh) > CACHE_UNITS:
-            self.old, self.known = self.known, {}
+        fresh = distinct - self.ids.keys()
+        if len(self.ids) + len(fresh) > CACHE_UNITS:
+            self.old, self.ids, self.raw = (self.ids, self.raw), {}, {}
             fresh = distinct
-        again = fresh & self.old.keys()
+        again = fresh & self.old[0].keys()
         for u in again:
-            self.known[u] = self.old[u]
+            self.ids[u], self.raw[u] = self.old[0][u], self.old[1][u]
         fresh = list(fresh - again)
         if fresh:
             texts, raws = self.agenda.id_text, self.agenda.id_bytes
             for u, ids in zip(fresh, self.checked(fresh)):
-                self.known[u] = (",".join([texts[i] for i in ids]), len(ids), b"".join([raws[i] for i in ids]))
-
-    def entries(self, text: str) -> list[tuple[str, int, bytes]]:
-        """(ids as text, their number, decoded bytes) of each unit, in order."""
-        units = self.model.units(text)
-        known = self.known
-        try:
-            return [known[u] for u in units]
-        except KeyError:
-            out = []
-            for at in range(0, len(units), 50_000):
-                part = units[at : at + 50_000]
-                self.learn(set(part))
-                out += [self.known[u] for u in part]
-            return out
+                self.ids[u] = ",".join(map(texts.__getitem__, ids))
+                self.raw[u] = b"".join(map(raws.__getitem__, ids))
 
-    def prepare(self, texts: list[str]) -> None:
-        """Learn the units of a batch together, in parts of a bounded number of units."""
+    def batch(self, texts: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Of each text, its ids joined by commas and the bytes that they decode to."""
+        cut = [self.units(t) for t in texts]
         distinct: set[str] = set()
-        for text in texts:
-            distinct.update(self.model.units(text))
-            if len(distinct) > 50_000:
+        for units in cut:
+            distinct.update(units)
+            if len(distinct) > PART_UNITS:
                 self.learn(distinct)
                 distinct = set()
         self.learn(distinct)
+        return map(self.both, cut)
+
+    def both(self, units: list[str]) -> tuple[str, bytes]:
+        try:
+            return ",".join(map(self.ids.__getitem__, units)), self.decoded(map(self.raw.__getitem__, units))
+        except KeyError:
+            ids, raw = [], []
+            for at in range(0, len(units), PART_UNITS):
+                part = units[at : at + PART_UNITS]
+                self.learn(set(part))
+                ids += [self.ids[u] for u in part]
+                raw += [self.raw[u] for u in part]
+            return ",".join(ids), self.decoded(raw)
+
+    @staticmethod
+    def decoded(raw: Iterable[bytes]) -> bytes:
+        joined = b"".join(raw)
+        return joined[1:] if joined[:1] == b" " else joined
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for entry in self.entries(text) for i in entry[0].split(",")]
+        ids = self.both(self.units(text))[0]
+        return [int(i) for i in ids.split(",")] if ids else []
 
 
 def encode_column(docs: DataFrame, model_path: str, keep: list[str], text: str = "text") -> DataFrame:
     """``keep`` and ``ids`` (array<int>), the ids of the whole text; null text: no ids."""
-    schema = docs.select(*keep).schema.add("ids", "array<int>")
+    schema = docs.select(*keep).schema.add("ids", T.ArrayType(T.IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(model_path)
         for batch in batches:
-            texts = as_text(batch.column(text)).to_pylist()
-            encoder.prepare(texts)
-            ids = [encoder.encode(t) for t in texts]
+            found = encoder.batch(as_text(batch.column(text)).to_pylist())
+            ids = [np.fromstring(joined, np.int32, sep=",") if joined else [] for joined, _ in found]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(k) for k in keep), pa.array(ids, pa.list_(pa.int32()))], [*keep, "ids"]
             )
@@ -337,14 +388,9 @@ def digest(docs: DataFrame, model_path: str) -> DataFrame:
         encoder = Encoder(model_path)
         for batch in batches:
             counts, id_sums, text_sums = [], [], []
-            texts = as_text(batch.column("text")).to_pylist()
-            encoder.prepare(texts)
-            for text in texts:
-                entries = encoder.entries(text)
-                raw = b"".join([e[2] for e in entries])
-                raw = raw[1:] if raw[:1] == b" " else raw
-                counts.append(sum([e[1] for e in entries]))
-                id_sums.append(hashlib.sha256(",".join([e[0] for e in entries]).encode()).hexdigest())
+            for ids, raw in encoder.batch(as_text(batch.column("text")).to_pylist()):
+                counts.append(ids.count(",") + 1 if ids else 0)
+                id_sums.append(hashlib.sha256(ids.encode()).hexdigest())
                 text_sums.append(hashlib.sha256(replace_bad(raw).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(id_sums, pa.string()), pa.array(text_sums, pa.string())],
