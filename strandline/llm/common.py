@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 #: Rows and bytes that one Arrow batch to Python holds at most; both bound a worker's memory.
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 #: Bytes of text that one vectorised block holds, apart from a single longer document.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 256 << 10
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

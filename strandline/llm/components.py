@@ -16,14 +16,14 @@ def components(edges: DataFrame) -> DataFrame:
     A round sends every id to the smallest of itself and its neighbours and rewrites the edges through
     that map, which keeps what is connected; the smallest id of a component always stays itself. Rounds
     go on until no edge joins two ids; the number of edges falls in each. All tables stay distributed,
-    each round's map and edges are written to the checkpoint folder, and every grouping is a minimum,
+    each round's edges are written to the checkpoint folder, and every grouping is a minimum,
     which Spark computes partly before it shuffles.
     """
     edges = cut_lineage(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     maps: list[DataFrame] = []
     while not edges.isEmpty():
         both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        step = cut_lineage(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("to")).withColumnRenamed("a", "id"))
+        step = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("to")).withColumnRenamed("a", "id")
         maps.append(step)
         edges = (
             edges.join(step.select(F.col("id").alias("a"), F.col("to").alias("p")), "a")

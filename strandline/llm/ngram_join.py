@@ -39,7 +39,7 @@ from .components import components
 #: Ratio of a size band's ends.
 RATIO = 1.5
 #: Keys that a task gathers before it joins what meets within them.
-GATHER = 1 << 20
+GATHER = 256 << 10
 
 
 @dataclass(frozen=True)
@@ -281,12 +281,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     about = cut_lineage(profile(docs, k))
     known = about.where("n > 0 AND doc_id IS NOT NULL")
     classes = cut_lineage(known.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.min("s1").alias("s1"), F.min("s2").alias("s2")))
-    largest = classes.agg(F.max("n")).first()[0] or 0
-    edges_of = bands(largest)
+    edges_of = bands(1 << 31)
     band = F.lit(len(edges_of))
     for i, (_, high) in reversed(list(enumerate(edges_of))):
         band = F.when(F.col("n") <= high, F.lit(i)).otherwise(band)
-    counts = {r[0]: r[1] for r in classes.groupBy(band.alias("band")).count().collect()}  # a row for each band
+    sizes = classes.groupBy(band.alias("band")).agg(F.count(F.lit(1)), F.max("n")).collect()  # a row for each band
+    counts, largest = {r[0]: r[1] for r in sizes}, max((r[2] for r in sizes), default=0)
     schemes = allocate(counts, percent, largest)
     met = cut_lineage(meetings(docs.where("doc_id IS NOT NULL"), k, schemes))
 
