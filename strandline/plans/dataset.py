@@ -29,15 +29,30 @@ class Stream:
         return self.data if self.data is not None else spark.read.parquet(self.path)
 
 
+#: Ranges into which rows are cut before they are numbered, and about how many keys are looked at for the cuts.
+RANGES, SAMPLED = 200, 4000
+
+
 def numbered(df: DataFrame, order: Sequence[str]) -> DataFrame:
-    """Put a global 0-based ``sample_idx`` along ``order`` (which tells rows apart) without sorting in one task:
-    rows are range-partitioned, numbered in each part and moved by the sizes of the parts before."""
-    spread = df.repartitionByRange(*map(quoted, order)).withColumn("_part", F.spark_partition_id())
-    inside = spread.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy(*map(quoted, order))))
-    sizes = spread.groupBy("_part").count()  # a row for each part
-    before = F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = F.broadcast(sizes.select("_part", before.alias("_start")))
-    return inside.join(starts, "_part").select((F.col("_start") + F.col("_n") - 1).cast("long").alias("sample_idx"), *map(quoted, df.columns))
+    """Put a global 0-based ``sample_idx`` along ``order`` (which tells rows apart) without sorting in one task.
+
+    Keys chosen by their hash, about ``SAMPLED`` of them, give the cuts of ``RANGES`` ranges; a row's range
+    depends on its key and the cuts alone, so a task that runs again gives the same. Rows are numbered in
+    their range and moved by the sizes of the ranges before, a table of a row for each.
+    """
+    key = F.struct(*(quoted(c).alias(f"c{i}") for i, c in enumerate(order)))
+    one_in = max(1, df.count() // SAMPLED)
+    some = df.where(F.pmod(F.xxhash64(*map(quoted, order)), F.lit(one_in)) == 0).select(key.alias("k")).distinct()
+    place = F.row_number().over(Window.orderBy("k"))
+    ranked = some.select("k", place.alias("r"), F.count(F.lit(1)).over(Window.partitionBy()).alias("n"))
+    step = F.greatest(F.floor(F.col("n") / RANGES), F.lit(1))
+    cuts = ranked.where(F.col("r") % step == 0).agg(F.collect_list("k").alias("_cuts"))  # RANGES keys or a few more
+    dealt = df.join(F.broadcast(cuts)).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < key))).drop("_cuts")
+    inside = dealt.withColumn("_n", F.row_number().over(Window.partitionBy("_range").orderBy(*map(quoted, order))))
+    sizes = dealt.groupBy("_range").count()
+    before = F.coalesce(F.sum("count").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = F.broadcast(sizes.select("_range", before.alias("_start")))
+    return inside.join(starts, "_range").select((F.col("_start") + F.col("_n") - 1).cast("long").alias("sample_idx"), *map(quoted, df.columns))
 
 
 class SampleSet:
