@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from .common import arrow_limits, as_text, only, table
 
@@ -265,8 +266,9 @@ def read_pages(media: DataFrame, keep: list[str], content: str = "content") -> D
     ``error``; content without a directory gives none.
     """
     schema = media.select(*keep).schema
-    for name, kind in (("page", "int"), ("height", "int"), ("width", "int"), ("samples", "int"), ("bits", "int"), ("data", "binary"), ("error", "string")):
-        schema = schema.add(name, kind)
+    for name in ("page", "height", "width", "samples", "bits"):
+        schema = schema.add(name, T.IntegerType())
+    schema = schema.add("data", T.BinaryType()).add("error", T.StringType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
