@@ -6,6 +6,7 @@ import math
 import random
 import re
 import string
+from bisect import bisect_left as bisect
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -44,7 +45,7 @@ def bare(value: str) -> str:
 def candidates(text: str) -> list[tuple[int, int, str]]:
     """(start, end, pattern) of every candidate, by place; of overlapping ones the earliest named pattern stays."""
     found: list[tuple[int, int, str]] = []
-    taken: list[tuple[int, int]] = []
+    taken: list[tuple[int, int]] = []  # by place, apart from each other
     hinted = _HINT.search(text) is not None
     for name, pattern in PATTERNS.items():
         if name != "random" and not hinted:
@@ -52,9 +53,10 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
         for m in pattern.finditer(text):
             start = m.start("value")
             end = m.end("value") if name == "private_key" else start + len(bare(m["value"]))
-            if end - start >= 8 and not any(a < end and start < b for a, b in taken):
+            at = bisect(taken, (end,))
+            if end - start >= 8 and not (at and taken[at - 1][1] > start):
                 found.append((start, end, name))
-        taken = [(a, b) for a, b, _ in found]
+        taken = sorted((a, b) for a, b, _ in found)
     return sorted(found)
 
 
