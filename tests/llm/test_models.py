@@ -1,0 +1,121 @@
+"""Language ID, toxicity, secrets and licences: held-out accuracy and odd rows."""
+
+from __future__ import annotations
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from strandline.llm import language_id, license_scan, secrets_scan, toxicity
+from strandline.llm.common import arrow_limits, only
+
+from .conftest import ODD
+
+SF = "/root/testdata/sf0.01"
+
+
+def two(df):
+    return only(df, doc_id="long", text="string")
+
+
+def test_language_id(spark, frame):
+    arrow_limits(spark)
+    docs = only(spark.read.parquet(f"{SF}/documents.parquet"), doc_id="long", text="string", lang="string")
+    model = language_id.fit(docs)
+    got = language_id.identify(docs, model).join(docs, "doc_id")
+    right = got.where("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0]
+    assert right > 0.97
+    assert got.where("held_out <> (crc32(cast(doc_id as string)) % 3 = 1) OR score < 0 OR score > 1").count() == 0
+    odd = {(r.doc_id, r.lang_pred, r.score > 0) for r in language_id.identify(two(frame(ODD)), model).collect()}
+    assert {(900, "und", False), (901, "und", False), (902, "und", False)} <= odd
+    assert language_id.identify(two(frame([])), model).count() == 0
+    empty = language_id.fit(docs.limit(0))
+    assert {r.lang_pred for r in language_id.identify(two(frame(ODD)), empty).collect()} == {"und"}
+
+
+def test_unseen_words_back_off():
+    m = language_id.Model([("en", 0, "the", 9), ("de", 0, "das", 9), ("en", 4, "wing", 5), ("de", 4, "schw", 5), ("de", 1, "z", 3), ("en", 1, "e", 3)])
+    at = {lang: i for i, lang in enumerate(m.langs)}
+    for word, lang in (("the", "en"), ("wing", "en"), ("schwung", "de"), ("zz", "de")):
+        assert m.word(word)[at[lang]] == max(m.word(word)) and min(m.word(word)) < max(m.word(word))
+    assert not m.word("1").any()
+
+
+def test_toxicity(spark, frame):
+    arrow_limits(spark)
+    docs, labels = toxicity.inputs(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet"))
+    fitting, rest = labels.where("doc_id % 3 <> 0"), labels.where("doc_id % 3 = 0 AND quality = 1")
+    chain = toxicity.fit(docs, fitting)
+    got = toxicity.score(docs, chain).join(rest, "doc_id")
+    caught, toxic, wrong, clean = got.agg(
+        *(F.sum(F.expr(e).cast("int")) for e in ("rejected AND toxic = 1", "toxic = 1", "rejected AND toxic = 0", "toxic = 0"))
+    ).first()
+    assert caught >= 0.6 * toxic and wrong <= 0.02 * clean
+    odd = toxicity.score(two(frame(ODD)), chain)
+    assert odd.count() == len(ODD) and odd.where("doc_id IN (900, 901, 902) AND (rejected OR p_toxic > 0)").count() == 0
+    kept = toxicity.keep_clean(frame(ODD), chain)
+    assert kept.columns == frame(ODD).columns and kept.where("text IS NULL").count() == 2
+    assert toxicity.fit(docs, labels.limit(0)) is None and toxicity.score(two(frame(ODD)), None).where("rejected").count() == 0
+    assert toxicity.score(two(frame([])), chain).count() == 0
+
+
+def test_secrets(spark, frame):
+    arrow_limits(spark)
+    forest = secrets_scan.default_forest()
+    held = secrets_scan.labelled_findings(400, seed=99)
+    right = sum(bool(secrets_scan.secrets(line, forest)) == bool(label) for line, label in held)
+    assert right >= 0.95 * len(held)
+    value = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    rows = [*ODD, (1, f'tells token = "{value}"### and on'), (2, "commit 24be64439e3e49cf46b2d7c90f3602a3d0b907ff"), (3, "only words here")]
+    got = [tuple(r) for r in secrets_scan.scan(two(frame(rows))).collect()]
+    assert [(d, rows[-3][1][s:e]) for d, s, e, *_ in got] == [(1, value)]
+    masked = {r.doc_id: r.text for r in secrets_scan.redact(frame(rows)).collect()}
+    assert masked[1] == 'tells token = "[REDACTED]"### and on' and masked[3] == "only words here" and masked[900] is None
+    assert secrets_scan.scan(two(frame([]))).count() == 0
+
+
+def brute_license(text):
+    best = {}
+    for _, _, block in license_scan.blocks_of(text):
+        own = license_scan.bigrams(license_scan.normalise(block))
+        top = max(((license_scan.dice(own, license_scan.bigrams(license_scan.normalise(t))), -i, n) for i, (n, t) in enumerate((n, t) for n, ts in license_scan.TEMPLATES.items() for t in ts)))
+        if top[0] >= license_scan.THRESHOLD:
+            c = best.setdefault(top[2], [0, 0.0])
+            best[top[2]] = [c[0] + 1, max(c[1], top[0])]
+    return best
+
+
+def test_licenses(spark, frame):
+    arrow_limits(spark)
+    rng = random.Random(3)
+    lines = [t for ts in license_scan.TEMPLATES.values() for t in ts] + ["some plain words that say nothing", "", "MIT"]
+    rows = list(ODD)
+    for i in range(60):
+        words = [w if rng.random() > 0.05 else "other" for line in rng.choices(lines, k=3) for w in [*line.split(" "), "\n"]]
+        rows.append((i, " ".join(words).replace(" \n ", "\n\n" if i % 3 else "\n")))
+    got: dict = {}
+    for r in license_scan.scan(two(frame(rows))).collect():
+        got.setdefault(r.doc_id, {})[r.license] = [r.matches, r.dice]
+    want = {d: f for d, t in rows if d is not None and t and (f := brute_license(t))}
+    assert got == want
+    assert license_scan.scan(two(frame([]))).count() == 0
+
+
+def test_pipeline(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    odd = docs.unionByName(spark.createDataFrame([(None, None, None, None, None), (9001, None, "en", "s", 0), (9002, "", "en", "s", 0)], docs.schema))
+    columns, kept = odd.columns, odd
+    for name, stage in pipeline.STAGES[:-1]:
+        before = kept.count()
+        kept = stage(spark, kept, sf).cache()
+        assert kept.columns == columns and kept.count() <= before, name
+        assert {9001, 9002} <= {r[0] for r in kept.select("doc_id").collect()}, name
+    encoded = pipeline.STAGES[-1][1](spark, kept, sf)
+    assert encoded.count() == kept.count() and encoded.where("n_tokens <> size(ids)").count() == 0
+    texts = {r.doc_id: r.text for r in kept.collect()}
+    first = {}
+    for i in sorted(x for x in texts if x is not None and texts[x]):
+        assert first.setdefault(texts[i], i) == i
