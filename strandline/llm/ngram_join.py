@@ -16,10 +16,11 @@ segments; a similar pair differs little in most of them.
   chance meetings to expect among the band's sets, from the band's number of sets, counted over the corpus.
 
 Sets that share a key meet. Each meets the smallest id there first (a star, so the pairs grow with the
-keys and not with their square), pairs are verified exactly, and links give components. Pairs of one key
-that are then in different components are compared as well, under a bound on their difference from a
-128-bit parity sketch; pairs in the same component need no comparison. So no link between two components
-is lost. Equal sets are one set throughout.
+keys and not with their square), pairs are verified exactly, and links give components. Where a key's
+members are in different components, they are held against another of them, chosen by hash, ROUNDS times,
+which joins nearly all that belong together at a cost in proportion to the members. Pairs of one key that
+are still apart are then all compared, but for those that sizes and a 128-bit parity sketch rule out;
+pairs in one component need no comparison. So no link between two components is lost. Equal sets are one set throughout.
 """
 
 from __future__ import annotations
@@ -40,6 +41,9 @@ from .components import components
 RATIO = 1.5
 #: Keys that a task gathers before it joins what meets within them.
 GATHER = 256 << 10
+#: Times that members of a key in different components are held against one of them, chosen by hash, before
+#: those that are still apart are held against each other.
+ROUNDS = 2
 
 
 @dataclass(frozen=True)
@@ -301,28 +305,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     # members of one key in different components: the pairs that the stars left open
     members = met.select("key", F.col("lead").alias("id")).unionAll(met.select("key", F.col("doc").alias("id")))
     members = members.distinct().join(rep, "id").select("key", "rep").distinct()
-    members = members.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").select(
-        "key", "rep", F.coalesce("component", "rep").alias("c")
-    )
-    mixed = members.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("m")).where("low < high AND m > 2")
-    open_ = members.join(mixed.select("key"), "key").join(classes.select("rep", "n", "s1", "s2"), "rep")
-    open_ = cut_lineage(open_)
-    other = open_.select(F.col("key").alias("o_key"), *(F.col(c).alias(f"o_{c}") for c in ("rep", "c", "n", "s1", "s2")))
-    apart = F.bit_count(F.col("s1").bitwiseXOR(F.col("o_s1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("o_s2")))
-    at_most = F.floor((F.col("n") + F.col("o_n")) * (100 - percent) / (100 + percent))
-    more = (
-        open_.join(
-            other,
-            (F.col("key") == F.col("o_key")) & (F.col("c") != F.col("o_c")) & (F.col("rep") < F.col("o_rep")) & (apart <= at_most)
-            & (F.least("n", "o_n") * 100 >= F.greatest("n", "o_n") * percent),
-        )
-        .select(F.col("rep").alias("a"), F.col("o_rep").alias("b"))
-        .distinct()
-        .join(pairs, ["a", "b"], "left_anti")
-    )
-    more = cut_lineage(more)
-    if not more.isEmpty():
-        found = components(links.unionAll(verified(docs, more, k, percent)))
+    members = members.join(classes.select("rep", "n", "s1", "s2"), "rep")
+    for salt in range(ROUNDS):
+        members = cut_lineage(_open(members, found))
+        if members.isEmpty():
+            break
+        lead = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", F.lit(salt)), F.col("rep").alias("o_rep"), F.col("c").alias("o_c"), F.col("n").alias("o_n"), F.col("s1").alias("o_s1"), F.col("s2").alias("o_s2"))).alias("o"))
+        found, links, pairs = _link(docs, members.join(lead.select("key", "o.*"), "key").where(_may_link(percent)), found, links, pairs, k, percent)
+    members = cut_lineage(_open(members, found))
+    other = members.select(F.col("key").alias("o_key"), *(F.col(c).alias(f"o_{c}") for c in ("rep", "c", "n", "s1", "s2")))
+    both = members.join(other, (F.col("key") == F.col("o_key")) & (F.col("rep") < F.col("o_rep")) & _may_link(percent))
+    found, links, pairs = _link(docs, both, found, links, pairs, k, percent)
     whole = rep.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left")
     whole = whole.groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("component"))
     return about.join(whole.withColumnRenamed("id", "doc_id"), "doc_id", "left").select(
@@ -330,6 +323,33 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     )
 
 
+def _open(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Members of keys that more than one component shares, with their component ``c``."""
+    named = found.select(F.col("id").alias("rep"), "component")
+    members = members.select("key", "rep", "n", "s1", "s2").join(named, "rep", "left")
+    members = members.withColumn("c", F.coalesce("component", "rep")).drop("component")
+    mixed = members.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
+    return members.join(mixed.select("key"), "key")
+
+
+def _may_link(percent: int):
+    """Different components, and neither sizes nor parity sketches rule the similarity out."""
+    apart = F.bit_count(F.col("s1").bitwiseXOR(F.col("o_s1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("o_s2")))
+    at_most = F.floor((F.col("n") + F.col("o_n")) * (100 - percent) / (100 + percent))
+    sizes = F.least("n", "o_n") * 100 >= F.greatest("n", "o_n") * percent
+    return (F.col("c") != F.col("o_c")) & (apart <= at_most) & sizes
+
+
+def _link(docs: DataFrame, both: DataFrame, found: DataFrame, links: DataFrame, pairs: DataFrame, k: int, percent: int) -> tuple[DataFrame, ...]:
+    """Verify pairs that haven't been yet; components, links and all pairs seen after that."""
+    new = both.select(F.least("rep", "o_rep").alias("a"), F.greatest("rep", "o_rep").alias("b")).distinct()
+    new = cut_lineage(new.join(pairs, ["a", "b"], "left_anti"))
+    if new.isEmpty():
+        return found, links, pairs
+    links = cut_lineage(links.unionAll(verified(docs, new, k, percent)))
+    return cut_lineage(components(links)), links, pairs.unionAll(new)
+
+
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``documents`` linked at 90 % of three-word shingles."""
     arrow_limits(spark)
