@@ -49,7 +49,8 @@ class Field:
 
 
 def align(
-    tables: dict[str, Any], fields: dict[str, Any], separator: str = "/", by: Sequence[str] = ("input_id",), order: str | None = None
+    tables: dict[str, Any], fields: dict[str, Any], separator: str = "/", by: Sequence[str] = ("input_id",), order: str | None = None,
+    bucket: str | int | timedelta | None = None,
 ) -> DataFrame:
     """Join every leaf of ``tables`` to the first one.
 
@@ -61,6 +62,10 @@ def align(
     All leaves share one union and one shuffle by ``by``: nearest earlier rows come from one ascending
     window and nearest later ones from one descending window, both with running frames, so a recording is
     sorted twice whatever the number of columns. ``nearest`` adds a third order for repeated keys.
+
+    A recording too long for one task is cut by ``bucket``, a length of the key: windows then run within
+    buckets, what is nearest beyond a bucket comes from a window over one row per bucket, and the shuffle is
+    by recording and bucket. ``order`` must be a number then. The result is the same.
     """
     flat = list(leaves(tables))
     spec = dict(leaves(fields))
@@ -108,6 +113,9 @@ def align(
         union = union.unionByName(part, allowMissingColumns=True)
 
     group = [*map(quoted, by)]
+    if bucket is not None:
+        union = union.withColumn("_b", F.floor(F.col("_k") / parse(bucket).steps(unit)))
+        group.append(F.col("_b"))
     up = Window.partitionBy(*group).orderBy(F.asc("_k"), F.desc("_right"), F.asc("_tie")).rowsBetween(Window.unboundedPreceding, 0)
     down = Window.partitionBy(*group).orderBy(F.desc("_k"), F.desc("_right"), F.desc("_tie")).rowsBetween(Window.unboundedPreceding, 0)
     down_last = Window.partitionBy(*group).orderBy(F.desc("_k"), F.desc("_right"), F.asc("_tie")).rowsBetween(Window.unboundedPreceding, 0)
@@ -120,6 +128,9 @@ def align(
     for columns in (before, after, after_last):
         if columns:
             union = union.withColumns(columns)
+    if bucket is not None:
+        union = _carried(union, by, before, {**after, **after_last})
+        group.pop()
     rows = union.where("_right = 0")
 
     out = {(ref_path, c): quoted("_left").getField(c).alias(name(ref_path, c)) for c in own}
@@ -147,3 +158,23 @@ def align(
     for path, _ in rest:
         ordered += [out[path, c] for c in spec[path].columns or {}]
     return rows.select(*group, *ordered)
+
+
+def _carried(union: DataFrame, by: Sequence[str], before: Mapping[str, Column], after: Mapping[str, Column]) -> DataFrame:
+    """Where a bucket has nothing before (or after) a row, take what the nearest bucket that has something ends
+    (or begins) with: the running values at a bucket's last and first row are what it hands on."""
+    last, first = F.struct("_k", -F.col("_right"), "_tie"), F.struct("_k", "_right", "_tie")
+    # of rows with one key the first order wants the last one and the second the first: the tie is turned for it
+    turned = F.struct("_k", "_right", -F.col("_tie"))
+    ends = union.where("_k IS NOT NULL").groupBy(*map(quoted, by), "_b").agg(
+        *(F.max_by(c, last).alias(c) for c in before), *(F.min_by(c, turned if c.endswith("_n") else first).alias(c) for c in after)
+    )
+    over = Window.partitionBy(*map(quoted, by))
+    earlier = over.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    later = over.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    hand = ends.select(
+        *map(quoted, by), "_b", *(F.last(c, ignorenulls=True).over(earlier).alias(f"{c}_c") for c in before),
+        *(F.last(c, ignorenulls=True).over(later).alias(f"{c}_c") for c in after),
+    )
+    joined = union.join(hand, [*by, "_b"], "left")
+    return joined.withColumns({c: F.coalesce(c, f"{c}_c") for c in [*before, *after]})

@@ -10,10 +10,10 @@ L = "input_id string, k long, id long"
 R = "input_id string, k long, seq long, v double"
 
 
-def aligned(spark, left, right, how, column="v"):
+def aligned(spark, left, right, how, column="v", bucket=None):
     out = align(
         {"l": spark.createDataFrame([(*r, 0) for r in left], L + ", seq long"), "r": spark.createDataFrame(right, R)},
-        {"l": Field("k"), "r": Field("k", {column: how})}, order="seq",
+        {"l": Field("k"), "r": Field("k", {column: how})}, order="seq", bucket=bucket,
     )
     return {r["l/id"]: r[f"r/{column}"] for r in out.collect()}
 
@@ -65,7 +65,7 @@ def test_leaves_without_columns_and_nested_names(spark):
 KEYS = st.lists(st.integers(0, 30), max_size=12)
 
 
-@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(KEYS, st.lists(st.tuples(st.integers(0, 30), st.one_of(st.none(), st.floats(-9, 9, width=32))), max_size=12), st.sampled_from([None, 0, 3]))
 def test_against_a_plain_search(spark, left, right, tolerance):
     rows = [("a", k, i, v) for i, (k, v) in enumerate(right)]
@@ -84,3 +84,12 @@ def test_against_a_plain_search(spark, left, right, tolerance):
 
     for how in ("backward", "forward", "nearest"):
         assert aligned(spark, ids, rows, AsOf(how, tolerance)) == {i: near(k, how) for _, k, i in ids}
+        assert aligned(spark, ids, rows, AsOf(how, tolerance), bucket=7) == {i: near(k, how) for _, k, i in ids}
+
+
+@pytest.mark.parametrize("how", [AsOf(), AsOf("forward"), AsOf("nearest"), AsOf("nearest", 9), Interp()])
+@pytest.mark.parametrize("bucket", [1, 10, 1000])
+def test_buckets_change_nothing(spark, how, bucket):
+    right = [("a" if i % 3 else "b", (i * 37) % 90 - 30, i, float(i) if i % 4 else None) for i in range(60)]
+    left = [("a" if i % 2 else "b", (i * 53) % 200 - 60, i) for i in range(60)] + [("a", None, 99), ("c", 5, 98)]
+    assert aligned(spark, left, right, how, bucket=bucket) == aligned(spark, left, right, how)
