@@ -173,7 +173,7 @@ def probabilities(column: pa.Array, chain: Chain | None, n: int) -> np.ndarray:
 
 
 def score(docs: DataFrame, chain: Chain | None, categories: dict[str, str] = CATEGORIES, key: str = "doc_id") -> DataFrame:
-    """``key``, p_<category> of each category and ``rejected`` (that of ``REJECT`` is at least 0.5).
+    """``key``, ``toxic`` (the probability of ``REJECT`` is at least 0.5) and p_<category> of each category.
 
     Null, empty and whitespace texts have probabilities 0 and stay; without a fitted chain all do.
     """
@@ -185,16 +185,16 @@ def score(docs: DataFrame, chain: Chain | None, categories: dict[str, str] = CAT
         for batch in batches:
             out = probabilities(batch.column("text"), shipped.value, len(names))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(key), *(pa.array(out[:, k]) for k in range(len(names))), pa.array(out[:, reject] >= THRESHOLD)],
-                [key, *names, "rejected"],
+                [batch.column(key), pa.array(out[:, reject] >= THRESHOLD), *(pa.array(out[:, k]) for k in range(len(names)))],
+                [key, "toxic", *names],
             )
 
     kind = docs.select(key).schema[0].dataType.simpleString()
-    return docs.select(key, "text").mapInArrow(run, f"`{key}` {kind}, " + "".join(f"{n} double, " for n in names) + "rejected boolean")
+    return docs.select(key, "text").mapInArrow(run, f"`{key}` {kind}, toxic boolean" + "".join(f", {n} double" for n in names))
 
 
 def keep_clean(docs: DataFrame, chain: Chain | None, categories: dict[str, str] = CATEGORIES) -> DataFrame:
-    """The rows of ``docs`` that ``score`` doesn't reject, with all their columns."""
+    """The rows of ``docs`` that ``score`` doesn't call toxic, with all their columns."""
     shipped = docs.sparkSession.sparkContext.broadcast(chain)
     reject = list(categories).index(REJECT)
 
