@@ -20,7 +20,7 @@ from .operators.waypoints import with_waypoints
 from .plans.dataset import SampleSet, Stream, with_batch_ids
 from .sources.path import extract_path
 
-FLAGSHIP = "align_multi"
+FLAGSHIP = "drive_clips"
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -253,6 +253,23 @@ def clip_fixed_len(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixed.select("conv_id", F.posexplode("turn").alias("pos", "turn")).select("conv_id", (F.col("turn") - F.col("pos")).alias("first_turn"), "pos", "turn")
 
 
+@query(
+    "WITH a AS (" + ORACLE_SQL["align_multi"] + """), i AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS idx FROM a WHERE c_value IS NOT NULL),
+c AS (SELECT *, idx // 3 AS clip, count(*) OVER (PARTITION BY user_id, idx // 3) AS n FROM i)
+SELECT user_id, CAST(clip AS BIGINT) AS clip, CAST(idx % 3 AS INTEGER) AS pos, event_id, c_value FROM c WHERE n = 3"""
+)
+def drive_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole recording pipeline in one plan: scan, align, filter, number, clips of three rows of fixed length."""
+    rows = sql(spark, "SELECT * FROM self WHERE c_value IS NOT NULL", self=align_multi(spark, sf_dir))
+    rows = with_row_index(rows, "idx", "event_id", ["user_id"])
+    clips = group_dynamic(rows, "idx", "3i", group_by=["user_id"]).where(F.size("idx") == 3)
+    fixed = clips.select(
+        "user_id", F.expr("idx[0] div 3").alias("clip"), C.fixed_array(F.col("event_id"), "bigint", 3).alias("e"), C.fixed_array(F.col("c_value"), "double", 3).alias("v")
+    )
+    rows = fixed.select("user_id", "clip", F.posexplode(F.arrays_zip("e", "v")).alias("pos", "z"))
+    return rows.select("user_id", "clip", "pos", F.col("z.e").alias("event_id"), F.col("z.v").alias("c_value"))
+
+
 # --- waypoints and geometry --------------------------------------------------------------------------------
 
 _POINTS = "SELECT user_id, event_id, value AS x, value / 2 + 10 AS y, row_number() OVER g AS rn, count(*) OVER (PARTITION BY user_id) AS n FROM events WINDOW g AS (PARTITION BY user_id ORDER BY ts, event_id)"
