@@ -15,6 +15,8 @@ from .common import _LOWER, arrow_limits, blocks, only, prefix_hash, span_hash,
 #: Labelled documents that the chain is fitted on at most (in expectation), word buckets, and how many of
 #: them a category's model uses. The model's size and the rows sent to the driver follow from these alone.
 FIT_ROWS, BUCKET_BITS, SELECTED = 8_000, 20, 128
+#: Documents of the fitting sample that a bucket must be in at least.
+LEAST_DOCUMENTS = 4
 #: Lengths in bytes of the word beginnings that count as features of their own.
 STEMS = (5, 6, 7, 8)
 FOLDS, RIDGE, THRESHOLD = 5, 1.0, 0.5
@@ -27,7 +29,7 @@ DENSE = 4
 
 
 def buckets(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For runs of documents: first document, documents, buckets and log counts of the pairs, dense features.
+    """For runs of documents: first document, documents, buckets and counts of the pairs, dense features.
 
     A word counts in its own bucket and in one for each of its beginnings of ``STEMS`` bytes, since
     inflected words share those.
@@ -51,7 +53,7 @@ def buckets(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.
         dense = np.stack(
             [np.log1p(size) / 10, share((data >= 65) & (data < 91)), share((data >= 48) & (data < 58)), share(_PARTS[data])], axis=1
         )
-        yield first, pairs >> BUCKET_BITS, pairs & (1 << BUCKET_BITS) - 1, np.log1p(counts), dense
+        yield first, pairs >> BUCKET_BITS, pairs & (1 << BUCKET_BITS) - 1, counts, dense
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -84,12 +86,17 @@ class Linear:
             w -= step
             if np.abs(step).max() < 1e-4:
                 break
-        self.weights = np.zeros(size)
-        self.weights[self.selected] = w[: len(self.selected)]
-        self.dense = w[len(self.selected) :]
+        self.chosen, self.dense = w[: len(self.selected)], w[len(self.selected) :]
+        self.table: np.ndarray | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"table": None}
 
     def predict(self, rows: np.ndarray, cols: np.ndarray, values: np.ndarray, dense: np.ndarray) -> np.ndarray:
-        return sigmoid(np.bincount(rows, self.weights[cols] * values, len(dense)) + dense @ self.dense[:-1] + self.dense[-1])
+        if self.table is None:  # made where it is used: only the selected weights are shipped
+            self.table = np.zeros(1 << BUCKET_BITS, np.float32)
+            self.table[self.selected] = self.chosen
+        return sigmoid(np.bincount(rows, self.table[cols] * values, len(dense)) + dense @ self.dense[:-1] + self.dense[-1])
 
 
 class Chain:
@@ -143,23 +150,28 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str] = CATEGOR
                 cut = np.searchsorted(rows, np.arange(len(dense) + 1))
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": ids[first : first + len(dense)],
-                    "cols": pa.array([cols[a:b] for a, b in zip(cut, cut[1:])], pa.list_(pa.int64())),
-                    "counts": pa.array([values[a:b] for a, b in zip(cut, cut[1:])], pa.list_(pa.float64())),
+                    "cols": pa.array([cols[a:b] for a, b in zip(cut, cut[1:])], pa.list_(pa.int32())),
+                    "counts": pa.array([np.minimum(values[a:b], 32767) for a, b in zip(cut, cut[1:])], pa.list_(pa.int16())),
                     "dense": pa.array(list(dense), pa.list_(pa.float64())),
                     "y": pa.array(list(y[first : first + len(dense)]), pa.list_(pa.float64())),
                 })
 
     # ``some`` has about fit_rows rows of four numbers, whatever the input's size
     chosen = docs.where("text IS NOT NULL").join(F.broadcast(some), "doc_id").mapInArrow(
-        run, "doc_id long, cols array<bigint>, counts array<double>, dense array<double>, y array<double>"
+        run, "doc_id long, cols array<int>, counts array<smallint>, dense array<double>, y array<double>"
     )
     got = chosen.orderBy("doc_id").toArrow()
     if got.num_rows == 0:
         return None
+    dense, y = (np.array(got.column(c).to_pylist()) for c in ("dense", "y"))
     lists = got.column("cols").combine_chunks()
-    rows = np.repeat(np.arange(got.num_rows), np.diff(lists.offsets.to_numpy()))
-    square = lambda c: np.array(got.column(c).to_pylist())
-    return Chain(rows, lists.values.to_numpy(), got.column("counts").combine_chunks().values.to_numpy(), square("dense"), square("y"))
+    cols, counts = lists.values.to_numpy(), got.column("counts").combine_chunks().values.to_numpy()
+    # words of very few documents tell a category badly and make up most of the pairs
+    kept = np.bincount(cols, minlength=1 << BUCKET_BITS)[cols] >= LEAST_DOCUMENTS
+    rows = np.repeat(np.arange(got.num_rows, dtype=np.int32), np.diff(lists.offsets.to_numpy()))[kept]
+    cols, values = cols[kept], np.log1p(counts[kept].astype(np.float32))
+    del got, lists, counts, kept
+    return Chain(rows, cols, values, dense, y)
 
 
 def probabilities(column: pa.Array, chain: Chain | None, n: int) -> np.ndarray:
@@ -168,7 +180,7 @@ def probabilities(column: pa.Array, chain: Chain | None, n: int) -> np.ndarray:
     if chain is not None:
         for first, rows, cols, values, dense in buckets(column):
             some = np.bincount(rows, minlength=len(dense)) > 0
-            out[first : first + len(dense)] = chain.predict(rows, cols, values, dense) * some[:, None]
+            out[first : first + len(dense)] = chain.predict(rows, cols, np.log1p(values), dense) * some[:, None]
     return out
 
 
