@@ -31,6 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +42,8 @@ from .components import components
 RATIO = 1.5
 #: Keys that a task gathers before it joins what meets within them.
 GATHER = 256 << 10
+#: Ids up to which the documents to verify are picked by a broadcast (8 bytes each).
+BROADCAST_IDS = 500_000
 #: Times that members of a key in different components are held against one of them, chosen by hash, before
 #: those that are still apart are held against each other.
 ROUNDS = 2
@@ -237,6 +240,10 @@ def meetings(docs: DataFrame, k: int, schemes: list[Scheme]) -> DataFrame:
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_key = last_lead = None
         for batch in batches:
+            met = batch.filter(pc.invert(batch.column("open")))
+            if met.num_rows:
+                yield met.select(["key", "lead", "doc"])
+            batch = batch.filter(batch.column("open"))
             key, doc = batch.column("key").to_numpy(), batch.column("doc").to_numpy()
             if not len(key):
                 continue
@@ -249,14 +256,16 @@ def meetings(docs: DataFrame, k: int, schemes: list[Scheme]) -> DataFrame:
 
     kind = "key long, lead long, doc long"
     sent = docs.mapInArrow(local, kind + ", open boolean")
-    sent = cut_lineage(sent)
-    apart = sent.where("open").select("key", "lead", "doc").repartition("key").sortWithinPartitions("key", "doc").mapInArrow(across, kind)
-    return apart.unionAll(sent.where("NOT open").select("key", "lead", "doc"))
+    # what has met already passes through and is spread; the rest meets by key
+    to = F.when(F.col("open"), F.col("key")).otherwise(F.xxhash64("key", "doc"))
+    return sent.repartition(to).sortWithinPartitions("open", "key", "doc").mapInArrow(across, kind)
 
 
 def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """Of distinct (a, b), those whose sets' similarity is percent/100 at least, from the whole texts."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    if wanted.count() <= BROADCAST_IDS:  # else all texts are shuffled
+        wanted = F.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
