@@ -18,8 +18,6 @@ from .common import arrow_limits, as_text, only, table
 SPACE = "▁"
 #: Units whose ids one worker remembers; beyond it the memory starts anew, so a worker's size is bounded.
 CACHE_UNITS = 400_000
-#: Of every so many new units of a batch, one is checked against the library.
-CHECKED = 8
 #: Distinct units that are encoded together at most.
 PART_UNITS = 50_000
 
@@ -271,17 +269,18 @@ _MEETING = ("  ", "\n\n", "\n ", "\0", SPACE)
 
 
 class Encoder:
-    """Encodes whole texts with a bounded memory of units; new units are checked against the library.
+    """Encodes whole texts with a bounded memory of units; every new unit is checked against the library.
 
-    A batch's new units are encoded together. One in ``CHECKED`` of them, joined to a text (each starts
-    with the space that parts it from the one before; others aren't checked), must have the ids that the library gives; if any
-    differs, all of that batch's new units take the library's ids and ``differing`` counts those that
-    changed. The memory has a young and an old half; a full young half becomes the old one, so frequent
-    units stay and a worker's size is bounded. 
+    A batch's new units are encoded together. All of them, joined to a text by line ends (which no piece
+    holds, so none merges with its neighbour), must have the ids that the library gives; if any differs,
+    each of that batch's new units takes the library's ids and ``differing`` counts those that changed.
+    The memory has a young and an old half; a full young half becomes the old one, so frequent units stay
+    and a worker's size is bounded.
     """
 
     def __init__(self, path: str):
         self.model, self.agenda = model(path), agenda(path)
+        self.lead = self.model.library.encode("\n")  # the space before the text, and a line end
         self.ids: dict[str, str] = {}
         self.raw: dict[str, bytes] = {}
         self.old: tuple[dict[str, str], dict[str, bytes]] = ({}, {})
@@ -306,11 +305,14 @@ class Encoder:
 
     def checked(self, units: list[str]) -> list[list[int]]:
         found = self.agenda.encode([u.replace(" ", SPACE) for u in units])
-        library = self.model.library
-        part = [i for i in range(0, len(units), CHECKED) if units[i][0] == " " and units[i].strip()]
-        if library.encode("".join([units[i] for i in part])[1:]) != [x for i in part for x in found[i]]:
+        library, lead = self.model.library, self.lead
+        ids = lead[:-1]
+        for f in found:
+            ids.append(lead[-1])
+            ids += f
+        if library.encode("\n" + "\n".join(units)) != ids:
             for i, u in enumerate(units):
-                if u[0] == " " and u.strip() and (want := library.encode(u[1:])) != found[i]:
+                if (want := library.encode("\n" + u)[len(lead) :]) != found[i]:
                     found[i] = want
                     self.differing += 1
         return found

@@ -112,6 +112,31 @@ def test_sentencepiece_is_the_library(spark, frame):
     assert ids[901] == [] and ids[905] == library.encode("the same row")
 
 
+def test_sentencepiece_checks_every_unit():
+    e = Encoder(vocabulary_path())
+    library = e.model.library
+    texts = ["one two three, four.\nfive\n six  seven (eight)\n\n中文中 nine", "ten\t\televen   \n", ".. x", "a" * 300]
+    units = {u for t in texts for u in e.units(t)}
+    right = e.agenda
+
+    class Wrong:
+        id_text, id_bytes = right.id_text, right.id_bytes
+
+        def encode(self, units):
+            return [[5] if u.replace("▁", " ") == bad else ids for u, ids in zip(units, right.encode(units))]
+
+    for bad in units:
+        e = Encoder(vocabulary_path())
+        e.agenda = Wrong()
+        for text, (ids, raw) in zip(texts, e.batch(texts)):
+            assert [int(i) for i in ids.split(",")] == library.encode(text), bad
+            assert raw.decode() == text
+        assert e.differing == 1
+    e = Encoder(vocabulary_path())
+    list(e.batch(texts))
+    assert e.differing == 0
+
+
 @pytest.mark.parametrize("compression", [tiff_media.NONE, tiff_media.LZW, tiff_media.DEFLATE, tiff_media.PACKBITS])
 @pytest.mark.parametrize("predictor", [1, 2])
 def test_tiff_round_trip(compression, predictor):
