@@ -1,10 +1,14 @@
-"""Licence scans: blocks of normalised text compared to templates by the Dice coefficient over word bigrams."""
+"""Licence scans: blocks and windows of normalised text compared to templates by the Dice coefficient over word bigrams."""
 
 from __future__ import annotations
 
+import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -34,9 +38,13 @@ _PARAGRAPH = re.compile(r"\n[ \t]*\n")
 
 
 def normalise(text: str) -> list[str]:
-    """Lower-cased runs of letters and digits; what varies in notices (spelling, copyright marks) made equal."""
+    """Lower-cased runs of letters and digits; spellings made equal, copyright and comment marks left out."""
     swap = {"licence": "license", "licenced": "licensed", "sublicence": "sublicense"}
-    return [swap.get(w, w) for w in _WORD.findall(text.lower())]
+    return [swap.get(w, w) for w in _WORD.findall(plain(text))]
+
+
+def plain(text: str) -> str:
+    return text.lower().replace("(c)", "   ")
 
 
 def bigrams(words: list[str]) -> Counter:
@@ -65,7 +73,8 @@ class Matcher:
             for g in b:
                 self.holders.setdefault(g, []).append(i)
         self.factor = threshold / (2 - threshold)
-        self.least, self.most = min(self.sizes) * self.factor, max(self.sizes) / self.factor
+        # a little wider than the bounds, so that rounding leaves out no block on them
+        self.least, self.most = min(self.sizes) * self.factor - 1e-9, max(self.sizes) / self.factor + 1e-9
 
     def match(self, words: list[str]) -> tuple[str, float] | None:
         """The best template of a block, or None; of equally good ones the first named."""
@@ -76,9 +85,9 @@ class Matcher:
         shared = Counter(i for g in pairs if g in self.holders for i in self.holders[g])
         best, own = None, None
         for i in sorted(shared):
-            if 2 * shared[i] < self.threshold * (size + self.sizes[i]):  # the counts bound what is shared
+            if 2 * shared[i] < self.threshold * (size + self.sizes[i]) - 1e-9:  # the counts bound what is shared
                 continue
-            if not self.factor * size <= self.sizes[i] <= size / self.factor:
+            if not self.factor * size - 1e-9 <= self.sizes[i] <= size / self.factor + 1e-9:
                 continue
             own = own or bigrams(words)
             score = dice(own, self.templates[i][1])
@@ -86,9 +95,94 @@ class Matcher:
                 best = (self.templates[i][0], score)
         return best
 
-
-def blocks_of(text: str) -> Iterator[tuple[str, int, str]]:
-    """(kind, first line, text): the lines, the paragraphs of several lines, and the whole text of several paragraphs."""
+    def windows(self, words: list[str]) -> list[tuple[int, int]]:
+        """Word ranges [start, end) that reach the threshold, wherever they stand; of overlapping ones the best.
+
+        A best range begins and ends with a bigram of its template, so for each such bigram the ranges from
+        it to later ones are tried, where as many as the threshold takes stand within the size bound. Ranges
+        of one licence don't overlap; one of another licence is left out if a better one shares half of the
+        larger's words (texts of two versions are alike), but not for a short notice within a long one.
+        Templates of one word have no bigram and are found as whole blocks only.
+        """
+        places: dict[int, list[int]] = {}
+        for at, g in enumerate(zip(words, words[1:])):
+            if g in self.holders:
+                for i in self.holders[g]:
+                    places.setdefault(i, []).append(at)
+        found = []
+        for i, where in places.items():
+            name, own = self.templates[i]
+            n, least, span = self.sizes[i], math.ceil(self.factor * self.sizes[i] - 1e-9), int(self.sizes[i] / self.factor + 1e-9)
+            for a in range(len(where) - least + 1):
+                start = where[a]
+                if where[a + least - 1] - start >= span:
+                    continue
+                left, shared, best = dict(own), 0, (0.0, 0)
+                for b in range(a, len(where)):
+                    size = where[b] - start + 1
+                    if size > span:
+                        break
+                    g = words[where[b]], words[where[b] + 1]
+                    if left[g]:
+                        left[g] -= 1
+                        shared += 1
+                        best = max(best, (2 * shared / (size + n), size))
+                if best[0] >= self.threshold:
+                    found.append((-best[0], -best[1], i, start, start + best[1] + 1, name))
+        taken: dict[int, list[tuple[int, int, str]]] = {}
+        for *_, start, end, name in sorted(found):
+            there = {x for at in range(start, end) for x in taken.get(at, ())}
+            if not any(x[2] == name or 2 * (min(end, x[1]) - max(start, x[0])) >= max(end - start, x[1] - x[0]) for x in there):
+                for at in range(start, end):
+                    taken.setdefault(at, []).append((start, end, name))
+        return sorted({x[:2] for there in taken.values() for x in there})
+
+
+@lru_cache(1)
+def default_matcher() -> Matcher:
+    return Matcher()
+
+
+def blocks_of(text: str, matcher: Matcher | None = None) -> Iterator[tuple[str, int, str]]:
+    """(kind, first line, text): the lines, the paragraphs of several lines, the whole text of several paragraphs,
+    and the windows, which are notices that share their line or paragraph with other words or go over several.
+
+    A window that overlaps a line, paragraph or text with the same licence is that notice again and left out.
+    """
+    yield from whole_blocks(text)
+    matcher = matcher or default_matcher()
+    words = normalise(text)
+    ranges = matcher.windows(words)
+    if not ranges:
+        return
+    ends = list(accumulate((len(normalise(line)) for line in text.split("\n")), initial=0))
+    taken: dict[str, list[tuple[int, int]]] = {}
+    for _, line, block in whole_blocks(text):
+        hit = matcher.match(normalise(block))
+        if hit:
+            taken.setdefault(hit[0], []).append((ends[line], ends[line + block.count("\n") + 1]))
+    # blocks of a licence, with nested ones merged, don't overlap: the last that begins before a window's end decides
+    merged = {name: merge(spans) for name, spans in taken.items()}
+    for start, end in ranges:
+        hit = matcher.match(words[start:end])
+        spans = merged.get(hit[0], []) if hit else []
+        at = bisect_left(spans, (end,)) - 1
+        if hit and (at < 0 or spans[at][1] <= start):
+            yield "window", bisect_right(ends, start) - 1, " ".join(words[start:end])
+
+
+def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for start, end in sorted(spans):
+        if out and start < out[-1][1]:
+            out[-1] = out[-1][0], max(end, out[-1][1])
+        else:
+            out.append((start, end))
+    return out
+
+
+def whole_blocks(text: str) -> Iterator[tuple[str, int, str]]:
+    """The blocks that are whole lines, paragraphs and texts."""
     lines = text.split("\n")
     for i, line in enumerate(lines):
         yield "line", i, line
@@ -105,7 +199,7 @@ def blocks_of(text: str) -> Iterator[tuple[str, int, str]]:
 def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document and licence: doc_id, license, matches (blocks), dice (the best), line (its first line).
 
-    Blocks are lines, paragraphs of several lines and the whole text. Null and empty texts match nothing;
+    Blocks are lines, paragraphs of several lines, the whole text and, for notices amid other words, windows. Null and empty texts match nothing;
     repeated rows are reported each.
     """
 
@@ -115,7 +209,7 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, threshold
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), as_text(batch.column("text")).to_pylist()):
                 found: dict[str, list] = {}
-                for _, line, block in blocks_of(text) if text else ():
+                for _, line, block in blocks_of(text, matcher) if text else ():
                     hit = matcher.match(normalise(block))
                     if hit:
                         best = found.setdefault(hit[0], [0, 0.0, 0])

@@ -102,6 +102,46 @@ def test_licenses(spark, frame):
     assert license_scan.scan(two(frame([]))).count() == 0
 
 
+INLINE = [
+    ("© 2020 Acme Corp. All rights reserved.", {"Proprietary": 1}),
+    ("Copyright 2019 Acme Corp. Licensed under the Apache License, Version 2.0.", {"Apache-2.0": 1}),
+    ("This project is released under the MIT License.", {"MIT": 1}),
+    ("Copyright (c) 2021 Jane Doe. Licensed under the MIT License.", {"MIT": 1}),
+    ("many words go first and then the file is licensed under the Apache Software Licence, version 2.0, and words follow it", {"Apache-2.0": 1}),
+    ("/*\n * A tool" + " that does this and that" * 9 + ".\n *\n * This program is free software; you can redistribute it and/or modify\n * it under the terms of the GNU General Public License\n *\n * as published by the Free Software Foundation; either version 2 of the\n * License, or (at your option) any later version.\n *\n * It does much.\n */\nint main() { return 0; }", {"GPL-2.0": 1}),
+    ("x " + license_scan.TEMPLATES["MIT"][2][:300] + " (All rights reserved.) " + license_scan.TEMPLATES["MIT"][2][300:] + " y" * 60, {"MIT": 1, "Proprietary": 1}),
+    ("we say all rights reserved. they say all rights reserved.\nAll rights reserved.", {"Proprietary": 3}),
+    ("The rights are reserved and all of the licenses go under the version of the terms.", {}),
+]
+
+
+def test_inline_licenses(spark, frame):
+    arrow_limits(spark)
+    got: dict = {i: {} for i in range(len(INLINE))}
+    rows = license_scan.scan(two(frame([(i, text) for i, (text, _) in enumerate(INLINE)]))).collect()
+    for r in rows:
+        got[r.doc_id][r.license] = r.matches
+    assert got == {i: want for i, (_, want) in enumerate(INLINE)}
+    assert {r.line for r in rows if r.doc_id == 5} == {3}
+
+
+def test_license_windows_are_all_that_reach_the_threshold():
+    rng = random.Random(5)
+    matcher = license_scan.Matcher()
+    short = [license_scan.normalise(t) for ts in license_scan.TEMPLATES.values() for t in ts if len(t) < 90]
+    for _ in range(60):
+        words = []
+        for _ in range(3):
+            words += ["w"] * rng.randint(0, 4) + [w for w in rng.choice(short) for w in ([w] if rng.random() > 0.12 else rng.choice([[], ["x"], [w, "x"]]))]
+        ranges = matcher.windows(words)
+        for a, b in ranges:
+            assert matcher.match(words[a:b])
+        for a in range(len(words)):
+            for b in range(a + 2, min(a + 25, len(words)) + 1):
+                if matcher.match(words[a:b]):
+                    assert any(a < d and c < b for c, d in ranges)
+
+
 def test_pipeline(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     sf = "/root/testdata/sf0.001"
