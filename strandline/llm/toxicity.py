@@ -15,8 +15,8 @@ from .common import _LOWER, arrow_limits, blocks, only, prefix_hash, span_hash,
 #: Labelled documents that the chain is fitted on at most (in expectation), word buckets, and how many of
 #: them a category's model uses. The model's size and the rows sent to the driver follow from these alone.
 FIT_ROWS, BUCKET_BITS, SELECTED = 8_000, 20, 128
-#: Documents of the fitting sample that a bucket must be in at least.
-LEAST_DOCUMENTS = 4
+#: Pairs of documents and buckets that are counted at a time.
+COUNT_PAIRS = 1 << 20
 #: Lengths in bytes of the word beginnings that count as features of their own.
 STEMS = (5, 6, 7, 8)
 FOLDS, RIDGE, THRESHOLD = 5, 1.0, 0.5
@@ -63,13 +63,11 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 class Linear:
     """Ridge logistic regression on the buckets that tell the category best, and on dense columns."""
 
-    def __init__(self, rows: np.ndarray, cols: np.ndarray, values: np.ndarray, dense: np.ndarray, y: np.ndarray):
+    def __init__(
+        self, selected: np.ndarray, rows: np.ndarray, cols: np.ndarray, values: np.ndarray, dense: np.ndarray, y: np.ndarray
+    ):
         n, size = len(y), 1 << BUCKET_BITS
-        positive = y[rows] > 0
-        a, b = np.bincount(cols[positive], minlength=size) + 0.5, np.bincount(cols[~positive], minlength=size) + 0.5
-        p, q = y.sum() + 1 - a, n - y.sum() + 1 - b
-        z = np.log(a * q.clip(0.5) / (b * p.clip(0.5))) / np.sqrt(1 / a + 1 / b)
-        self.selected = np.argsort(-np.abs(z), kind="stable")[:SELECTED]
+        self.selected = selected
         place = np.full(size, -1)
         place[self.selected] = np.arange(len(self.selected))
         at = place[cols]
@@ -99,11 +97,45 @@ class Linear:
         return sigmoid(np.bincount(rows, self.table[cols] * values, len(dense)) + dense @ self.dense[:-1] + self.dense[-1])
 
 
+def best_buckets(positive: np.ndarray, every: np.ndarray, n_positive: float, n: int) -> np.ndarray:
+    """The ``SELECTED`` buckets that tell a category best, from the documents of each bucket."""
+    a, b = positive + 0.5, every - positive + 0.5
+    p, q = n_positive + 1 - a, n - n_positive + 1 - b
+    z = np.log(a * q.clip(0.5) / (b * p.clip(0.5))) / np.sqrt(1 / a + 1 / b)
+    return np.argsort(-np.abs(z), kind="stable")[:SELECTED]
+
+
+def selections(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, fold: np.ndarray, folds: int) -> list[list[np.ndarray]]:
+    """Of each category, the buckets chosen without each fold and, last, those chosen from all rows.
+
+    All pairs are counted, in parts, so that no copy of them is needed to choose from the whole vocabulary.
+    """
+    size = 1 << BUCKET_BITS
+    counts = np.zeros((folds, 1 + y.shape[1], size), np.int32)  # of all documents, then of each category's
+    for at in range(0, len(rows), COUNT_PAIRS):
+        r, c = rows[at : at + COUNT_PAIRS], cols[at : at + COUNT_PAIRS]
+        for f in range(folds):
+            own, inside = r[fold[r] == f], c[fold[r] == f]
+            counts[f, 0] += np.bincount(inside, minlength=size)
+            for k in range(y.shape[1]):
+                counts[f, 1 + k] += np.bincount(inside[y[own, k] > 0], minlength=size)
+    out = []
+    for k in range(y.shape[1]):
+        every, positive = counts[:, 0].sum(axis=0), counts[:, 1 + k].sum(axis=0)
+        parts = [
+            best_buckets(positive - counts[f, 1 + k], every - counts[f, 0], y[fold != f, k].sum(), (fold != f).sum())
+            for f in range(folds)
+        ]
+        out.append([*parts, best_buckets(positive, every, y[:, k].sum(), len(y))])
+    return out
+
+
 class Chain:
     """Category k's model sees the words, the dense features and the probabilities of categories before k.
 
     While fitting, those probabilities are out of fold: each comes from a model that hasn't seen its row,
-    so later models learn from probabilities as good as those they meet when predicting.
+    so later models learn from probabilities as good as those they meet when predicting. ``values`` are
+    the pairs' counts when fitting and their logarithms when predicting.
     """
 
     def __init__(
@@ -111,6 +143,11 @@ class Chain:
     ):
         self.models: list[Linear] = []
         fold = np.arange(len(dense)) % folds
+        chosen = selections(rows, cols, y, fold, folds)
+        used = np.zeros(1 << BUCKET_BITS, bool)
+        used[np.concatenate([s for parts in chosen for s in parts])] = True
+        kept = used[cols]  # pairs of other buckets have no weight in any model
+        rows, cols, values = rows[kept], cols[kept], np.log1p(values[kept].astype(np.float64))
         for k in range(y.shape[1]):
             out_of_fold = np.zeros(len(dense))
             for f in range(folds):
@@ -118,9 +155,9 @@ class Chain:
                 renamed = np.full(len(dense), -1)
                 renamed[kept] = np.arange(len(kept))
                 inside = renamed[rows] >= 0
-                part = Linear(renamed[rows[inside]], cols[inside], values[inside], dense[kept], y[kept, k])
+                part = Linear(chosen[k][f], renamed[rows[inside]], cols[inside], values[inside], dense[kept], y[kept, k])
                 out_of_fold[fold == f] = part.predict(rows, cols, values, dense)[fold == f]
-            self.models.append(Linear(rows, cols, values, dense, y[:, k]))
+            self.models.append(Linear(chosen[k][folds], rows, cols, values, dense, y[:, k]))
             dense = np.concatenate([dense, out_of_fold[:, None]], axis=1)
 
     def predict(self, rows: np.ndarray, cols: np.ndarray, values: np.ndarray, dense: np.ndarray) -> np.ndarray:
@@ -166,12 +203,9 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str] = CATEGOR
     dense, y = (np.array(got.column(c).to_pylist()) for c in ("dense", "y"))
     lists = got.column("cols").combine_chunks()
     cols, counts = lists.values.to_numpy(), got.column("counts").combine_chunks().values.to_numpy()
-    # words of very few documents tell a category badly and make up most of the pairs
-    kept = np.bincount(cols, minlength=1 << BUCKET_BITS)[cols] >= LEAST_DOCUMENTS
-    rows = np.repeat(np.arange(got.num_rows, dtype=np.int32), np.diff(lists.offsets.to_numpy()))[kept]
-    cols, values = cols[kept], np.log1p(counts[kept].astype(np.float32))
-    del got, lists, counts, kept
-    return Chain(rows, cols, values, dense, y)
+    rows = np.repeat(np.arange(got.num_rows, dtype=np.int32), np.diff(lists.offsets.to_numpy()))
+    del got
+    return Chain(rows, cols, counts, dense, y)
 
 
 def probabilities(column: pa.Array, chain: Chain | None, n: int) -> np.ndarray:

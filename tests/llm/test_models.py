@@ -60,6 +60,18 @@ def test_toxicity(spark, frame):
     assert toxicity.score(two(frame([])), chain).count() == 0
 
 
+def test_toxicity_of_rare_words(spark, frame):
+    arrow_limits(spark)
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choices(["walk", "tree", "house", "river", "green", "small"], k=12))) for i in range(90)]
+    rows = [(i, t + (" wretchedly" if i < 3 else "")) for i, t in rows]
+    labels = spark.createDataFrame([(i, 1, int(i < 3)) for i, _ in rows], "doc_id long, quality int, toxic int")
+    chain = toxicity.fit(two(frame(rows)), labels)
+    new = [(1000, "tree walk house"), (1001, "tree walk wretchedly")]
+    p = {r.doc_id: r.p_toxic for r in toxicity.score(two(frame(new)), chain).collect()}
+    assert p[1001] > 0.5 > p[1000]
+
+
 def test_secrets(spark, frame):
     arrow_limits(spark)
     forest = secrets_scan.default_forest()
