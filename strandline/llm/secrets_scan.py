@@ -22,10 +22,10 @@ REACH = 60
 _NAME = r"(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|credential|auth)"
 #: Patterns of candidates; the group ``value`` is the candidate.
 PATTERNS = {
-    "private_key": re.compile(r"(?P<value>-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s]{16,}?-----END [A-Z ]{0,30}PRIVATE KEY-----)"),
+    "private_key": re.compile(r"(?P<value>-----BEGIN [A-Z ]{0,30}PRIVATE KEY(?: BLOCK)?-----(?:\s*[A-Za-z][A-Za-z-]*:(?:(?!-----BEGIN )[^\n])*\n)*[A-Za-z0-9+/=\s]{16,}?-----END [A-Z ]{0,30}PRIVATE KEY(?: BLOCK)?-----)"),
     "prefixed": re.compile(r"\b(?P<value>(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{5,})"),
     "assigned": re.compile(_NAME + r"[\w-]{0,20}[\"']?[ \t]{0,3}(?::=|=>|[:=])[ \t]{0,3}[\"'`]?(?P<value>[A-Za-z0-9+/=_.!@#$%^&*~-]{8,})", re.I),
-    "random": re.compile(r"(?<![A-Za-z0-9+/_=.-])(?P<value>(?=[A-Za-z+/_=-]{0,40}[0-9])[A-Za-z0-9+/_=-]{20,})"),
+    "random": re.compile(r"(?<![A-Za-z0-9+/_=.-])(?P<value>[A-Za-z0-9+/_=-]{20,})"),
 }
 #: A text without any of these can hold no candidate of the first three patterns.
 _HINT = re.compile(_NAME + r"|AKIA|ASIA|gh[pousr]_|xox[abprs]-|sk_live_|AIza|eyJ|-----BEGIN ", re.I)
