@@ -16,7 +16,7 @@ from .common import arrow_limits, as_text, only, table
 
 # Fixed values of the TIFF 6.0 format: tags, compressions, and bytes of field types.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIPS, SAMPLES, ROWS_PER_STRIP, STRIP_SIZES = 256, 257, 258, 259, 262, 273, 277, 278, 279
-PLANAR, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILES, TILE_SIZES = 284, 317, 322, 323, 324, 325
+PLANAR, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILES, TILE_SIZES, FILL_ORDER, FORMAT = 284, 317, 322, 323, 324, 325, 266, 339
 NONE, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
 FIELD_BYTES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
 FIELD_CODE = {1: "B", 3: "H", 4: "I"}
@@ -174,31 +174,56 @@ def directories(data: bytes) -> Iterator[tuple[str, dict[int, list[int]]]]:
 
 
 def page(data: bytes, order: str, fields: dict[int, list[int]]) -> np.ndarray:
-    """Samples of one page, as rows x columns x samples, of 8, 16 or 32-bit unsigned integers."""
+    """Samples of one page, as rows x columns x samples: integers of 1 to 64 bits (below 8 bits one byte each), or floats."""
     one = lambda tag, default=None: fields.get(tag, [default])[0]
     width, height, samples = one(WIDTH), one(HEIGHT), one(SAMPLES, 1)
-    bits, compression, predictor = set(fields.get(BITS, [1])), one(COMPRESSION, NONE), one(PREDICTOR, 1)
-    if not width or not height or len(bits) != 1 or bits - {8, 16, 32} or one(PLANAR, 1) != 1 or predictor not in (1, 2):
+    depths, formats = set(fields.get(BITS, [1])), set(fields.get(FORMAT, [1]))
+    compression, predictor, planar = one(COMPRESSION, NONE), one(PREDICTOR, 1), one(PLANAR, 1)
+    if not width or not height or not samples or len(depths) != 1 or len(formats) != 1 or planar not in (1, 2):
         raise BadTiff("a page's layout isn't covered")
-    kind = np.dtype(f"{order}u{bits.pop() // 8}")
+    bits, form = depths.pop(), formats.pop()
+    code = {1: "u", 2: "i", 3: "f", 4: "u"}.get(form)
+    if code is None or bits not in {"u": (1, 2, 4, 8, 16, 32, 64), "i": (8, 16, 32, 64), "f": (16, 32, 64)}[code]:
+        raise BadTiff(f"samples of {bits} bits and format {form}")
+    if predictor not in (1, 2, 3) or predictor == 2 and (bits < 8 or code == "f") or predictor == 3 and code != "f" or bits < 8 and one(FILL_ORDER, 1) != 1:
+        raise BadTiff("a page's predictor or fill order isn't covered")
+    kind = np.dtype(f"{order}{code}{max(bits // 8, 1)}")
     if TILES in fields:
         step_x, step_y = one(TILE_WIDTH), one(TILE_HEIGHT)
         places, sizes = fields[TILES], fields[TILE_SIZES]
     else:
         step_x, step_y = width, min(one(ROWS_PER_STRIP, height), height)
         places, sizes = fields[STRIPS], fields[STRIP_SIZES]
-    across = -(-width // step_x)
+    if not step_x or not step_y:
+        raise BadTiff("strips or tiles without rows or columns")
+    across, down = -(-width // step_x), -(-height // step_y)
+    planes, each = (samples, 1) if planar == 2 else (1, samples)
+    if len(places) < across * down * planes:
+        raise BadTiff("strips or tiles are missing")
     out = np.zeros((height, width, samples), kind.newbyteorder("="))
+    line = -(-step_x * each * bits // 8)
     for k, (place, size) in enumerate(zip(places, sizes, strict=True)):
-        y, x = k // across * step_y, k % across * step_x
+        plane, at = divmod(k, across * down)
+        if plane >= planes:
+            break
+        y, x = at // across * step_y, at % across * step_x
         rows = step_y if TILES in fields else min(step_y, height - y)
-        raw = expand(data[place : place + size], compression, rows * step_x * samples * kind.itemsize)
-        if len(raw) < rows * step_x * samples * kind.itemsize:
+        raw = expand(data[place : place + size], compression, rows * line)
+        if len(raw) < rows * line:
             raise BadTiff("a strip or tile is too short")
-        part = np.frombuffer(raw, kind).astype(kind.newbyteorder("=")).reshape(rows, step_x, samples)
+        if bits < 8:
+            bit = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(rows, line), axis=1)
+            part = np.packbits(bit.reshape(rows, -1, bits), axis=2)[:, : step_x * each] >> (8 - bits)
+            part = part.reshape(rows, step_x, each)
+        elif predictor == 3:  # differences of bytes, of which a row has all the highest first
+            part = np.cumsum(np.frombuffer(raw, np.uint8).reshape(rows, -1, each), axis=1, dtype=np.uint8)
+            part = np.ascontiguousarray(part.reshape(rows, kind.itemsize, step_x * each).transpose(0, 2, 1))
+            part = part.view(kind.newbyteorder(">")).astype(kind.newbyteorder("=")).reshape(rows, step_x, each)
+        else:
+            part = np.frombuffer(raw, kind).astype(kind.newbyteorder("=")).reshape(rows, step_x, each)
         if predictor == 2:
             part = np.cumsum(part, axis=1, dtype=part.dtype)
-        out[y : y + rows, x : x + step_x] = part[: height - y, : width - x]
+        out[y : y + rows, x : x + step_x, plane : plane + each] = part[: height - y, : width - x]
     return out
 
 
@@ -261,31 +286,38 @@ def page_features(image: np.ndarray) -> dict:
 def read_pages(media: DataFrame, keep: list[str], content: str = "content") -> DataFrame:
     """One row per page of each TIFF in a binary column.
 
-    Columns: ``keep``, page (0-based), height, width, samples, bits, data (samples row by row, big-endian
-    where over 8 bits) and error. Null or unreadable content gives one row with page -1 and the reason in
-    ``error``; content without a directory gives none.
+    Columns: ``keep``, page (0-based), height, width, samples, bits, data (samples row by row, one byte each
+    up to 8 bits, big-endian where over), error and format (1 unsigned, 2 signed, 3 floating). A page that
+    can't be read gives a row with its number and the reason in ``error``, and so does the place where the
+    chain of directories breaks; other pages stay. Null content or content without a readable first
+    directory gives one row with page -1; content without a directory gives none.
     """
     schema = media.select(*keep).schema
     for name in ("page", "height", "width", "samples", "bits"):
         schema = schema.add(name, T.IntegerType())
-    schema = schema.add("data", T.BinaryType()).add("error", T.StringType())
+    schema = schema.add("data", T.BinaryType()).add("error", T.StringType()).add("format", T.IntegerType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 rows = []
                 raw = batch.column(content)[i].as_py()
+                bad = lambda k, e: (k, None, None, None, None, None, str(e) or type(e).__name__, None)
                 try:
                     if raw is None:
                         raise BadTiff("no content")
                     for k, (order, fields) in enumerate(directories(raw)):
-                        image = page(raw, order, fields)
-                        rows.append((k, *image.shape, 8 * image.itemsize, image.astype(image.dtype.newbyteorder(">")).tobytes(), None))
-                except (BadTiff, zlib.error, KeyError, IndexError, ValueError) as e:
-                    rows = [(-1, None, None, None, None, None, str(e))]
+                        try:
+                            image = page(raw, order, fields)
+                            depth, form = fields.get(BITS, [1])[0], fields.get(FORMAT, [1])[0]
+                            rows.append((k, *image.shape, depth, image.astype(image.dtype.newbyteorder(">")).tobytes(), None, form))
+                        except (BadTiff, zlib.error, LookupError, ValueError, TypeError, MemoryError) as e:
+                            rows.append(bad(k, e))
+                except BadTiff as e:
+                    rows.append(bad(len(rows) or -1, e))
                 if rows:
                     kept = [pa.array([batch.column(k)[i].as_py()] * len(rows), batch.schema.field(k).type) for k in keep]
-                    columns = [pa.array(list(x), t) for x, t in zip(zip(*rows), (*[pa.int32()] * 5, pa.binary(), pa.string()))]
+                    columns = [pa.array(list(x), t) for x, t in zip(zip(*rows), (*[pa.int32()] * 5, pa.binary(), pa.string(), pa.int32()))]
                     yield pa.RecordBatch.from_arrays([*kept, *columns], schema.names)
 
     return media.mapInArrow(run, schema)

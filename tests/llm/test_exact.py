@@ -173,6 +173,63 @@ def test_tiff_pages(spark, frame):
     assert tiff_media.round_trip(two(frame([]))).count() == 0
 
 
+def tiff(pages, order="<"):
+    """A file of one-strip pages from (fields, strips); the strips' places and sizes are put in."""
+    import struct
+
+    t = tiff_media
+    out, link = bytearray(struct.pack(order + "2sHI", b"II" if order == "<" else b"MM", 42, 0)), 4
+    for fields, strips in pages:
+        places = []
+        for strip in strips:
+            places.append(len(out))
+            out += strip
+        fields = fields | {t.STRIPS: places, t.STRIP_SIZES: [len(s) for s in strips]}
+        entries = b""
+        for tag in sorted(fields):
+            packed = struct.pack(f"{order}{len(fields[tag])}I", *fields[tag])
+            if len(packed) > 4:
+                packed, place = struct.pack(order + "I", len(out)), packed
+                out += place
+            entries += struct.pack(order + "HHI", tag, 4, len(fields[tag])) + packed
+        struct.pack_into(order + "I", out, link, len(out))
+        out += struct.pack(order + "H", len(fields)) + entries
+        link = len(out)
+        out += b"\0\0\0\0"
+    return bytes(out)
+
+
+@pytest.mark.parametrize("order", "<>")
+def test_tiff_layouts(order):
+    t = tiff_media
+    floats = np.array([[1.5, -2.0, 3.25], [0.0, 1e9, -7.5]], "f4")
+    turned = floats.astype(">f4").view(np.uint8).reshape(2, 3, 4).transpose(0, 2, 1).reshape(2, 12)
+    turned = np.concatenate([turned[:, :1], np.diff(turned, axis=1)], axis=1)
+    size = {t.WIDTH: [3], t.HEIGHT: [2]}
+    pages = [
+        (size, [bytes([0b10100000, 0b01000000])]),
+        (size | {t.BITS: [4]}, [bytes([0x12, 0x30, 0xF0, 0x70])]),
+        (size | {t.BITS: [8, 8], t.SAMPLES: [2], t.PLANAR: [2]}, [bytes(range(6)), bytes(range(10, 16))]),
+        (size | {t.BITS: [32], t.FORMAT: [3]}, [floats.astype(order + "f4").tobytes()]),
+        (size | {t.BITS: [32], t.FORMAT: [3], t.PREDICTOR: [3]}, [turned.tobytes()]),
+        (size | {t.BITS: [16], t.FORMAT: [2]}, [np.arange(-3, 3, dtype=order + "i2").tobytes()]),
+    ]
+    got = [p.tolist() for p in t.read_tiff(tiff(pages, order))]
+    assert got == [
+        [[[1], [0], [1]], [[0], [1], [0]]], [[[1], [2], [3]], [[15], [0], [7]]], [[[0, 10], [1, 11], [2, 12]], [[3, 13], [4, 14], [5, 15]]],
+        floats[:, :, None].tolist(), floats[:, :, None].tolist(), [[[-3], [-2], [-1]], [[0], [1], [2]]],
+    ]
+
+
+def test_tiff_keeps_pages_beside_bad_ones(spark):
+    arrow_limits(spark)
+    size = {tiff_media.WIDTH: [3], tiff_media.HEIGHT: [2], tiff_media.BITS: [8]}
+    pages = [(size, [b"abcdef"]), (size, [b"abc"]), (size | {tiff_media.COMPRESSION: [99]}, [b"abcdef"]), (size, [b"ghijkl"])]
+    media = spark.createDataFrame([(1, tiff(pages)), (2, tiff(pages[:1])[:-4] + b"\xff\xff\0\0")], "id long, content binary")
+    got = sorted((r.id, r.page, r.data and bytes(r.data), r.error is None) for r in tiff_media.read_pages(media, ["id"]).collect())
+    assert got == [(1, 0, b"abcdef", True), (1, 1, None, False), (1, 2, None, False), (1, 3, b"ghijkl", True), (2, 0, b"abcdef", True), (2, 1, None, False)]
+
+
 def test_decontamination(spark, frame):
     rng = random.Random(4)
     words = [f"q{i}" for i in range(400)]
