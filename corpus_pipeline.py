@@ -1,8 +1,9 @@
 """A cleaning pipeline over ``documents``: five stages, each one of the corpus operators.
 
 A stage takes (spark, docs, sf_dir), works on all that its predecessor kept and returns a DataFrame; all but
-the last return the columns of ``docs``. Null, empty and blank texts pass every filter. A null doc_id is
-linked with nothing and passes. Rows that repeat doc_id and text count as one document in the second stage.
+the last return the columns of ``docs``. Null, empty and blank texts pass every filter, but for named rows that
+repeat each other. Rows without a doc_id are searched like others, by a working key from their text. Rows that
+repeat doc_id (or lack it) and text count as one document in the second stage.
 """
 
 from __future__ import annotations
@@ -15,6 +16,22 @@ from strandline.llm.common import arrow_limits, cut_lineage, only, table
 
 #: Near duplicates: words of a shingle and the least similarity in per cent.
 SHINGLE, PERCENT = 5, 80
+#: The column that names a document in the stages that link rows.
+KEY = "_working_key"
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``KEY``: the doc_id or, where a text with words lacks one, a hash of the text in 2**62 to 2**63 - 1.
+
+    So named documents come before unnamed ones. Unnamed rows without words have no key.
+    """
+    hashed = F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    unnamed = F.when(F.col("text").rlike(r"[^\x20\x09-\x0D]"), hashed)
+    return docs.withColumn(KEY, F.coalesce(F.col("doc_id").cast("long"), unnamed))
+
+
+def searched(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col(KEY).alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,18 +42,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id."""
+    """Of each group of linked documents the one with the smallest doc_id, or one without if all lack it."""
     arrow_limits(spark)
-    found = ngram_join.near_duplicates(only(docs, doc_id="long", text="string"), SHINGLE, PERCENT)
-    first = found.where("component_id = doc_id").select("doc_id").distinct()
-    named = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return named.unionByName(docs.where("doc_id IS NULL"))
+    rows = keyed(docs)
+    found = ngram_join.near_duplicates(searched(rows.where(F.col(KEY).isNotNull())), SHINGLE, PERCENT)
+    first = found.where("component_id = doc_id").select(F.col("doc_id").alias(KEY)).distinct()
+    kept = rows.join(first, KEY, "left_semi").dropDuplicates([KEY, "text"])
+    return kept.unionByName(rows.where(F.col(KEY).isNull())).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no passage of ``benchmark``."""
-    found = decontamination.contaminated(*decontamination.inputs(docs, table(spark, sf_dir, "benchmark")))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti")
+    rows = keyed(docs)
+    found = decontamination.contaminated(*decontamination.inputs(searched(rows), table(spark, sf_dir, "benchmark")))
+    return rows.join(found.select(F.col("doc_id").alias(KEY)).distinct(), KEY, "left_anti").select(*docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -58,7 +58,8 @@ def contaminated(docs: DataFrame, items: DataFrame, similarity: float = SIMILARI
     window's first word), n_words, hamming, similarity. Of equally good windows the earliest counts. An
     item of fewer words than ``k`` is compared as one shingle of all its words; items and documents
     without words match nothing. Repeated items count once; rows that share a doc_id count as one
-    document if their texts are equal and are searched apart if not, the best window being reported.
+    document if their texts are equal and are searched apart if not, the best window being reported. Rows
+    without a doc_id or a text aren't searched; callers that have such give them a key first.
     """
     wanted = (
         items.where("item_id IS NOT NULL").distinct()

@@ -170,6 +170,21 @@ def test_license_windows_are_all_that_reach_the_threshold():
                     assert any(a < d and c < b for c, d in ranges)
 
 
+def test_pipeline_searches_rows_without_id(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    sf = "/root/testdata/sf0.001"
+    item = max((r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect() if r.text), key=len)
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, "before it " + item + " after it"), (7, long), (None, long), (None, "alone " * 9), (None, "alone " * 9), (None, None), (None, None), (None, " "), (None, "")]
+    docs = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = pipeline.drop_near_duplicates(spark, docs, sf)
+    assert kept.columns == docs.columns
+    found = sorted([(r.doc_id, r.text) for r in kept.collect()], key=str)
+    assert found == sorted([rows[i] for i in (0, 1, 3, 5, 6, 7, 8)], key=str)
+    clean = pipeline.drop_contaminated(spark, docs, sf)
+    assert clean.columns == docs.columns and sorted([(r.doc_id, r.text) for r in clean.collect()], key=str) == sorted(rows[1:], key=str)
+
+
 def test_pipeline(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     sf = "/root/testdata/sf0.001"
