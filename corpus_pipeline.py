@@ -81,7 +81,7 @@ STAGES = [
     ("sentencepiece", encode),
 ]
 
-#: SQL can't express the classifiers and the tokenizer; tests hold the stages against brute force.
+#: SQL can't express the classifiers and the tokenizer; tests hold each stage's rows against plain Python on a small table.
 ORACLE_SQL = None
 
 

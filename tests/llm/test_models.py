@@ -185,6 +185,104 @@ def test_pipeline_searches_rows_without_id(spark):
     assert clean.columns == docs.columns and sorted([(r.doc_id, r.text) for r in clean.collect()], key=str) == sorted(rows[1:], key=str)
 
 
+def brute_stages(spark, pipeline, docs, sf):
+    """Of each stage, the (doc_id, text) rows that plain Python keeps of ``docs``, a list of such rows in."""
+    import collections
+
+    import numpy as np
+    import pyarrow as pa
+    import regex
+
+    chain = toxicity.fit(*toxicity.inputs(docs, spark.read.parquet(f"{sf}/labels.parquet")))
+    reject = list(toxicity.CATEGORIES).index(toxicity.REJECT)
+
+    def toxic(text):
+        (_, _, cols, counts, dense), p = next(toxicity.buckets(pa.array([text]))), []
+        for m in chain.models if len(cols) else ():
+            weight = dict(zip(m.selected.tolist(), m.chosen.tolist()))
+            x = sum(weight.get(c, 0.0) * np.log1p(n) for c, n in zip(cols.tolist(), counts.tolist()))
+            x += float(np.dot([*dense[0], *p], m.dense[:-1])) + m.dense[-1]
+            p.append(1 / (1 + np.exp(-x)))
+        return bool(p) and p[reject] >= toxicity.THRESHOLD
+
+    def shingles(text):
+        w = [x for x in regex.split(r"[ \t-\r]+", regex.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if x]
+        return {tuple(w[i : i + pipeline.SHINGLE]) for i in range(max(1, len(w) - pipeline.SHINGLE + 1))} if w else set()
+
+    def distinct(rows):
+        sets = [shingles(t) for _, t in rows]
+        group = list(range(len(rows)))
+
+        def root(i):
+            while group[i] != i:
+                i = group[i]
+            return i
+
+        for i in range(len(rows)):
+            for j in range(i):
+                both = len(sets[i] & sets[j])
+                if both and 100 * both >= pipeline.PERCENT * len(sets[i] | sets[j]):
+                    group[root(i)] = root(j)
+        parts = collections.defaultdict(list)
+        for i, row in enumerate(rows):
+            parts[root(i)].append(row)
+        return [min(p, key=lambda r: (r[0] is None, r[0] or 0)) for p in parts.values()]
+
+    items = [regex.findall(r"[\p{L}\p{N}]+", (r.text or "").lower()) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+
+    def holds(text):
+        w = regex.findall(r"[\p{L}\p{N}]+", (text or "").lower())
+        for own in items:
+            k = min(5, len(own))
+            bag = lambda x: collections.Counter(tuple(x[j : j + k]) for j in range(len(x) - k + 1))  # noqa: E731, B023
+            theirs = bag(own) if own else None
+            if not own or not theirs.keys() & bag(w).keys():
+                continue
+            for s in range(max(1, len(w) - len(own) + 1)):
+                a = bag(w[s : s + len(own)])
+                if sum((a & theirs).values()) >= 0.8 * sum((a | theirs).values()):
+                    return True
+        return False
+
+    forest = secrets_scan.default_forest()
+
+    def masked(text):
+        for s, e, *_ in reversed(secrets_scan.secrets(text, forest) if text else []):
+            text = text[:s] + "[REDACTED]" + text[e:]
+        return text
+
+    return [
+        lambda rows: [r for r in rows if not toxic(r[1] or "")], distinct,
+        lambda rows: [r for r in rows if not holds(r[1])], lambda rows: [(d, masked(t)) for d, t in rows],
+    ]
+
+
+def test_pipeline_stages_against_plain_python(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").orderBy(F.length("text")).limit(150)
+    item = max((r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect() if r.text), key=len)
+    long = [f"w{i}" for i in range(60)]
+    more = [(9001, None), (9002, ""), (9003, "well " + item + " then"), (9004, " ".join(long)), (9005, " ".join([*long[:-1], "other"])), (None, " ".join(long)), (None, "said " + item),
+            (9006, 'so token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" it is')]
+    kept = docs.unionByName(spark.createDataFrame([(d, t, "en", "s", 0) for d, t in more], docs.schema)).cache()
+    plain = brute_stages(spark, pipeline, kept, sf)
+    dropped = []
+    for (name, stage), brute in zip(pipeline.STAGES[:-1], plain, strict=True):
+        before = [(r.doc_id, r.text) for r in kept.collect()]
+        kept = stage(spark, kept, sf).cache()
+        want = brute(before)
+        assert sorted([(r.doc_id, r.text) for r in kept.collect()], key=str) == sorted(want, key=str), name
+        dropped.append(len(set(before) - set(want)))
+    assert all(dropped), dropped
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=pipeline.sentencepiece_bpe.vocabulary_path())
+    got = [(r.doc_id, r.n_tokens, list(r.ids)) for r in pipeline.STAGES[-1][1](spark, kept, sf).collect()]
+    ids = [(r.doc_id, library.encode(r.text or "")) for r in kept.collect()]
+    assert sorted(got, key=str) == sorted([(d, len(i), i) for d, i in ids], key=str)
+
+
 def test_pipeline(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     sf = "/root/testdata/sf0.001"
