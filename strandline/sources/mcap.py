@@ -191,24 +191,30 @@ DECODERS = (json_decoder, protobuf_decoder)
 
 def decode_topics(scanned: DataFrame, fields: Mapping[str, Mapping[str, str | None]], decoders: tuple = DECODERS) -> dict[str, DataFrame]:
     """A table for each topic: input_id, seq, the message's fields (``a.b`` goes into structs), then the times of
-    the envelope that are asked for. A topic without messages gives no table."""
+    the envelope that are asked for. A topic without messages gives no table. Messages are decoded by their own
+    channel's encoding and schema, of which a topic may have several."""
+    kind_of = ["encoding", "schema_name", "schema_encoding", "schema_data"]
+    kinds: dict[str, list] = {}
+    for row in scanned.where(F.col("topic").isin(list(fields))).select("topic", *kind_of).distinct().collect():
+        kinds.setdefault(row[0], []).append(row[1:])
     out = {}
     for topic, wanted in fields.items():
-        part = scanned.where(F.col("topic") == topic)
-        head = part.select("encoding", "schema_name", "schema_encoding", "schema_data").head()
-        if head is None:
-            continue
-        decode = next((d for f in decoders if (d := f(head[0], head[2]))), None)
-        if decode is None:
-            raise ValueError(f"no decoder for {head[0]} with {head[2]}")
-        table = decode(part, head[1], bytes(head[3] or b""), wanted)
-        columns = []
-        for name, kind in wanted.items():
-            if name not in SPECIAL:
-                column = F.col("_m")
-                for step in name.split("."):
-                    column = column.getField(step)
-                columns.append((column.cast(kind) if kind else column).alias(name))
-        columns += [F.col(n).cast(wanted[n] or "long") for n in wanted if n in SPECIAL]
-        out[topic] = table.select("input_id", "seq", *columns)
+        for head in sorted(kinds.get(topic, []), key=str):
+            decode = next((d for f in decoders if (d := f(head[0], head[2]))), None)
+            if decode is None:
+                raise ValueError(f"no decoder for {head[0]} with {head[2]}")
+            part = scanned.where(F.col("topic") == topic)
+            for name, value in zip(kind_of, head):
+                part = part.where(F.col(name).eqNullSafe(F.lit(value if value is None or isinstance(value, str) else bytes(value))))
+            table = decode(part, head[1], bytes(head[3] or b""), wanted)
+            columns = []
+            for name, kind in wanted.items():
+                if name not in SPECIAL:
+                    column = F.col("_m")
+                    for step in name.split("."):
+                        column = column.getField(step)
+                    columns.append((column.cast(kind) if kind else column).alias(name))
+            columns += [F.col(n).cast(wanted[n] or "long") for n in wanted if n in SPECIAL]
+            table = table.select("input_id", "seq", *columns)
+            out[topic] = out[topic].unionAll(table) if topic in out else table
     return out

@@ -109,6 +109,25 @@ def test_mcap(spark, tmp_path, compression):
         list(mcap.messages(mcap_file(sent, summary=False), None))
 
 
+def test_mcap_topic_of_several_schemas(spark):
+    from google.protobuf.descriptor_pb2 import FileDescriptorSet
+
+    from strandline.sources.protobuf import message_class
+
+    other = FileDescriptorSet.FromString(descriptors())
+    for message in other.file[0].message_type:
+        for field in message.field:
+            if field.name == "n":
+                field.number = 9
+    other = other.SerializeToString()
+    sent = [("a", "protobuf", "t.Odom", "protobuf", d, message_class(d, "t.Odom")(n=n).SerializeToString()) for n, d in ((3, descriptors()), (4, other))]
+    sent.append(("c", "json", "S", "jsonschema", b"{}", b'{"n": 5}'))
+    rows = [(f"{i}{k}", "/odom", 0, 10, 11, *rest) for k, (i, *rest) in enumerate(sent)]
+    scanned = spark.createDataFrame(rows, "input_id string, topic string, seq long, log_time long, publish_time long, encoding string, schema_name string, schema_encoding string, schema_data binary, data binary")
+    got = mcap.decode_topics(scanned, {"/odom": {"n": "int", "log_time": None}})
+    assert sorted(map(tuple, got["/odom"].collect())) == [("a0", 0, 3, 10), ("a1", 0, 4, 10), ("c2", 0, 5, 10)]
+
+
 def test_media(spark, tmp_path):
     points = np.zeros(3, [("x", "f4"), ("y", "f4"), ("i", "u1")])
     points["x"] = [1, 2, 3]
