@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm import decontamination, ngram_join, secrets_scan, sentencepiece_bpe, toxicity
-from strandline.llm.common import arrow_limits, cut_lineage, only, table
+from strandline.llm.common import arrow_limits, cut_lineage, only, picked, table
 
 #: Near duplicates: words of a shingle and the least similarity in per cent.
 SHINGLE, PERCENT = 5, 80
@@ -46,16 +46,19 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     arrow_limits(spark)
     rows = keyed(docs)
     found = ngram_join.near_duplicates(searched(rows.where(F.col(KEY).isNotNull())), SHINGLE, PERCENT)
-    first = found.where("component_id = doc_id").select(F.col("doc_id").alias(KEY)).distinct()
-    kept = rows.join(first, KEY, "left_semi").dropDuplicates([KEY, "text"])
-    return kept.unionByName(rows.where(F.col(KEY).isNull())).select(*docs.columns)
+    later = cut_lineage(found.where("component_id <> doc_id").select(F.col("doc_id").alias(KEY)).distinct())
+    again = cut_lineage(rows.where(F.col(KEY).isNotNull()).groupBy(KEY).count().where("count > 1").select(KEY))
+    first = picked(rows, later, "left_anti", KEY)
+    once = picked(first, again, "left_anti", KEY)
+    return once.unionByName(picked(first, again, "left_semi", KEY).dropDuplicates([KEY, "text"])).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no passage of ``benchmark``."""
     rows = keyed(docs)
     found = decontamination.contaminated(*decontamination.inputs(searched(rows), table(spark, sf_dir, "benchmark")))
-    return rows.join(found.select(F.col("doc_id").alias(KEY)).distinct(), KEY, "left_anti").select(*docs.columns)
+    ids = cut_lineage(found.select(F.col("doc_id").alias(KEY)).distinct())
+    return picked(rows, ids, "left_anti", KEY).select(*docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,37 +7,43 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage
+from .common import cut_lineage, release
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, component) for every id in ``edges`` (a, b): component is the smallest id that links reach.
+    """(id, component) for every id in ``edges`` (a, b), as a written table: component is the smallest id that links reach.
 
     A round sends every id to the smallest of itself and its neighbours and rewrites the edges through
     that map, which keeps what is connected; the smallest id of a component always stays itself. Rounds
     go on until no edge joins two ids; the number of edges falls in each. All tables stay distributed,
-    each round's edges are written to the checkpoint folder, and every grouping is a minimum,
-    which Spark computes partly before it shuffles.
+    each round's edges are written to the shared folder and removed in the end, and every grouping is a
+    minimum, which Spark computes partly before it shuffles.
     """
-    edges = cut_lineage(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    ordered = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    rounds = [cut_lineage(ordered)]
     maps: list[DataFrame] = []
-    while not edges.isEmpty():
+    while not rounds[-1].isEmpty():
+        edges = rounds[-1]
         both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         step = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("to")).withColumnRenamed("a", "id")
         maps.append(step)
-        edges = (
+        moved = (
             edges.join(step.select(F.col("id").alias("a"), F.col("to").alias("p")), "a")
             .join(step.select(F.col("id").alias("b"), F.col("to").alias("q")), "b")
             .where("p <> q")
             .select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
             .distinct()
         )
-        edges = cut_lineage(edges)
-    if not maps:
-        return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
+        rounds.append(cut_lineage(moved))
 
     def through(found: DataFrame, step: DataFrame) -> DataFrame:
         nxt = step.select(F.col("id").alias("component"), F.col("to").alias("further"))
         return found.join(nxt, "component", "left").select("id", F.coalesce("further", "component").alias("component"))
 
-    return reduce(through, maps[1:], maps[0].withColumnRenamed("to", "component"))
+    if maps:
+        found = reduce(through, maps[1:], maps[0].withColumnRenamed("to", "component"))
+    else:
+        found = rounds[0].select(F.col("a").alias("id"), F.col("b").alias("component"))
+    out = cut_lineage(found)
+    release(*rounds)
+    return out

@@ -7,20 +7,25 @@ segments; a similar pair differs little in most of them.
 * Sizes fall into bands of ratio ``RATIO``. In the scheme of band k meet all pairs whose smaller set lies
   in band k; the larger one lies in it too or above it up to (largest size of band k)/t. So each set
   enters the scheme of its own band and those below it that it can reach.
-* Scheme k allows H_k differences. Its segments have allowances v of 0 (the set's part of the segment is
-  indexed as it is) or 1 (its part and every part with one token deleted). A pair that no segment brings
-  together differs in at least v + 1 tokens in each, so segments with a sum of v + 1 over H_k miss no pair.
-* A part without tokens says nothing and is shared by many sets, so a set skips (v = -1) up to ``x_k``
-  empty parts, and the sum is H_k + 1 + x_k to make up for it; a set with more empty parts skips none.
-* How many segments get v = 1 and what x_k is, is decided for each band by cost: keys written, plus the
-  chance meetings to expect among the band's sets, from the band's number of sets, counted over the corpus.
-
-Sets that share a key meet. Each meets the smallest id there first (a star, so the pairs grow with the
-keys and not with their square), pairs are verified exactly, and links give components. Where a key's
-members are in different components, they are held against another of them, chosen by hash, ROUNDS times,
-which joins nearly all that belong together at a cost in proportion to the members. Pairs of one key that
-are still apart are then all compared, but for those that sizes and a 128-bit parity sketch rule out;
-pairs in one component need no comparison. So no link between two components is lost. Equal sets are one set throughout.
+* A scheme's segments have allowances v of 0 (the set's part of the segment is indexed as it is) or 1 (its
+  part and every part with one token deleted). Two sets that such a segment doesn't bring together differ
+  in v + 1 tokens there at least (in one if the part is a single token, whose deletion isn't indexed).
+* A set walks the segments in their fixed order, passes over those where it has no token, and indexes parts
+  until their v + 1 add up to one more than the differences that a partner may have. Of two sets, take the
+  one whose walk ends at the earlier segment: had they met nowhere, they would differ in more tokens than
+  similar sets can. So no pair is missed, and empty parts, which say nothing, are never indexed.
+* The few sets whose parts don't suffice (chance puts their tokens into very few segments) index all they
+  have, and share one more key with each other.
+* How many segments there are, and which share of them has v = 1, is decided for each band by cost: keys
+  written, plus the chance meetings to expect among the band's sets, counted over the corpus.
+
+Equal sets are one: only the smallest doc_id of each is indexed. Keys cross the shuffle packed, a few bytes
+each. Sets that share a key meet the smallest id there first (a star, so the pairs grow with the keys and
+not with their square). Parity sketches of ``SKETCH`` bits rule out what cannot be similar, the rest is
+verified exactly: first every set against the partner with which it shares the most keys, then those still
+in different components. Where a key's members are in different components after that, they are held
+against another of them, chosen by hash, ROUNDS times. What is then still apart is compared where sizes and
+sketches allow a link; pairs in one component need no comparison. So no link between two components is lost.
 """
 
 from __future__ import annotations
@@ -28,25 +33,27 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, blocks, cut_lineage, mix, only, shingles, table, word_hashes
+from .common import arrow_limits, blocks, cut_lineage, mix, only, picked, release, shingles, table, word_hashes
 from .components import components
 
 #: Ratio of a size band's ends.
-RATIO = 1.5
-#: Keys that a task gathers before it joins what meets within them.
-GATHER = 256 << 10
-#: Ids up to which the documents to verify are picked by a broadcast (8 bytes each).
-BROADCAST_IDS = 500_000
+RATIO = 2.0
+#: Keys that a task gathers before it joins what meets within them, and keys of a bucket to aim at.
+GATHER, BUCKET = 512 << 10, 1 << 20
+#: Bits of a set's parity sketch.
+SKETCH = 512
 #: Times that members of a key in different components are held against one of them, chosen by hash, before
 #: those that are still apart are held against each other.
 ROUNDS = 2
+#: Tokens of a segment to choose from, and eighths of the segments that have v = 1.
+LOADS, ONES = (1 / 64, 1 / 8, 0.5, 1.0, 1.5, 2.0, 2.5, 3.0, 4.0, 5.0, 6.0, 8.0), (0, 2, 4, 8)
 
 
 @dataclass(frozen=True)
@@ -56,13 +63,17 @@ class Scheme:
     low: int
     high: int
     reach: int
-    zeros: int
-    ones: int
-    spare: int
+    segments: int
+    ones: int  # eighths of the segments with v = 1
 
-    @property
-    def segments(self) -> int:
-        return self.zeros + self.ones
+    def allowance(self, segment: np.ndarray) -> np.ndarray:
+        """v of segments, spread evenly over their order."""
+        return (segment * 5 % 8 < self.ones).astype(np.int64)
+
+    def target(self, sizes: np.ndarray, percent: int) -> np.ndarray:
+        """The v + 1 that sets of these sizes must index: one over what they and a partner can differ in."""
+        partner = np.where(sizes <= self.high, np.minimum(self.reach, 100 * sizes // percent), self.high)
+        return (sizes + partner) * (100 - percent) // (100 + percent) + 1
 
 
 def differences(a: int, b: int, percent: int) -> int:
@@ -81,51 +92,55 @@ def bands(largest: int) -> list[tuple[int, int]]:
 
 
 def allocate(counts: dict[int, int], percent: int, largest: int) -> list[Scheme]:
-    """Schemes for all bands, each with the allowances of least expected cost.
+    """Schemes for all bands, each with the segments and allowances of least expected cost.
 
     ``counts`` has the number of sets of each band (by place in ``bands``).
     """
     out = []
     for k, (low, high) in enumerate(bands(largest)):
         reach = 100 * high // percent
-        h = differences(high, reach, percent)
         n, mid = counts.get(k, 0), math.sqrt(low * high)
         best = None
-        for ones in sorted({0, *(h // 2 * i // 4 for i in range(1, 5)), (h + 2) // 2}):
-            for spare in sorted({0, 1, 2, h // 8, h // 4, h // 2}):
-                zeros = max(0, h + 1 + spare - 2 * ones)
-                m = zeros + ones
-                if m == 0:
+        for load in LOADS:
+            for ones in ONES:
+                s = Scheme(low, high, reach, max(1, round(mid / load)), ones)
+                if not all(_suffices(s, size, percent) for size in (low, high, reach)):
                     continue
-                load = mid / m
-                empty = math.exp(-load)
-                lost = zeros * empty + ones * empty * (2 + load)
-                dull = empty if lost + 2 * math.sqrt(lost) > spare else 0.0  # too few to spare: empty parts are indexed
-                # parts of few tokens meet by chance where common passages fill them
-                chance = dull**2 + 0.02 * math.exp(-2 * load) * load
-                near = (empty * (1 + load)) ** 2
-                keys = zeros * (1 - empty) + ones * (1 + load)
-                cost = n * keys + n * n / 2 * (zeros * chance + ones * near) * 0.05
+                tokens = load / -math.expm1(-load)  # of a part that isn't empty
+                share = ones / 8
+                parts = int(s.target(np.array([int(mid)]), percent)[0]) / (1 + share * (tokens > 1.5))
+                keys = parts * (1 + share * tokens)
+                # of unlike texts about a tenth may be passages that others hold too
+                chance = 0.01 * ((1 - share) * 0.1**tokens + share * (1 + tokens) * 0.1 ** max(0.0, tokens - 1))
+                cost = n * keys + n * n / 2 * parts * chance
                 if best is None or cost < best[0]:
-                    best = (cost, zeros, ones, spare)
-        out.append(Scheme(low, high, reach, *best[1:]))
+                    best = (cost, s)
+        out.append(best[1] if best else Scheme(low, high, reach, 64 * reach, 0))
     return out
 
 
-def set_hashes(tokens: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Two 64-bit hashes and a 128-bit parity sketch (two words) of each set."""
+def _suffices(s: Scheme, size: int, percent: int) -> bool:
+    """Whether the parts of nearly all sets of a size add up to what they must index."""
+    m, load = s.segments, size / s.segments
+    empty = math.exp(-load)
+    spread = 5 * math.sqrt(m * empty * max(0.0, 1 - (1 + load) * empty))
+    several = max(0.0, 1 - empty * (1 + load))  # share of segments with two tokens or more
+    return m * (1 - empty + s.ones / 8 * several) - spread * (1 + s.ones / 8) >= int(s.target(np.array([size]), percent)[0])
+
+
+def set_hashes(tokens: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two 64-bit hashes and the parity sketch (SKETCH / 64 words a row) of each set."""
     n = len(at) - 1
-    out = np.zeros((4, n), np.uint64)
+    out = np.zeros((2, n), np.uint64)
     some = np.flatnonzero(np.diff(at))
     if len(some):
         starts = at[:-1][some]
         for k, salt in enumerate((0x51ED270B, 0x7FB5D329)):
             out[k, some] = mix(np.add.reduceat(mix(tokens ^ np.uint64(salt)), starts))
-        bit = np.uint64(1) << (tokens & np.uint64(63))
-        side = (tokens >> np.uint64(6)) & np.uint64(1)
-        for k in (0, 1):
-            out[2 + k, some] = np.bitwise_xor.reduceat(np.where(side == k, bit, np.uint64(0)), starts)
-    return tuple(out.view(np.int64))
+    bit = np.repeat(np.arange(n), np.diff(at)) * SKETCH + (tokens & np.uint64(SKETCH - 1)).astype(np.int64)
+    odd = (np.bincount(bit, minlength=n * SKETCH) & 1).astype(bool)
+    sketch = np.packbits(odd.reshape(n, SKETCH), axis=1, bitorder="little").view(np.uint64)
+    return out[0].view(np.int64), out[1].view(np.int64), sketch.view(np.int64)
 
 
 def token_sets(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -136,7 +151,7 @@ def token_sets(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray, np.n
         yield first, np.concatenate(parts) if parts else got, np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
 
 
-def index_keys(tokens: np.ndarray, at: np.ndarray, schemes: list[Scheme]) -> tuple[np.ndarray, np.ndarray]:
+def index_keys(tokens: np.ndarray, at: np.ndarray, schemes: list[Scheme], percent: int) -> tuple[np.ndarray, np.ndarray]:
     """(key, document) of all sets in all schemes that they enter."""
     keys, owners = [], []
     sizes = np.diff(at)
@@ -149,123 +164,171 @@ def index_keys(tokens: np.ndarray, at: np.ndarray, schemes: list[Scheme]) -> tup
         t = tokens[take]
         doc = np.repeat(np.arange(len(inside)), sizes[inside])
         segment = ((t >> np.uint64(32)) * m >> np.uint64(32)).astype(np.int64)  # grows with t: parts are runs
-        part = doc * s.segments + segment
-        starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-        count = np.diff(np.concatenate([starts, [len(part)]]))
+        starts = np.flatnonzero(np.concatenate([[True], (segment[1:] != segment[:-1]) | (doc[1:] != doc[:-1])]))
+        count = np.diff(np.concatenate([starts, [len(t)]]))
+        own, where = doc[starts], segment[starts]
+        # the walk: a set's parts in order of segments, until their weights reach its target
+        one = s.allowance(where) == 1
+        weight = 1 + (one & (count > 1))
+        before = np.cumsum(weight) - weight
+        first = np.searchsorted(own, np.arange(len(inside)))
+        before -= before[first][own]
+        target = s.target(sizes[inside], percent)
+        walked = before < target[own]
         value = mix(t + np.uint64((k + 1) * 0x2545F4914F6CDD1D % (1 << 64)))
         total = np.add.reduceat(value, starts)
-        salt = mix(np.uint64(k) * np.uint64(1 << 32) + segment[starts].astype(np.uint64) + np.uint64(7))
-        key = lambda sums, n, salts: mix(sums + salts + n.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
-        keys.append(key(total, count, salt))
-        owners.append(inside[doc[starts]])
-        # what skipping empty parts costs of the sum of v + 1; a part of one token has no deletion to index
-        loss = np.where(np.arange(s.segments) < s.zeros, 1, 2)
-        own = doc[starts]
-        kept = np.bincount(own, loss[segment[starts]] - ((count == 1) & (segment[starts] >= s.zeros)), len(inside))
-        whole = loss.sum() - kept > s.spare  # these sets index their empty parts too
-        full = np.flatnonzero(whole)
-        if len(full):
-            there = np.zeros((len(full), s.segments), bool)
-            place = np.full(len(inside), -1)
-            place[full] = np.arange(len(full))
-            at_full = place[own]
-            there[at_full[at_full >= 0], segment[starts][at_full >= 0]] = True
-            row, empty = np.nonzero(~there)
-            salts = mix(np.uint64(k) * np.uint64(1 << 32) + empty.astype(np.uint64) + np.uint64(7))
-            keys.append(key(np.zeros(len(row), np.uint64), np.zeros(len(row), np.int64), salts))
-            owners.append(inside[full[row]])
-        if s.ones:
-            # the last ``ones`` segments have v = 1: every part less one of its tokens
-            of = np.repeat(np.arange(len(starts)), count)
-            chosen = np.flatnonzero((segment >= s.zeros) & ((count[of] > 1) | whole[doc]))
+        salt = mix(np.uint64(k) * np.uint64(1 << 32) + where.astype(np.uint64) + np.uint64(7))
+        keys.append(_key(total[walked], count[walked], salt[walked]))
+        owners.append(inside[own[walked]])
+        # every part less one of its tokens, where v = 1
+        of = np.repeat(np.arange(len(starts)), count)
+        chosen = np.flatnonzero((walked & one & (count > 1))[of])
+        if len(chosen):
             of = of[chosen]
-            keys.append(key(total[of] - value[chosen], count[of] - 1, salt[of]))
+            keys.append(_key(total[of] - value[chosen], count[of] - 1, salt[of]))
             owners.append(inside[doc[chosen]])
+        short = np.flatnonzero(np.bincount(own, weight, len(inside)) < target)
+        if len(short):
+            keys.append(np.full(len(short), mix(np.array([k + 0xA5A5A5A5], np.uint64))[0]))
+            owners.append(inside[short])
     if not keys:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     return np.concatenate(keys), np.concatenate(owners)
 
 
+def _key(sums: np.ndarray, counts: np.ndarray, salts: np.ndarray) -> np.ndarray:
+    return mix(sums + salts + counts.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
+
+
+_WORDS = [f"s{i}" for i in range(SKETCH // 64)]
+
+
 def profile(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n (set size), h1, h2 (hashes of the set) and s1, s2 (parity sketch) of every document."""
+    """doc_id, n (set size), h1, h2 (hashes of the set) and its sketch's words of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, tokens, at in token_sets(batch.column("text"), k):
-                got = set_hashes(tokens, at)
+                h1, h2, sketch = set_hashes(tokens, at)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(first, len(at) - 1), pa.array(np.diff(at)), *map(pa.array, got)],
-                    ["doc_id", "n", "h1", "h2", "s1", "s2"],
+                    [batch.column("doc_id").slice(first, len(at) - 1), *map(pa.array, (np.diff(at), h1, h2, *sketch.T.copy()))],
+                    ["doc_id", "n", "h1", "h2", *_WORDS],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, s1 long, s2 long")
+    return docs.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, " + ", ".join(f"{w} long" for w in _WORDS))
+
+
+def planes(x: np.ndarray, width: int) -> bytes:
+    """The ``width`` low bytes of numbers, byte by byte, which packs better."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def unplaned(raw: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(raw) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(raw, np.uint8).reshape(width, -1).T
+    return out.reshape(-1).view("<u8")
 
 
-def meetings(docs: DataFrame, k: int, schemes: list[Scheme]) -> DataFrame:
+def meetings(docs: DataFrame, k: int, schemes: list[Scheme], percent: int, expected: int) -> DataFrame:
     """(key, lead, doc): documents that share a key with a smaller one, ``lead``; as trees of stars.
 
-    A task first joins what meets among the keys it has gathered and sends on only the smallest id of
-    each key, so a key of very many documents crosses the shuffle once for each gathering. Rows come
-    sorted to the second step, which reads them as a stream and holds one key's leader at a time.
+    A task joins what meets among the keys it has gathered and sends on only the smallest id of each key,
+    so a key of very many documents crosses the shuffle once for each gathering. Keys are dealt by range
+    to buckets, of which there are so many that each holds about BUCKET of the ``expected`` keys; a row
+    of the shuffle has all keys of one gathering and bucket, as sorted differences, and places in the
+    list of its ids. Keys are cut to as many bits as the expected number asks for: those that fall
+    together by chance cost a verification and lose nothing.
     """
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-expected // BUCKET))
+    bits = min(64, max(32, expected.bit_length() + 16))
 
-    def gathered(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        key, doc = (np.concatenate(x) for x in zip(*parts))
+    def stars(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Sorted distinct (key, doc), the smallest doc of each key, and where a key begins."""
         order = np.lexsort((doc, key))
         key, doc = key[order], doc[order]
         first = np.ones(len(key), bool)
         first[1:] = key[1:] != key[:-1]
-        lead = doc[np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))]
         fresh = first.copy()
         fresh[1:] |= doc[1:] != doc[:-1]
-        key, doc, lead, first = key[fresh], doc[fresh], lead[fresh], first[fresh]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(key.view(np.int64)), pa.array(lead), pa.array(doc), pa.array(first)], ["key", "lead", "doc", "open"]
-        )
+        key, doc, first = key[fresh], doc[fresh], first[fresh]
+        return key, doc, doc[np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))], first
+
+    def met(key: np.ndarray, lead: np.ndarray, doc: np.ndarray) -> list[pa.Array]:
+        return [pa.array(key.view(np.int64)), pa.array(lead), pa.array(doc)]
+
+    def packed(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        key, doc, lead, first = stars(*(np.concatenate(x) for x in zip(*parts)))
+        if not len(key):
+            return
+        rest = ~first
+        key, doc, same = key[first], doc[first], met(key[rest], lead[rest], doc[rest])
+        if rest.any():
+            nothing = pa.nulls(len(same[0]), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(same[0]), pa.int32()), nothing, nothing, nothing, *same], _PACKED)
+        bucket = ((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        cut = key >> np.uint64(64 - bits) if bits < 64 else key
+        edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        rows: list[tuple] = []
+        for a, b in zip(edges, [*edges[1:], len(key)]):
+            step = np.diff(cut[a:b], prepend=np.uint64(0))
+            ids, place = np.unique(doc[a:b], return_inverse=True)
+            width = lambda x: max(1, -(-int(x.max()).bit_length() // 8)) if len(x) else 1
+            tail = width(step[1:])
+            rows.append((int(bucket[a]), step[:1].tobytes() + bytes([tail]) + planes(step[1:], tail), planes(place, width(place)), ids.tobytes()))
+        if rows:
+            x = list(zip(*rows))
+            none = pa.nulls(len(rows), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(x[0], pa.int32()), *(pa.array(c, pa.binary()) for c in x[1:]), none, none, none], _PACKED)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for first, tokens, at in token_sets(batch.column("text"), k):
-                key, doc = index_keys(tokens, at, schemes)
+                key, doc = index_keys(tokens, at, schemes, percent)
                 held.append((key, ids[first + doc].astype(np.int64)))
                 n += len(key)
                 if n > GATHER:
-                    yield gathered(held)
+                    yield from packed(held)
                     held, n = [], 0
         if held:
-            yield gathered(held)
+            yield from packed(held)
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_key = last_lead = None
+        """A partition's rows are one bucket, but for those that have met already, which pass through."""
+        held = []
         for batch in batches:
-            met = batch.filter(pc.invert(batch.column("open")))
-            if met.num_rows:
-                yield met.select(["key", "lead", "doc"])
-            batch = batch.filter(batch.column("open"))
-            key, doc = batch.column("key").to_numpy(), batch.column("doc").to_numpy()
-            if not len(key):
-                continue
-            first = np.concatenate([[last_key is None or key[0] != last_key], key[1:] != key[:-1]])
-            at = np.maximum.accumulate(np.where(first, np.arange(len(key)), -1))
-            lead = np.where(at >= 0, doc[at], last_lead if last_lead is not None else 0)
-            last_key, last_lead = key[-1], lead[-1]
-            met = doc != lead
-            yield pa.RecordBatch.from_arrays([pa.array(key[met]), pa.array(lead[met]), pa.array(doc[met])], ["key", "lead", "doc"])
-
-    kind = "key long, lead long, doc long"
-    sent = docs.mapInArrow(local, kind + ", open boolean")
-    # what has met already passes through and is spread; the rest meets by key
-    to = F.when(F.col("open"), F.col("key")).otherwise(F.xxhash64("key", "doc"))
-    return sent.repartition(to).sortWithinPartitions("open", "key", "doc").mapInArrow(across, kind)
+            already = batch.filter(batch.column("key").is_valid())
+            if already.num_rows:
+                yield already.select(["key", "lead", "doc"])
+            for steps, place, ids in zip(*(batch.column(c).to_pylist() for c in ("steps", "place", "ids"))):
+                if steps is None:
+                    continue
+                begin = np.frombuffer(steps, "<u8", 1)
+                key = np.cumsum(np.concatenate([begin, unplaned(steps[9:], steps[8])]), dtype=np.uint64)
+                held.append((key, np.frombuffer(ids, np.int64)[unplaned(place, len(place) // len(key)).astype(np.int64)]))
+        if held:
+            key, doc, lead, first = stars(*(np.concatenate(x) for x in zip(*held)))
+            key = key << np.uint64(64 - bits) if bits < 64 else key
+            rest = np.flatnonzero(~first)
+            for a in range(0, len(rest), GATHER):
+                part = rest[a : a + GATHER]
+                yield pa.RecordBatch.from_arrays(met(key[part], lead[part], doc[part]), ["key", "lead", "doc"])
+
+    sent = docs.mapInArrow(local, "bucket int, steps binary, place binary, ids binary, key long, lead long, doc long")
+    # what has met already passes through and is spread by its key
+    to = F.coalesce("bucket", F.pmod(F.xxhash64("key", "doc"), F.lit(buckets)).cast("int"))
+    out = sent.repartitionById(buckets, to).mapInArrow(across, "key long, lead long, doc long")
+    # a key cut like those that met across, so that its members are found together
+    return out.withColumn("key", F.shiftleft(F.shiftrightunsigned("key", 64 - bits), 64 - bits)) if bits < 64 else out
+
+
+_PACKED = ["bucket", "steps", "place", "ids", "key", "lead", "doc"]
 
 
 def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """Of distinct (a, b), those whose sets' similarity is percent/100 at least, from the whole texts."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    if wanted.count() <= BROADCAST_IDS:  # else all texts are shuffled
-        wanted = F.broadcast(wanted)
+    wanted = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -273,12 +336,12 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFra
                 sets = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(tokens.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(at) - 1), sets], ["id", "tokens"])
 
-    sets = docs.join(wanted, "doc_id", "left_semi").mapInArrow(run, "id long, tokens array<bigint>")
+    sets = picked(docs, wanted, "left_semi").mapInArrow(run, "id long, tokens array<bigint>")
     both = pairs.join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b").join(
         sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a"
     )
     shared = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("i"), (F.size("x") + F.size("y")).alias("s"))
-    return shared.where(F.lit(100) * F.col("i") >= F.lit(percent) * (F.col("s") - F.col("i"))).select("a", "b")
+    return shared.where(F.lit(100) * F.col("i") >= F.lit(percent) * (F.col("s") - F.col("i"))).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -288,75 +351,106 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     linked, also through others; component_id is the smallest doc_id reached. A null, empty or blank text
     has no shingles and is linked with nothing. Equal texts are linked. An empty table gives no rows. A
     doc_id is taken to name one document: rows that share it share its links. A null doc_id gives a
-    component of null.
+    component of null. The tables that the result is read from stay in the shared folder.
     """
     docs = docs.select("doc_id", "text")
     about = cut_lineage(profile(docs, k))
     known = about.where("n > 0 AND doc_id IS NOT NULL")
-    classes = cut_lineage(known.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.min("s1").alias("s1"), F.min("s2").alias("s2")))
+    classes = known.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"))
+    rep = cut_lineage(known.select("doc_id", "n", "h1", "h2").distinct().join(classes, ["n", "h1", "h2"]).select("doc_id", "rep", "n"))
+
     edges_of = bands(1 << 31)
     band = F.lit(len(edges_of))
     for i, (_, high) in reversed(list(enumerate(edges_of))):
         band = F.when(F.col("n") <= high, F.lit(i)).otherwise(band)
-    sizes = classes.groupBy(band.alias("band")).agg(F.count(F.lit(1)), F.max("n")).collect()  # a row for each band
-    counts, largest = {r[0]: r[1] for r in sizes}, max((r[2] for r in sizes), default=0)
-    schemes = allocate(counts, percent, largest)
-    met = cut_lineage(meetings(docs.where("doc_id IS NOT NULL"), k, schemes))
-
-    rep = known.join(classes.select("n", "h1", "h2", "rep"), ["n", "h1", "h2"]).select(F.col("doc_id").alias("id"), "rep")
-    rep = cut_lineage(rep.distinct())
-    named = lambda df, column: df.join(rep.select(F.col("id").alias(column), F.col("rep").alias(f"{column}_rep")), column)
-    pairs = named(named(met.select("lead", "doc").distinct(), "lead"), "doc").where("lead_rep <> doc_rep")
-    pairs = cut_lineage(pairs.select(F.least("lead_rep", "doc_rep").alias("a"), F.greatest("lead_rep", "doc_rep").alias("b")).distinct())
-    links = cut_lineage(verified(docs, pairs, k, percent))
-    found = cut_lineage(components(links))
+    only_reps = rep.where("doc_id = rep")
+    sizes = only_reps.groupBy(band.alias("band")).agg(F.count(F.lit(1)), F.sum("n"), F.max("n")).collect()  # a row for each band
+    schemes = allocate({r[0]: r[1] for r in sizes}, percent, max((r[3] for r in sizes), default=0))
+    expected = sum(r[2] * max(1, schemes[r[0]].ones) * 3 * (100 - percent) // (100 + percent) + r[1] for r in sizes)
+    copies = rep.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("rep")).alias("first")).where("NOT first").select("doc_id")
+    indexed = picked(docs.where("doc_id IS NOT NULL"), copies, "left_anti")
+    met = cut_lineage(meetings(indexed, k, schemes, percent, expected))
+
+    # what a set's sizes and sketch allow; a doc_id with several texts has several
+    sketches = about.where("n > 0").join(only_reps.select("doc_id", "n").distinct(), ["doc_id", "n"], "left_semi").select(F.col("doc_id").alias("id"), "n", *_WORDS).distinct()
+    pairs = cut_lineage(met.groupBy("lead", "doc").agg(F.count(F.lit(1)).alias("keys")).select(F.col("lead").alias("a"), F.col("doc").alias("b"), "keys"))
+    likely = cut_lineage(_likely(pairs, sketches, percent))
+
+    # documents with texts of several classes join these
+    several = rep.groupBy("doc_id").agg(F.count_distinct("rep").alias("reps")).where("reps > 1").select("doc_id")
+    links = [cut_lineage(rep.join(several, "doc_id", "left_semi").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))]
+
+    def link(new: DataFrame) -> DataFrame:
+        """Components after ``new`` pairs are verified too."""
+        links.append(cut_lineage(verified(docs, new, k, percent)))
+        return components(reduce(DataFrame.unionAll, links))
+
+    best = cut_lineage(likely.groupBy("b").agg(F.max_by("a", F.struct("keys", -F.col("a"))).alias("a")).select("a", "b"))
+    found = link(best)
+    rest = cut_lineage(_apart(likely.join(best, ["a", "b"], "left_anti"), found).select("a", "b"))
+    old, found = found, link(rest)
+    release(old, best, rest)
 
     # members of one key in different components: the pairs that the stars left open
-    members = met.select("key", F.col("lead").alias("id")).unionAll(met.select("key", F.col("doc").alias("id")))
-    members = members.distinct().join(rep, "id").select("key", "rep").distinct()
-    members = members.join(classes.select("rep", "n", "s1", "s2"), "rep")
-    for salt in range(ROUNDS):
-        members = cut_lineage(_open(members, found))
-        if members.isEmpty():
+    open_pairs = _apart(pairs, found).select(F.col("a").alias("lead"), F.col("b").alias("doc"))
+    open_keys = met.join(open_pairs, ["lead", "doc"], "left_semi").select("key").distinct()
+    of_open = met.join(open_keys, "key", "left_semi")
+    members = of_open.select("key", F.col("lead").alias("id")).unionAll(of_open.select("key", F.col("doc").alias("id"))).distinct()
+    several = members.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 2").select("key")  # a pair alone has met
+    members = cut_lineage(members.join(several, "key", "left_semi"))
+    seen = pairs.select("a", "b")
+    steps = [*range(ROUNDS), None]
+    for salt in steps:
+        named = members.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+        mixed = named.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
+        named = cut_lineage(named.join(mixed, "key", "left_semi"))
+        if named.isEmpty():
+            release(named)
             break
-        lead = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", F.lit(salt)), F.col("rep").alias("o_rep"), F.col("c").alias("o_c"), F.col("n").alias("o_n"), F.col("s1").alias("o_s1"), F.col("s2").alias("o_s2"))).alias("o"))
-        found, links, pairs = _link(docs, members.join(lead.select("key", "o.*"), "key").where(_may_link(percent)), found, links, pairs, k, percent)
-    members = cut_lineage(_open(members, found))
-    other = members.select(F.col("key").alias("o_key"), *(F.col(c).alias(f"o_{c}") for c in ("rep", "c", "n", "s1", "s2")))
-    both = members.join(other, (F.col("key") == F.col("o_key")) & (F.col("rep") < F.col("o_rep")) & _may_link(percent))
-    found, links, pairs = _link(docs, both, found, links, pairs, k, percent)
+        if salt is None:
+            mine, other = (named.join(_named(sketches, "id", mark), "id") for mark in "xy")
+            other = other.withColumnsRenamed({"id": "o_id", "c": "o_c"})
+            met_again = mine.join(other, "key").where((F.col("id") < F.col("o_id")) & (F.col("c") != F.col("o_c")) & _fits(percent))
+        else:
+            lead = named.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(salt)), F.col("id").alias("o_id"), F.col("c").alias("o_c"))).alias("o"))
+            met_again = named.join(lead.select("key", "o.o_id", "o.o_c"), "key").where("c <> o_c")
+        new = met_again.select(F.least("id", "o_id").alias("a"), F.greatest("id", "o_id").alias("b")).distinct().join(seen, ["a", "b"], "left_anti")
+        new = cut_lineage(_likely(new, sketches, percent).select("a", "b"))
+        seen = seen.unionAll(new)
+        old, found = found, link(new)
+        release(old, named)
+    release(met, members, likely, *links)
+
     whole = rep.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    whole = whole.groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("component"))
-    return about.join(whole.withColumnRenamed("id", "doc_id"), "doc_id", "left").select(
+    whole = whole.groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component"))
+    return about.select("doc_id", "n").join(whole, "doc_id", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")
     )
 
 
-def _open(members: DataFrame, found: DataFrame) -> DataFrame:
-    """Members of keys that more than one component shares, with their component ``c``."""
-    named = found.select(F.col("id").alias("rep"), "component")
-    members = members.select("key", "rep", "n", "s1", "s2").join(named, "rep", "left")
-    members = members.withColumn("c", F.coalesce("component", "rep")).drop("component")
-    mixed = members.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
-    return members.join(mixed.select("key"), "key")
+def _named(sketches: DataFrame, column: str, mark: str) -> DataFrame:
+    return sketches.select(F.col("id").alias(column), *(F.col(c).alias(f"{mark}{c}") for c in ("n", *_WORDS)))
+
+
+def _fits(percent: int) -> Column:
+    """Neither sizes nor parity sketches rule the similarity out."""
+    differ = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"x{w}").bitwiseXOR(F.col(f"y{w}"))) for w in _WORDS))
+    return (F.least("xn", "yn") * 100 >= F.greatest("xn", "yn") * percent) & (
+        differ * (100 + percent) <= (F.col("xn") + F.col("yn")) * (100 - percent)
+    )
 
 
-def _may_link(percent: int):
-    """Different components, and neither sizes nor parity sketches rule the similarity out."""
-    apart = F.bit_count(F.col("s1").bitwiseXOR(F.col("o_s1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("o_s2")))
-    at_most = F.floor((F.col("n") + F.col("o_n")) * (100 - percent) / (100 + percent))
-    sizes = F.least("n", "o_n") * 100 >= F.greatest("n", "o_n") * percent
-    return (F.col("c") != F.col("o_c")) & (apart <= at_most) & sizes
+def _likely(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, ...) that neither sizes nor parity sketches rule out."""
+    both = pairs.join(_named(sketches, "a", "x"), "a").join(_named(sketches, "b", "y"), "b")
+    return both.where(_fits(percent)).select(*pairs.columns).distinct()
 
 
-def _link(docs: DataFrame, both: DataFrame, found: DataFrame, links: DataFrame, pairs: DataFrame, k: int, percent: int) -> tuple[DataFrame, ...]:
-    """Verify pairs that haven't been yet; components, links and all pairs seen after that."""
-    new = both.select(F.least("rep", "o_rep").alias("a"), F.greatest("rep", "o_rep").alias("b")).distinct()
-    new = cut_lineage(new.join(pairs, ["a", "b"], "left_anti"))
-    if new.isEmpty():
-        return found, links, pairs
-    links = cut_lineage(links.unionAll(verified(docs, new, k, percent)))
-    return cut_lineage(components(links)), links, pairs.unionAll(new)
+def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """Pairs in different components."""
+    for side in ("a", "b"):
+        pairs = pairs.join(found.select(F.col("id").alias(side), F.col("component").alias(f"{side}_c")), side, "left")
+    return pairs.where(F.coalesce("a_c", "a") != F.coalesce("b_c", "b")).drop("a_c", "b_c")
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,9 +63,10 @@ def test_against_all_pairs(spark, frame, k, percent):
     assert {r[0]: (r[1], r[2]) for r in ngram_join.near_duplicates(df, k, percent).collect()} == brute(rows, k, percent)
 
 
-@pytest.mark.parametrize("ones", [0, 1, 3])
-def test_every_allocation_finds_every_pair(ones):
-    """The pigeonhole argument, for forced numbers of segments with one-deletion neighbourhoods."""
+@pytest.mark.parametrize("ones", [0, 2, 4, 8])
+@pytest.mark.parametrize("load", [0.1, 1.5, 4, 20])
+def test_every_allocation_finds_every_pair(ones, load):
+    """The pigeonhole argument, for forced segments with one-deletion neighbourhoods; a high load leaves many sets short."""
     percent = 80
     rng = random.Random(ones)
     sets = []
@@ -74,24 +75,24 @@ def test_every_allocation_finds_every_pair(ones):
         sets.append(set(base))
         for _ in range(3):
             sets.append({x for x in base if rng.random() > 0.1} | {rng.getrandbits(64) for _ in range(rng.randint(0, 3))} or set(base))
-    largest = max(map(len, sets))
-    schemes = []
-    for low, high in ngram_join.bands(largest):
-        reach = 100 * high // percent
-        h = ngram_join.differences(high, reach, percent)
-        n = min(ones, (h + 2) // 2)
-        for spare in (0,):
-            schemes.append(ngram_join.Scheme(low, high, reach, max(0, h + 1 + spare - 2 * n) or (1 if n == 0 else 0), n, spare))
+    bands = ngram_join.bands(max(map(len, sets)))
+    schemes = [ngram_join.Scheme(low, high, 100 * high // percent, max(1, round(low / load)), ones) for low, high in bands]
     tokens = np.concatenate([np.unique(np.array(sorted(s), np.uint64)) for s in sets])
     at = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
-    for scheme_set in (schemes, [ngram_join.Scheme(s.low, s.high, s.reach, s.zeros + 2, s.ones, 2) for s in schemes]):
-        key, doc = ngram_join.index_keys(tokens, at, scheme_set)
-        keys = [set() for _ in sets]
-        for a, b in zip(key.tolist(), doc.tolist()):
-            keys[b].add(a)
-        for a, b in itertools.combinations(range(len(sets)), 2):
-            if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
-                assert keys[a] & keys[b], (len(sets[a]), len(sets[b]))
+    key, doc = ngram_join.index_keys(tokens, at, schemes, percent)
+    keys = [set() for _ in sets]
+    for a, b in zip(key.tolist(), doc.tolist()):
+        keys[b].add(a)
+    for a, b in itertools.combinations(range(len(sets)), 2):
+        if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+            assert keys[a] & keys[b], (len(sets[a]), len(sets[b]))
+
+
+def test_packed_numbers_come_back():
+    rng = np.random.default_rng(1)
+    for width in (1, 3, 5, 8):
+        x = rng.integers(0, 1 << (8 * width - 1), 100).astype(np.uint64)
+        assert (ngram_join.unplaned(ngram_join.planes(x, width), width) == x).all()
 
 
 def test_odd_rows(spark, frame):
