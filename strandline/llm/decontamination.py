@@ -1,29 +1,55 @@
 """Benchmark decontamination with DataFrame functions only: SimHash of item-sized windows, exact verification.
 
-A text's words are its runs of letters and digits, lower-cased. For every item, windows of as many words as
-the item has are taken from each document, wherever one of the document's shingles of five words is also
-one of the item's: the window begins where that shingle would put the item's first word (cut to the
-document's ends). A window without such a shingle has similarity 0, so none that could count is left out
-for want of a fingerprint. Window and item get 64-bit SimHash fingerprints of their words. A fingerprint is
-cut into RADIUS + 1 blocks; two of them that differ in RADIUS bits at most have one block in common, so the
-join on (item, block) finds all of them. What it finds is verified by the exact weighted Jaccard similarity
-of the shingles, the sum of smaller counts over the sum of larger counts.
+A text's words are its runs of letters and digits, lower-cased. An item's size says how many edits a passage
+of it can bear and still be similar, and so how long a run of its words stays whole in the passage: the
+window's size is the largest power of two that such a run must hold when windows begin at every half window
+(``window_size``). Every document is cut into such windows, every item into the windows at each of its
+words, and each gets a 64-bit SimHash fingerprint of its words. A fingerprint has RADIUS + 1 blocks; two
+that differ in RADIUS bits at most have a block in common, so the join on blocks finds all of those, among
+them a window of the run that stayed whole. The documents that it finds, and only they, are verified: in
+each, windows of the item's full size are laid wherever a shared shingle of five words would put the item's
+first word (cut to the document's ends), and the exact weighted Jaccard similarity of the shingles, the
+sum of smaller counts over the sum of larger counts, decides.
 """
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, only, table
+from .common import cut_lineage, only, picked, table
 
-#: Words of a shingle, the least similarity, bits in which fingerprints may differ, and their blocks.
-SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 15
-BLOCKS, BLOCK_BITS = RADIUS + 1, 64 // (RADIUS + 1)
-#: Rows of item shingles up to which they are broadcast (16 bytes each); more go through a shuffle join.
+#: Words of a shingle, the least similarity, bits in which fingerprints may differ, and bits of a block.
+SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 3
+BLOCK_BITS = 64 // (RADIUS + 1)
+#: The largest window.
+LARGEST = 32
+#: Rows about items up to which they are broadcast (some 30 bytes each); more go through a shuffle join.
 BROADCAST_ROWS = 1_000_000
 
 
+def window_size(length: int, k: int = SHINGLE, similarity: float = SIMILARITY) -> int:
+    """Words of the windows for an item of ``length`` words.
+
+    A similar window holds at least that share of the item's shingles, and an edit within the passage costs
+    k - 1 of them at least. So of the runs between edits the longest has a certain length, and windows of w
+    words at every max(1, w / 2) words have one inside it if w + max(1, w / 2) - 1 is no more than that.
+    """
+    n = length - k + 1
+    lost = n - math.ceil(n * similarity - 1e-9)
+    run = length
+    for edits in range(lost // max(1, k - 1) + 1):
+        rest = n - (lost if edits == 0 else edits * (k - 1))
+        run = min(run, -(-rest // (edits + 1)) + k - 1)
+    size = 1
+    while 2 * size <= LARGEST and 2 * size + size - 1 <= run:
+        size *= 2
+    return size
+
+
 def word_list(text: Column) -> Column:
     """The words of a text; none for null."""
     clean = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
@@ -37,47 +63,96 @@ def shingle_list(words: Column, k: int) -> Column:
     return F.when(F.size(words) >= k, F.transform(at, run)).otherwise(F.array().cast("array<bigint>"))
 
 
-def simhash(words: Column) -> Column:
-    """A 64-bit fingerprint: each bit is that of the majority of the words' hashes."""
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
-    one = lambda b: F.aggregate(hashes, F.lit(0), lambda n, h: n + F.getbit(h, b).cast("int"))
-    bit = lambda b: F.when(one(b) * 2 > F.size(words), F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long"))
-    return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda acc, b: acc.bitwiseOR(bit(b)))
+#: For each byte, its bits spread over the bytes of a long: sums of such longs count the bits of up to 127 words at once.
+_SPREAD = [sum((byte >> i & 1) << (8 * i) for i in range(8)) for byte in range(256)]
+_LANES = range(8)
+
+
+def _numbers(values: list[int]) -> Column:
+    return F.array(*(F.lit(v).cast("long") for v in values))
+
+
+def bit_counts(hashes: Column, size: int) -> Column:
+    """For runs of ``size`` hashes one after another: how many have each bit, as eight longs of eight counts."""
+    spread = _numbers(_SPREAD)
+    none = F.struct(*(F.lit(0).cast("long").alias(f"l{j}") for j in _LANES))
+    byte = lambda x, j: F.shiftrightunsigned(x, 8 * j).bitwiseAND(F.lit(255)).cast("int")
+    more = lambda acc, x: F.struct(*((acc[f"l{j}"] + F.get(spread, byte(x, j))).alias(f"l{j}") for j in _LANES))
+    count = F.floor(F.size(hashes) / size).cast("int")
+    return F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.aggregate(F.slice(hashes, i * size + 1, F.lit(size)), none, more)))
+
+
+def majority(sums: list[Column], words: int) -> Column:
+    """The fingerprint, given the lanes' counts over ``words`` words (63 at most): the bits that most of them have."""
+    lanes = lambda x: sum(x << (8 * i) for i in _LANES)
+    over = [(s + F.lit(lanes(64 - (words // 2 + 1)))).bitwiseAND(F.lit(lanes(64))) for s in sums]
+    moved = [F.shiftrightunsigned(x, j) if j < 7 else F.shiftleft(x, 1) for j, x in enumerate(over)]
+    return reduce(lambda x, y: x.bitwiseOR(y), moved)
+
+
+def fingerprints(counts: Column, size: int, parts: int) -> Column:
+    """Of windows of ``size`` words, each ``parts`` neighbours of ``counts``; none for a shorter list."""
+    lane = lambda i, j: reduce(lambda x, y: x + y, (F.get(counts, i + p)[f"l{j}"] for p in range(parts)))
+    at = F.sequence(F.lit(0), F.size(counts) - parts)
+    return F.when(F.size(counts) >= parts, F.transform(at, lambda i: majority([lane(i, j) for j in _LANES], size)))
 
 
 def block_list(fingerprint: Column) -> Column:
     """(block, value) of a fingerprint as one number for each block."""
-    cut = lambda b: F.shiftrightunsigned(fingerprint, BLOCK_BITS * b).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)) + F.lit(b << BLOCK_BITS)
-    return F.array(*(cut(b) for b in range(BLOCKS)))
+    value = lambda b: F.shiftrightunsigned(fingerprint, BLOCK_BITS * b).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)) + F.lit(b << BLOCK_BITS)
+    return F.array(*(value(b) for b in range(RADIUS + 1)))
+
+
+def windows_of(rows: DataFrame, size: int, step: int) -> DataFrame:
+    """``rows`` (w and others) with fingerprint f of each window of ``size`` words at every ``step`` words."""
+    keys = [c for c in rows.columns if c != "w"]
+    hashed = rows.select(*keys, F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
+    if size % step or step == 1:  # windows at every word: each on its own
+        at = F.sequence(F.lit(0), F.size("h") - size)
+        runs = F.when(F.size("h") >= size, F.transform(at, lambda i: F.slice("h", i + 1, F.lit(size))))
+        alone = hashed.select(*keys, F.explode(runs).alias("h"))
+        counted, parts = alone.select(*keys, bit_counts(F.col("h"), size).alias("c")), 1
+    else:
+        counted, parts = hashed.select(*keys, bit_counts(F.col("h"), step).alias("c")), size // step
+    return counted.select(*keys, F.explode(fingerprints(F.col("c"), size, parts)).alias("f"))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, k: int = SHINGLE) -> DataFrame:
     """One row for each document and benchmark item that it holds, with the best window.
 
     ``docs`` has doc_id and text, ``items`` item_id and text. Columns: doc_id, item_id, start (the
-    window's first word), n_words, hamming, similarity. Of equally good windows the earliest counts. An
-    item of fewer words than ``k`` is compared as one shingle of all its words; items and documents
-    without words match nothing. Repeated items count once; rows that share a doc_id count as one
+    window's first word), n_words, hamming (the least distance of fingerprints that led to it),
+    similarity. Of equally good windows the earliest counts. An item of fewer words than ``k`` is
+    compared as one shingle of all its words; items and documents without words match nothing. Repeated items count once; rows that share a doc_id count as one
     document if their texts are equal and are searched apart if not, the best window being reported. Rows
     without a doc_id or a text aren't searched; callers that have such give them a key first.
     """
+    length = F.size("w")
     wanted = (
         items.where("item_id IS NOT NULL").distinct()
         .select("item_id", F.xxhash64("item_id", "text").alias("uid"), word_list(F.col("text")).alias("w"))
-        .where(F.size("w") > 0)
-        .withColumn("length", F.size("w"))
+        .where(length > 0)
+        .withColumn("length", length)
         .withColumn("k", F.least("length", F.lit(k)))
     )
-    sizes = sorted(r[0] for r in wanted.select("k").distinct().collect())  # k numbers at most
     texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").withColumn("tid", F.xxhash64("text"))
-    parts = [_search(texts, wanted.where(F.col("k") == n), n, similarity) for n in sizes]
-    found = parts[0] if parts else None
-    for part in parts[1:]:
-        found = found.unionAll(part)
-    if found is None:
+    # an item of LARGEST * 40 words has the largest window whatever its size; so few lengths come to the driver
+    lengths = wanted.select(F.least("length", F.lit(LARGEST * 40)).alias("n"), "k").distinct().collect()
+    sizes: dict[int, list[tuple[int, int]]] = {}
+    for n, own in lengths:
+        sizes.setdefault(window_size(n, own, similarity), []).append((n, own))
+    if not sizes:
         return docs.select("doc_id").limit(0).selectExpr(
             "doc_id", "cast(null as long) item_id", "0 start", "0 n_words", "0 hamming", "0D similarity"
         )
+    words = texts.select("doc_id", "tid", word_list(F.col("text")).alias("w"))
+    of_size = lambda some: F.least("length", F.lit(LARGEST * 40)).isin([n for n, _ in some])
+    met = reduce(DataFrame.unionAll, (_met(words, wanted.where(of_size(some)), size) for size, some in sorted(sizes.items())))
+    met = cut_lineage(met.groupBy("doc_id", "tid", "uid").agg(F.min("hamming").alias("hamming")))
+    held = picked(texts, met.select("tid").distinct(), "left_semi", "tid").dropDuplicates(["doc_id", "tid"])
+    held = cut_lineage(held.join(met, ["doc_id", "tid"], "left_semi").select("doc_id", "tid", word_list(F.col("text")).alias("w")))
+    parts = [_verified(held, met, wanted.where(F.col("k") == n), n, similarity) for n in sorted({own for _, own in lengths})]
+    found = reduce(DataFrame.unionAll, parts)
     best = F.max(F.struct("similarity", (-F.col("start")).alias("back"), "n_words", (-F.col("hamming")).alias("near"))).alias("b")
     return found.groupBy("doc_id", "item_id").agg(best).select(
         "doc_id", "item_id", (-F.col("b.back")).alias("start"), F.col("b.n_words").alias("n_words"),
@@ -85,39 +160,40 @@ def contaminated(docs: DataFrame, items: DataFrame, similarity: float = SIMILARI
     )
 
 
-def _search(texts: DataFrame, wanted: DataFrame, k: int, similarity: float) -> DataFrame:
-    marks = wanted.select("uid", "length", F.posexplode(shingle_list(F.col("w"), k)).alias("place", "h"))
-    few = marks.count() <= BROADCAST_ROWS
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _met(words: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(doc_id, tid, uid, hamming): windows of documents and items whose fingerprints differ in RADIUS bits at most."""
+    theirs = windows_of(wanted.select("uid", "w"), size, 1).distinct()
+    blocks = _small(theirs.select("uid", F.col("f").alias("g"), F.explode(block_list(F.col("f"))).alias("block")))
+    ours = windows_of(words, size, max(1, size // 2))
+    hamming = F.bit_count(F.col("f").bitwiseXOR(F.col("g")))
+    near = ours.withColumn("block", F.explode(block_list(F.col("f")))).join(blocks, "block").where(hamming <= RADIUS)
+    return near.select("doc_id", "tid", "uid", hamming.alias("hamming"))
+
+
+def _verified(held: DataFrame, met: DataFrame, wanted: DataFrame, k: int, similarity: float) -> DataFrame:
+    """Windows of the items' size in documents that met them, with their exact similarity."""
+    shingled = wanted.select("uid", "length", F.posexplode(shingle_list(F.col("w"), k)).alias("place", "h"))
+    few = shingled.count() <= BROADCAST_ROWS
     small = F.broadcast if few else (lambda df: df)
-    words = texts.select("doc_id", "tid", word_list(F.col("text")).alias("w"))
-    placed = words.select("doc_id", "tid", F.size("w").alias("n"), F.posexplode(shingle_list(F.col("w"), k)).alias("at", "h"))
-    met = placed.join(small(marks), "h").withColumn(
+    placed = held.select("doc_id", "tid", F.size("w").alias("n"), F.posexplode(shingle_list(F.col("w"), k)).alias("at", "h"))
+    starts = placed.join(small(shingled), "h").withColumn(
         "start", F.least(F.greatest(F.col("at") - F.col("place"), F.lit(0)), F.greatest(F.col("n") - F.col("length"), F.lit(0)))
     )
+    starts = starts.groupBy("doc_id", "tid", "uid", "length", "start").agg(F.count_distinct("at").alias("hits")).join(met, ["doc_id", "tid", "uid"])
     # a window that reaches the similarity shares that share of the item's shingles with the document
-    starts = met.groupBy("doc_id", "tid", "uid", "length", "start").agg(F.count_distinct("at").alias("hits"))
     enough = F.sum("hits").over(Window.partitionBy("doc_id", "tid", "uid")) >= F.ceil((F.col("length") - k + 1) * F.lit(similarity))
-    starts = cut_lineage(starts.withColumn("enough", enough).where("enough").select("doc_id", "tid", "uid", "length", "start"))
-
-    held = texts.join(starts.select("doc_id", "tid").distinct(), ["doc_id", "tid"], "left_semi").dropDuplicates(["doc_id", "tid"])
-    held = held.select("doc_id", "tid", word_list(F.col("text")).alias("w"))
+    starts = starts.withColumn("enough", enough).where("enough").select("doc_id", "tid", "uid", "length", "start", "hamming")
     windows = starts.join(held, ["doc_id", "tid"]).select(
-        "doc_id", "tid", "uid", "start", F.slice("w", F.col("start") + 1, F.col("length")).alias("w")
-    )
-    windows = windows.select("doc_id", "tid", "uid", "start", "w", simhash(F.col("w")).alias("f"))
-    marked = wanted.select("uid", simhash(F.col("w")).alias("g"))
-    blocks = small(marked.select("uid", "g", F.explode(block_list(F.col("g"))).alias("block")))
-    near = (
-        windows.withColumn("block", F.explode(block_list(F.col("f"))))
-        .join(blocks, ["uid", "block"])
-        .withColumn("hamming", F.bit_count(F.col("f").bitwiseXOR(F.col("g"))))
-        .where(F.col("hamming") <= RADIUS)
-        .dropDuplicates(["doc_id", "tid", "uid", "start"])
+        "doc_id", "tid", "uid", "start", "hamming", F.slice("w", F.col("start") + 1, F.col("length")).alias("w")
     )
     key = ["doc_id", "tid", "uid", "start", "n_words", "hamming"]
-    counted = near.select(*key[:4], F.size("w").alias("n_words"), "hamming", F.explode(shingle_list(F.col("w"), k)).alias("h"))
+    counted = windows.select(*key[:4], F.size("w").alias("n_words"), "hamming", F.explode(shingle_list(F.col("w"), k)).alias("h"))
     counted = counted.groupBy(*key, "h").agg(F.count(F.lit(1)).alias("c"))
-    theirs = marks.groupBy("uid", "h").agg(F.count(F.lit(1)).alias("d"))
+    theirs = shingled.groupBy("uid", "h").agg(F.count(F.lit(1)).alias("d"))
     sums = counted.join(small(theirs), ["uid", "h"], "left").groupBy(*key).agg(
         F.sum(F.least("c", F.coalesce("d", F.lit(0)))).alias("low"), F.sum("c").alias("size")
     )

@@ -394,7 +394,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     # members of one key in different components: the pairs that the stars left open
     open_pairs = _apart(pairs, found).select(F.col("a").alias("lead"), F.col("b").alias("doc"))
     open_keys = met.join(open_pairs, ["lead", "doc"], "left_semi").select("key").distinct()
-    of_open = met.join(open_keys, "key", "left_semi")
+    of_open = cut_lineage(met.join(open_keys, "key", "left_semi"))
     members = of_open.select("key", F.col("lead").alias("id")).unionAll(of_open.select("key", F.col("doc").alias("id"))).distinct()
     several = members.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 2").select("key")  # a pair alone has met
     members = cut_lineage(members.join(several, "key", "left_semi"))
@@ -419,7 +419,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         seen = seen.unionAll(new)
         old, found = found, link(new)
         release(old, named)
-    release(met, members, likely, *links)
+    release(met, of_open, members, likely, *links)
 
     whole = rep.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left")
     whole = whole.groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component"))
