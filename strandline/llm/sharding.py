@@ -5,42 +5,41 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import only, table
+from .common import cut_lineage, only, table
 
-#: Ranges of ids whose totals are summed first; the table of totals has a row for each.
-RANGES = 1000
+#: Rows of a range to aim at, and the most ranges; the table of totals has a row for each.
+ROWS, RANGES = 10_000, 20_000
 
 
-def shard_by_bytes(docs: DataFrame, size: Column, shards: int = 16, key: str = "doc_id", ranges: int = RANGES) -> DataFrame:
-    """Add ``shard`` and ``slot`` to ``docs`` under the law ``bytes``.
+def shard_by_bytes(docs: DataFrame, size: Column, shards: int = 16, key: str = "doc_id", rows: int = ROWS) -> DataFrame:
+    """Add ``shard``, ``slot`` and ``position`` to ``docs`` under the law ``bytes``; input columns of these names give way.
 
-    Rows are ordered by ``key`` (null first; rows of one key by the other columns' hash). ``ranges``
-    split points from a quantile sketch over all rows give id ranges; each range's rows and bytes are
-    summed, the prefix sums over the ranges' totals give where a range begins, and a running sum inside
-    the range gives where a row begins. A row goes to the shard in which its middle byte lies, so each
-    shard is a contiguous run whose bytes differ from an equal share by less than the largest row.
-    ``slot`` counts a shard's rows from 0 in that order; ``position`` counts all rows. No task holds
-    more than the rows of one range. An empty table gives no rows. Sizes must be positive.
+    Rows are ordered by ``key`` (null first), rows of one key by a hash of all columns; rows that are equal
+    throughout are interchangeable. The rows are written once, dealt into ranges of that order (so pass
+    light ones: texts can be joined afterwards). Ranges are split by key, hash and place, so a key that very
+    many rows share, or lack, is split too. Each range's rows and bytes are summed, the prefix sums over
+    the ranges' totals give where a range begins, and a running sum inside the range gives where a row
+    begins. A row goes to the shard in which its middle byte lies, so each shard is a contiguous run whose
+    bytes differ from an equal share by less than the largest row. ``slot`` counts a shard's rows from 0 in
+    that order; ``position`` counts all rows. No task holds more than the rows of one range. An empty table
+    gives no rows. Sizes must be positive.
     """
-    docs = docs.withColumns({"_size": size.cast("long"), "_tie": F.xxhash64(*docs.columns)})
-    cuts = docs.agg(
-        F.percentile_approx(key, [(i + 1) / ranges for i in range(ranges - 1)], 10 * ranges).alias("_cuts")
-    )
-    # one row of ``ranges`` ids: its size is fixed by the parameter, not by the data
-    dealt = docs.join(F.broadcast(cuts), how="left").withColumn(
-        "_range",
-        F.when(F.col(key).isNull() | F.col("_cuts").isNull(), F.lit(0)).otherwise(_rank(key, ranges)),
-    )
-    dealt = dealt.drop("_cuts")
+    docs = docs.drop("shard", "slot", "position")
+    given = docs.columns
+    # read once: what follows works on the written rows, whose places no longer change
+    once = cut_lineage(docs.withColumns({"_size": size.cast("long"), "_tie": F.xxhash64(*given), "_place": F.monotonically_increasing_id()}))
+    ranges = min(RANGES, max(1, -(-once.count() // rows)))
+    order = [F.col(key).asc_nulls_first(), F.col("_tie"), F.col("_place")]
+    dealt = cut_lineage(once.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()))
     totals = dealt.groupBy("_range").agg(F.sum("_size").alias("_bytes"), F.count(F.lit(1)).alias("_rows"))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # over ``ranges`` rows at most
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # over RANGES rows at most
     starts = totals.select(
         "_range",
         F.coalesce(F.sum("_bytes").over(before), F.lit(0)).alias("_byte0"),
         F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_row0"),
     )
     whole = totals.agg(F.sum("_bytes").alias("_all"))
-    inside = Window.partitionBy("_range").orderBy(key, "_tie").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     placed = (
         dealt.withColumns({"_end": F.sum("_size").over(inside), "_nth": F.count(F.lit(1)).over(inside)})
         .join(F.broadcast(starts), "_range")
@@ -52,21 +51,11 @@ def shard_by_bytes(docs: DataFrame, size: Column, shards: int = 16, key: str = "
         .withColumn("shard", F.least(F.expr(f"_middle * {shards} div (2 * _all)"), F.lit(shards - 1)).cast("int"))
     )
     firsts = placed.groupBy("shard").agg(F.min("position").alias("_first"))  # ``shards`` rows
-    return placed.join(F.broadcast(firsts), "shard").withColumn("slot", F.col("position") - F.col("_first")).drop(
-        "_size", "_tie", "_range", "_end", "_nth", "_byte0", "_row0", "_all", "_middle", "_first"
+    return placed.join(F.broadcast(firsts), "shard").withColumn("slot", F.col("position") - F.col("_first")).select(
+        *(f"`{c}`" for c in given), "shard", "slot", "position"
     )
 
 
-def _rank(key: str, ranges: int) -> Column:
-    """How many of the sorted ``_cuts`` lie below the key, by binary search."""
-    steps = F.array(*(F.lit(1 << b) for b in reversed(range((ranges - 1).bit_length()))))
-
-    def probe(found: Column, step: Column) -> Column:
-        return F.when(F.try_element_at("_cuts", found + step) < F.col(key), found + step).otherwise(found)
-
-    return F.aggregate(steps, F.lit(0), probe)
-
-
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 contiguous shards by bytes (UTF-8 bytes of the text plus 1; null text: 0 plus 1)."""
     docs = only(table(spark, sf_dir, "documents"), doc_id="long", text="string")

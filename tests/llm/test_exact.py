@@ -26,7 +26,7 @@ def two(df):
 def test_shards(spark, frame):
     rows = [(i * 7 % 501, "x" * (i % 90)) for i in range(500)] + ODD
     df = two(frame(rows)).withColumn("size", F.octet_length(F.coalesce("text", F.lit(""))) + 1)
-    got = sharding.shard_by_bytes(df, F.col("size"), 16, ranges=20).collect()
+    got = sharding.shard_by_bytes(df, F.col("size"), 16, rows=20).collect()
     assert len(got) == len(rows)
     by = collections.defaultdict(list)
     for r in sorted(got, key=lambda r: r.position):
@@ -40,6 +40,25 @@ def test_shards(spark, frame):
     assert sharding.shard_by_bytes(df.limit(0), F.col("size")).count() == 0
 
 
+@pytest.mark.parametrize("hot", ["one", "null", "apart"])
+def test_shards_against_prefix_sums(spark, hot):
+    """Shards, slots and places computed anew in plain Python, with an id that most rows share or lack."""
+    rng = random.Random(8)
+    ids = {"one": [7] * 300 + list(range(100)), "null": [None] * 300 + list(range(100)), "apart": list(range(400))}[hot]
+    rows = [(i, rng.randint(1, 5000), "old") for i in ids]
+    df = spark.createDataFrame(rows, "doc_id long, size long, shard string").repartition(3)
+    got = sorted(sharding.shard_by_bytes(df, F.col("size"), 7, rows=30).collect(), key=lambda r: r.position)
+    assert [r.position for r in got] == list(range(400)) and sorted((r.doc_id or -1, r.size) for r in got) == sorted((i or -1, n) for i, n, _ in rows)
+    keys = [-1 if r.doc_id is None else r.doc_id for r in got]
+    assert keys == sorted(keys)
+    total, end, slots = sum(r.size for r in got), 0, collections.Counter()
+    for r in got:
+        end += r.size
+        assert r.shard == min(6, (2 * end - r.size) * 7 // (2 * total)) and r.slot == slots[r.shard]
+        slots[r.shard] += 1
+
+
+
 def plain_dedup(rows, length):
     count = collections.Counter(b[i : i + length] for _, t in rows for b in [(t or "").encode()] for i in range(len(b) - length + 1))
     out = []
