@@ -328,6 +328,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, sorted_contexts: int = S
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bytes of repeated 400-byte strings removed from every whole text of ``documents``."""
+    """Bytes of repeated 400-byte strings removed from every whole text of ``documents``; ``repeated`` tells if any were."""
     arrow_limits(spark)
-    return deduplicated(only(table(spark, sf_dir, "documents"), doc_id="long", text="string")).drop("kept")
+    out = deduplicated(only(table(spark, sf_dir, "documents"), doc_id="long", text="string"))
+    return out.drop("kept").withColumn("repeated", F.col("n_removed") > 0)
