@@ -62,9 +62,11 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The same documents with secrets masked in the text, and n_chars as it is then."""
+    """The same documents with secrets masked in the text, and n_chars, where there is such a column, as it is then."""
     arrow_limits(spark)
-    masked = secrets_scan.redact(docs)
+    masked = secrets_scan.redact(docs, path="source" if "source" in docs.columns else None)
+    if "n_chars" not in docs.columns:
+        return masked
     return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 

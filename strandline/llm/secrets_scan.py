@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 import random
 import re
@@ -13,6 +14,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import arrow_limits, as_text, only, table
 
@@ -32,9 +34,22 @@ _HINT = re.compile(_NAME + r"|AKIA|ASIA|gh[pousr]_|xox[abprs]-|sk_live_|AIza|eyJ
 # Words that stand beside secrets, and words that stand beside what looks like one.
 GOOD_WORDS = frozenset("token secret password passwd pwd key apikey credential auth bearer login private access".split())
 BAD_WORDS = frozenset("example sample dummy placeholder test hash sha sha1 sha256 md5 checksum digest commit revision uuid guid id build etag version image data url src href".split())
-DICTIONARY = frozenset(
-    "the of and to in is you that it he was for on are with as his they at be this from have or by one had not but what all were when we there can an your which their said if do will each about how up out them then she many some so these would other into has more her two like him see time could no make than first been its who now people my made over did down only way find use may water long little very after words called just where most know get through back much before go good new write our used me man too any day same right look think also around another came come work three word must because does part even place well such here take why things help put years different away again off went old number great tell men say small every found still between name should home big give air line set own under read last never us left end along while might next sound below saw something thought both few those always looked show large often together asked house world going want school important until form food keep children feet land side without boy once animals life enough took sometimes four head above kind began almost live page got earth need far hand high year mother light parts country father let night following picture being study second eyes soon times story boys since white days ever paper hard near sentence better best across during today others however sure means knew try told young sun thing whole hear example heard several change answer room sea against top turned learn point city play toward five using himself usually user name value config default client server request response handler service manager factory builder index table column field test data key api changeme password secret token".split()
-)
+# Marks of paths under which false findings, and under which secrets, are common.
+BAD_PATHS = frozenset("test tests testing spec example examples sample samples fixture fixtures mock mocks doc docs readme lock vendor node_modules min dist snapshot".split())
+GOOD_PATHS = frozenset("env config conf settings credentials secrets deploy prod production pem key properties ini".split())
+
+
+@lru_cache(1)
+def word_list(begin: str = "piece_bpe_32k.model", end: str = "word_bpe_49k.json") -> frozenset[str]:
+    """Words of three letters or more: pieces that begin a word in one public vocabulary and end one in another."""
+    import public_tokenizers
+    import sentencepiece
+
+    pieces = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(begin))
+    begins = {pieces.id_to_piece(i)[1:].lower() for i in range(pieces.get_piece_size()) if pieces.id_to_piece(i).startswith("\u2581")}
+    with open(public_tokenizers.path(end), encoding="utf-8") as f:
+        ends = {w.removesuffix("</w>") for w in json.load(f)["model"]["vocab"] if w.endswith("</w>")}
+    return frozenset(w for w in begins & ends if len(w) >= 3 and w.isascii() and w.isalpha())
 
 
 def bare(value: str) -> str:
@@ -60,11 +75,10 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
     return sorted(found)
 
 
-@lru_cache(1)
-def transitions() -> np.ndarray:
-    """Log frequencies of character pairs in dictionary words, by class for what words don't have."""
+def transitions(words: frozenset[str]) -> np.ndarray:
+    """Log frequencies of character pairs in words."""
     counts = np.full((128, 128), 0.5)
-    for word in DICTIONARY:
+    for word in words:
         for a, b in zip(word, word[1:]):
             counts[ord(a), ord(b)] += 1
     return np.log(counts / counts.sum(axis=1, keepdims=True))
@@ -73,13 +87,14 @@ def transitions() -> np.ndarray:
 FEATURES = [
     "length", "entropy", "transition", "class_changes", "digits", "upper", "hexadecimal", "coverage", "distinct",
     "slashes", "extension", "underscores", "good_words", "bad_words", "assigned", "prefixed", "uuid", "longest_run",
+    "good_path", "bad_path",
 ]
 _UUID = re.compile(r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$", re.I)
 _EXTENSION = re.compile(r"\.[a-z]{1,4}\d?$|^[a-z]+://|^/|\.(com|org|net|io)\b", re.I)
 
 
-def features(text: str, start: int, end: int, pattern: str) -> list[float]:
-    """Length, character transitions, dictionary coverage, path marks and neighbouring words of one candidate."""
+def features(text: str, start: int, end: int, pattern: str, path: str, words: frozenset[str], pairs: np.ndarray) -> list[float]:
+    """Length, character transitions, dictionary coverage, marks of a path in it and around it, neighbouring words."""
     value = text[start:end]
     n = len(value)
     counts = np.unique(list(value), return_counts=True)[1] / n
@@ -87,20 +102,22 @@ def features(text: str, start: int, end: int, pattern: str) -> list[float]:
     kinds = [0 if c.isdigit() else 1 if c.islower() else 2 if c.isupper() else 3 for c in value]
     covered, i, low = 0, 0, value.lower()
     while i < n:
-        size = next((k for k in range(min(12, n - i), 2, -1) if low[i : i + k] in DICTIONARY), 0)
+        size = next((k for k in range(min(12, n - i), 2, -1) if low[i : i + k] in words), 0)
         covered += size
         i += size or 1
     run = longest = 1
     for a, b in zip(value, value[1:]):
         run = run + 1 if a == b else 1
         longest = max(longest, run)
+    parts = re.findall(r"[a-z_]+", path.lower())
     near = re.findall(r"[a-z0-9]+", (text[max(0, start - REACH) : start] + " " + text[end : end + REACH]).lower().replace("_", " "))
     return [
-        math.log(n), float(-(counts * np.log2(counts)).sum()), float(transitions()[codes[:-1], codes[1:]].mean()) if n > 1 else 0.0,
+        math.log(n), float(-(counts * np.log2(counts)).sum()), float(pairs[codes[:-1], codes[1:]].mean()) if n > 1 else 0.0,
         sum(a != b for a, b in zip(kinds, kinds[1:])) / n, kinds.count(0) / n, kinds.count(2) / n, sum(c in "0123456789abcdefABCDEF" for c in value) / n,
         covered / n, len(counts) / n, value.count("/") / n, float(bool(_EXTENSION.search(value))), (value.count("_") + value.count("-")) / n,
         float(sum(w in GOOD_WORDS for w in near)), float(sum(w in BAD_WORDS for w in near)), float(pattern == "assigned"),
         float(pattern in ("prefixed", "private_key")), float(bool(_UUID.match(value))), longest / n,
+        float(not GOOD_PATHS.isdisjoint(parts)), float(not BAD_PATHS.isdisjoint(parts)),
     ]
 
 
@@ -149,13 +166,17 @@ class Forest:
         return sum(t.predict(row) for t in self.trees) / len(self.trees)
 
 
-def labelled_findings(n: int = 3000, seed: int = 7) -> list[tuple[str, int]]:
-    """Made-up lines with one candidate each and whether it is a secret: the forest's default training set."""
+def labelled_findings(n: int = 3000, seed: int = 7) -> list[tuple[str, int, str]]:
+    """Made-up lines with one candidate each, whether it is a secret, and a path: the default training set."""
     rng = random.Random(seed)
+    listed = sorted(word_list())
     pick = lambda chars, k: "".join(rng.choices(chars, k=k))
-    word = lambda: rng.choice(sorted(DICTIONARY))
+    word = lambda: rng.choice(listed)
     pseudo = lambda: "".join(rng.choices(["th", "er", "an", "on", "re", "ti", "en", "de", "la", "qu", "os", "ver", "sch", "ung"], k=rng.randint(2, 5)))
     prose = lambda k: " ".join(rng.choice((word, pseudo))() for _ in range(k))
+    # most findings come without a path; where there is one, it tells a little
+    places = sorted(GOOD_PATHS), sorted(BAD_PATHS)
+    path = lambda label: "" if rng.random() < 0.6 else f"{word()}/{rng.choice(places[label != (rng.random() < 0.8)])}/{word()}.txt"
     hexa, mixed, b64 = "0123456789abcdef", string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/"
     name = lambda: rng.choice(["token", "secret", "password", "api_key", "apikey", "auth_token", "client_secret", "access_key", "db_password", "Password", "API_KEY"])
     op = lambda: rng.choice([" = ", "=", ": ", ":", " := "])
@@ -180,50 +201,58 @@ def labelled_findings(n: int = 3000, seed: int = 7) -> list[tuple[str, int]]:
     for i in range(n):
         label = int(i % 2 == 0)
         line = rng.choice(real if label else false)()
-        out.append((f"{prose(rng.randint(0, 8))} {line}{rng.choice(['', '.', ' ', '###'])} {prose(rng.randint(0, 8))}", label))
+        out.append((f"{prose(rng.randint(0, 8))} {line}{rng.choice(['', '.', ' ', '###'])} {prose(rng.randint(0, 8))}", label, path(label)))
     return out
 
 
-@lru_cache(2)
-def default_forest() -> Forest:
-    return train(tuple(labelled_findings()))
+class Detector:
+    """A forest trained from (line, is it a secret) or (line, is it, path) findings; a line's candidates take its label.
 
+    It holds the word list and the trees, whose sizes follow from the vocabularies and the findings given.
+    """
 
-def train(findings: tuple[tuple[str, int], ...]) -> Forest:
-    """A forest from (line, is it a secret) findings; a line's candidates all take its label."""
-    x, y = [], []
-    for line, label in findings:
-        for start, end, pattern in candidates(line):
-            x.append(features(line, start, end, pattern))
-            y.append(label)
-    return Forest(np.array(x), np.array(y, float))
+    def __init__(self, findings: list[tuple], words: frozenset[str]):
+        self.words, self.pairs = words, transitions(words)
+        x, y = [], []
+        for line, label, *path in findings:
+            for start, end, pattern in candidates(line):
+                x.append(features(line, start, end, pattern, path[0] if path else "", words, self.pairs))
+                y.append(label)
+        self.forest = Forest(np.array(x), np.array(y, float))
+
+    def secrets(self, text: str, path: str = "") -> list[tuple[int, int, str, float]]:
+        """(start, end, pattern, score) of the candidates that the forest takes for secrets."""
+        out = []
+        for start, end, pattern in candidates(text):
+            score = self.forest.predict(features(text, start, end, pattern, path, self.words, self.pairs))
+            if score >= THRESHOLD:
+                out.append((start, end, pattern, score))
+        return out
 
 
-def secrets(text: str, forest: Forest) -> list[tuple[int, int, str, float]]:
-    """(start, end, pattern, score) of the candidates that the forest takes for secrets."""
-    out = []
-    for start, end, pattern in candidates(text):
-        score = forest.predict(features(text, start, end, pattern))
-        if score >= THRESHOLD:
-            out.append((start, end, pattern, score))
-    return out
+@lru_cache(1)
+def default_detector() -> Detector:
+    return Detector(labelled_findings(), word_list())
 
 
-def scan(docs: DataFrame, findings: tuple[tuple[str, int], ...] | None = None) -> DataFrame:
-    """One row per secret: doc_id, start and end (characters), pattern, score. Null and empty texts have none.
+def scan(docs: DataFrame, findings: list[tuple] | None = None, path: str | None = None) -> DataFrame:
+    """One row per secret: doc_id, start and end (characters), pattern, score.
 
-    ``findings`` are labelled lines to train from instead of the made-up ones; the forest is small and
-    is trained once on the driver.
+    Null and empty texts have none, an empty table gives no rows, and of rows that repeat each is scanned.
+    ``findings`` are labelled lines to train from instead of the made-up ones; the forest is small and is
+    trained once on the driver. ``path`` names the column with the place that a text comes from (a file's
+    path or another source); null is none.
     """
-    shipped = docs.sparkSession.sparkContext.broadcast(train(findings) if findings else default_forest())
+    detector = Detector(findings, word_list()) if findings else default_detector()
+    shipped = docs.sparkSession.sparkContext.broadcast(detector)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest = shipped.value
+        detector = shipped.value
         for batch in batches:
             rows = [
                 (i, *s)
-                for i, t in zip(batch.column("doc_id").to_pylist(), as_text(batch.column("text")).to_pylist())
-                for s in secrets(t, forest)
+                for i, t, p in zip(batch.column("doc_id").to_pylist(), as_text(batch.column("text")).to_pylist(), batch.column("path").to_pylist())
+                for s in detector.secrets(t, p)
             ]
             if rows:
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64())
@@ -231,19 +260,23 @@ def scan(docs: DataFrame, findings: tuple[tuple[str, int], ...] | None = None) -
                     [pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], ["doc_id", "start", "end", "pattern", "score"]
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, start long, end long, pattern string, score double")
+    place = F.coalesce(F.col(path).cast("string"), F.lit("")) if path else F.lit("")
+    return docs.select("doc_id", "text", place.alias("path")).mapInArrow(
+        run, "doc_id long, start long, end long, pattern string, score double"
+    )
 
 
-def redact(docs: DataFrame, mask: str = "[REDACTED]") -> DataFrame:
-    """The same rows and columns, every secret in ``text`` replaced by ``mask``."""
-    shipped = docs.sparkSession.sparkContext.broadcast(default_forest())
+def redact(docs: DataFrame, mask: str = "[REDACTED]", path: str | None = None) -> DataFrame:
+    """The same rows and columns, every secret in ``text`` replaced by ``mask``; null stays null."""
+    shipped = docs.sparkSession.sparkContext.broadcast(default_detector())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest = shipped.value
+        detector = shipped.value
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            for k, text in enumerate(texts):
-                for start, end, *_ in reversed(secrets(text, forest) if text else []):
+            places = batch.column(path).cast(pa.string()).to_pylist() if path else [None] * len(texts)
+            for k, (text, place) in enumerate(zip(texts, places)):
+                for start, end, *_ in reversed(detector.secrets(text, place or "") if text else []):
                     texts[k] = texts[k][:start] + mask + texts[k][end:]
             at = batch.schema.get_field_index("text")
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
@@ -252,6 +285,6 @@ def redact(docs: DataFrame, mask: str = "[REDACTED]") -> DataFrame:
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every secret in every whole text of ``documents``."""
+    """Every secret in every whole text of ``documents``, with the document's source as its path."""
     arrow_limits(spark)
-    return scan(only(table(spark, sf_dir, "documents"), doc_id="long", text="string"))
+    return scan(only(table(spark, sf_dir, "documents"), doc_id="long", text="string", source="string"), path="source")
