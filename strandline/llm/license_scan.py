@@ -14,11 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import arrow_limits, as_text, only, table
+from .license_texts import TEXTS
 
 #: Least Dice coefficient of a match.
 THRESHOLD = 0.8
-# Notices and short texts of public licences, by identifier.
-TEMPLATES = {
+# Short notices of public licences, by identifier.
+NOTICES = {
     "MIT": ["Released under the MIT License.", "Licensed under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"],
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"],
     "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
@@ -33,6 +34,7 @@ TEMPLATES = {
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
     "Proprietary": ["All rights reserved.", "Proprietary and confidential. Unauthorized copying of this file is strictly prohibited."],
 }
+TEMPLATES = {name: [*NOTICES.get(name, []), *TEXTS.get(name, [])] for name in [*NOTICES, *(n for n in TEXTS if n not in NOTICES)]}
 _WORD = re.compile(r"[^\W_]+")
 _PARAGRAPH = re.compile(r"\n[ \t]*\n")
 
@@ -199,8 +201,9 @@ def whole_blocks(text: str) -> Iterator[tuple[str, int, str]]:
 def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document and licence: doc_id, license, matches (blocks), dice (the best), line (its first line).
 
-    Blocks are lines, paragraphs of several lines, the whole text and, for notices amid other words, windows. Null and empty texts match nothing;
-    repeated rows are reported each.
+    Blocks are lines, paragraphs of several lines, the whole text and, for notices amid other words, windows. Null and
+    empty texts match nothing, an empty table gives no rows, and rows that repeat are reported each. Time and
+    memory for one text grow with its words, also where they all stand in one line.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -153,6 +153,18 @@ def test_secrets_without_early_digits_and_keys_with_headers():
         assert detector.secrets(text) == []
 
 
+def test_whole_licences_as_one_paragraph_and_amid_prose():
+    matcher = license_scan.default_matcher()
+    for name, texts in license_scan.TEXTS.items():
+        for text in texts:
+            whole = "Copyright (c) 2021 Some Body\n\n" + text
+            one = " ".join(text.split())
+            amid = f"some words before {one} and quite a few other words after it"
+            for t in (whole, one, amid):
+                found = {hit[0] for *_, block in license_scan.blocks_of(t, matcher) if (hit := matcher.match(license_scan.normalise(block)))}
+                assert name in found, (name, t[:60])
+
+
 def brute_license(text):
     best = {}
     for _, _, block in license_scan.blocks_of(text):
