@@ -17,8 +17,8 @@ from .common import arrow_limits, as_text, only, table
 #: Labelled rows that the model is fitted on at most (in expectation), words and n-grams kept per language,
 #: and the longest n-gram. The model's size follows from these and the number of languages alone.
 FIT_ROWS, WORDS, GRAMS, LONGEST = 20_000, 20_000, 8_000, 4
-#: Words whose scores a worker remembers.
-CACHE_WORDS = 200_000
+#: Words whose scores a worker remembers, and words looked up at once.
+CACHE_WORDS, BATCH_WORDS = 200_000, 100_000
 UNDETERMINED = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -105,37 +105,64 @@ class Model:
 
 
 class Predictor:
+    """Predicts texts by batch: each differing word of a batch is scored once and remembered."""
+
     def __init__(self, model: Model):
         self.model = model
         self.at: dict[str, int] = {}
-        self.scores = np.zeros((CACHE_WORDS, len(model.langs)), np.float32)
+        self.scores = np.zeros((CACHE_WORDS, len(model.langs)))
 
-    def learn(self, words: set[str]) -> None:
-        fresh = [w for w in words if w not in self.at]
-        if len(self.at) + len(fresh) > CACHE_WORDS:
+    def rows(self, words: list[str]) -> np.ndarray:
+        """Scores of differing words."""
+        if len(self.at) + len(words) > CACHE_WORDS:
             self.at.clear()
-            fresh = list(words)
-        for w in fresh:
-            self.scores[len(self.at)] = self.model.word(w)
-            self.at[w] = len(self.at)
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        words = _WORD.findall(text.lower()) if text and self.model.langs else []
-        if not any(c.isalpha() for w in words for c in w):
-            return UNDETERMINED, 0.0
-        total = np.zeros(len(self.model.langs))
-        for begin in range(0, len(words), CACHE_WORDS // 2):
-            part = words[begin : begin + CACHE_WORDS // 2]
-            try:
-                rows = [self.at[w] for w in part]
-            except KeyError:
-                self.learn(set(part))
-                rows = [self.at[w] for w in part]
-            total += self.scores[rows].sum(axis=0, dtype=np.float64)
-        # the mean word's evidence, as if of 20 words at most: a long text would else always give 1
-        logits = total / len(words) * min(len(words), 20)
-        best = int(np.argmax(logits))
-        return self.model.langs[best], 1.0 / float(np.exp(logits - logits[best]).sum())
+        if len(words) > CACHE_WORDS:
+            return np.array([self.model.word(w) for w in words], np.float64)
+        for w in words:
+            if w not in self.at:
+                self.scores[len(self.at)] = self.model.word(w)
+                self.at[w] = len(self.at)
+        return self.scores[[self.at[w] for w in words]]
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """Language and posterior of each text."""
+        langs = self.model.langs
+        counts, words = np.zeros(len(texts), np.int64), []
+        totals = np.zeros((len(texts), max(1, len(langs))))
+        first = 0
+
+        def add(last: int) -> None:
+            """Add up the words held, which are those of the texts from ``first`` to ``last``."""
+            if words:
+                coded = pa.array(words, pa.string()).dictionary_encode()
+                scores = self.rows(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+                some = first + np.flatnonzero(counts[first : last + 1])
+                at = np.cumsum(counts[some]) - counts[some]
+                totals[some] = np.add.reduceat(scores, at, axis=0)
+            words.clear()
+
+        for i, text in enumerate(texts):
+            if not text or not langs:
+                continue
+            found = _WORD.findall(text.lower())
+            if not any(c.isalpha() for w in found for c in w):
+                continue
+            if len(words) + len(found) > BATCH_WORDS:
+                add(i - 1)
+                first = i
+            counts[i] = len(found)
+            words += found
+        add(len(texts) - 1)
+        out = []
+        for n, total in zip(counts.tolist(), totals):
+            if not n:
+                out.append((UNDETERMINED, 0.0))
+                continue
+            # the mean word's evidence, as if of 20 words at most: a long text would else always give 1
+            logits = total / n * min(n, 20)
+            best = int(np.argmax(logits))
+            out.append((langs[best], 1.0 / float(np.exp(logits - logits[best]).sum())))
+        return out
 
 
 def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
@@ -157,13 +184,15 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, lang_pred and score (posterior, 0 to 1) of every whole text; ``und`` with 0 where
-    the text is null or has no letter, or nothing was learned. Only the text decides."""
+    the text is null or has no letter, or nothing was learned. Only the text decides: equal texts, also in rows
+    that repeat, get equal answers, and each row its own. An empty table gives no rows. Of languages that
+    are equally likely the first in order of names counts."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # bounded by WORDS, GRAMS and the languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predictor = Predictor(shipped.value)
         for batch in batches:
-            found = [predictor.predict(t.as_py()) for t in batch.column("text")]
+            found = predictor.predict(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"), batch.column("held_out"),
@@ -177,6 +206,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole text of ``documents``, learned from rows that aren't held out."""
     arrow_limits(spark)
     docs = only(table(spark, sf_dir, "documents"), doc_id="long", text="string", lang="string")
     return identify(docs, fit(docs))

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import collections
+import math
 import random
+import re
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -34,6 +38,63 @@ def test_language_id(spark, frame):
     assert {r.lang_pred for r in language_id.identify(two(frame(ODD)), empty).collect()} == {"und"}
 
 
+def test_language_id_against_a_plain_version(spark, frame, monkeypatch):
+    """Counts, kept words, backed-off scores and predictions computed anew in plain Python."""
+    arrow_limits(spark)
+    rng = random.Random(5)
+    sounds = {"aa": ["ka", "ti", "lo", "mu"], "bb": ["zer", "schi", "ung", "lo"], "cc": ["ña", "ti", "oui", "é"]}
+    rows = []
+    for i in range(240):
+        lang = rng.choice(list(sounds))
+        rows.append((i, " ".join("".join(rng.choices(sounds[lang], k=rng.randint(1, 3))) for _ in range(rng.randint(0, 25))), lang if i % 7 else None))
+    rows += [(500, None, "aa"), (501, "12 34", "bb"), (502, "", "cc"), (503, "Ka KA 7 ti", None)]
+    monkeypatch.setattr(language_id, "WORDS", 12)
+    monkeypatch.setattr(language_id, "GRAMS", 9)
+    monkeypatch.setattr(language_id, "BATCH_WORDS", 40)
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: (r.held_out, r.lang_pred, r.score) for r in language_id.identify(df, language_id.fit(df)).collect()}
+
+    split = lambda t: re.findall(r"[^\W\d_]+", (t or "").lower())
+    held = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    words = {lang: collections.Counter() for lang in sounds}
+    for i, t, lang in rows:
+        if lang and t is not None and not held(i):
+            words[lang].update(split(t))
+    tables = [words]
+    for size in range(1, 5):
+        grams = {lang: collections.Counter() for lang in words}
+        for lang, c in words.items():
+            for w, n in c.items():
+                for j in range(len(w) + 3 - size):
+                    grams[lang][f"<{w}>"[j : j + size]] += n
+        tables.append(grams)
+    top = lambda c, n: dict(sorted(c.items(), key=lambda x: (-x[1], x[0].encode()))[:n])
+    tables = [{lang: top(c, 9 if size else 12) for lang, c in t.items()} for size, t in enumerate(tables)]
+    logs = []
+    for t in tables:
+        seen = {w for c in t.values() for w in c}
+        logs.append({w: [math.log((t[lang].get(w, 0) + 0.5) / (sum(t[lang].values()) + 0.5 * len(seen))) for lang in sorted(t)] for w in seen})
+
+    def score(w):
+        if w in logs[0]:
+            return logs[0][w]
+        for size in range(min(4, len(w) + 2), 0, -1):
+            found = [logs[size][g] for j in range(len(w) + 3 - size) if (g := f"<{w}>"[j : j + size]) in logs[size]]
+            if found:
+                return [sum(x) / len(found) for x in zip(*found)]
+        return [0.0] * 3
+
+    assert len(got) == len(rows)
+    for i, t, _ in rows:
+        w = split(t)
+        if not w:
+            assert got[i] == (held(i), "und", 0.0)
+            continue
+        means = [sum(x) / len(w) * min(len(w), 20) for x in zip(*map(score, w))]
+        p = [1 / sum(math.exp(y - x) for y in means) for x in means]
+        assert got[i][0] == held(i) and abs(got[i][2] - max(p)) < 1e-4 and p[sorted(sounds).index(got[i][1])] > max(p) - 1e-4
+
+
 def test_unseen_words_back_off():
     m = language_id.Model([("en", 0, "the", 9), ("de", 0, "das", 9), ("en", 4, "wing", 5), ("de", 4, "schw", 5), ("de", 1, "z", 3), ("en", 1, "e", 3)])
     at = {lang: i for i, lang in enumerate(m.langs)}
