@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 #: Bytes of text that one vectorised block holds, apart from a single longer document.
 BLOCK_BYTES = 256 << 10
-#: Ids up to which documents are picked by a broadcast (8 bytes each); more go through a shuffle.
+#: Rows of ids up to which a table is broadcast (8 or 16 bytes each); more go through a shuffle.
 BROADCAST_IDS = 500_000
 
 
@@ -74,6 +74,11 @@ def picked(docs: DataFrame, ids: DataFrame, how: str, key: str = "doc_id") -> Da
     return docs.join(ids, key, how)
 
 
+def small(table: DataFrame) -> DataFrame:
+    """A written table, to be broadcast in joins if it has no more than BROADCAST_IDS rows."""
+    return F.broadcast(table) if table.count() <= BROADCAST_IDS else table
+
+
 def only(df: DataFrame, **columns: str) -> DataFrame:
     """The named columns alone, cast; columns that clash with working names never meet them."""
     return df.select(*(F.col(f"`{name}`").cast(kind).alias(name) for name, kind in columns.items()))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, release
+from .common import cut_lineage, release, small
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -25,8 +25,8 @@ def components(edges: DataFrame) -> DataFrame:
     while not rounds[-1].isEmpty():
         edges = rounds[-1]
         both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        step = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("to")).withColumnRenamed("a", "id")
-        maps.append(step)
+        maps.append(cut_lineage(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("to")).withColumnRenamed("a", "id")))
+        step = small(maps[-1])
         moved = (
             edges.join(step.select(F.col("id").alias("a"), F.col("to").alias("p")), "a")
             .join(step.select(F.col("id").alias("b"), F.col("to").alias("q")), "b")
@@ -37,7 +37,7 @@ def components(edges: DataFrame) -> DataFrame:
         rounds.append(cut_lineage(moved))
 
     def through(found: DataFrame, step: DataFrame) -> DataFrame:
-        nxt = step.select(F.col("id").alias("component"), F.col("to").alias("further"))
+        nxt = small(step).select(F.col("id").alias("component"), F.col("to").alias("further"))
         return found.join(nxt, "component", "left").select("id", F.coalesce("further", "component").alias("component"))
 
     if maps:
@@ -45,5 +45,5 @@ def components(edges: DataFrame) -> DataFrame:
     else:
         found = rounds[0].select(F.col("a").alias("id"), F.col("b").alias("component"))
     out = cut_lineage(found)
-    release(*rounds)
+    release(*rounds, *maps)
     return out

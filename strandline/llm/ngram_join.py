@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, blocks, cut_lineage, mix, only, picked, release, shingles, table, word_hashes
+from .common import arrow_limits, blocks, cut_lineage, mix, only, picked, release, shingles, small, table, word_hashes
 from .components import components
 
 #: Ratio of a size band's ends.
@@ -327,8 +327,8 @@ _PACKED = ["bucket", "steps", "place", "ids", "key", "lead", "doc"]
 
 
 def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of distinct (a, b), those whose sets' similarity is percent/100 at least, from the whole texts."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).distinct()
+    """Of distinct (a, b), a written table, those whose sets' similarity is percent/100 at least, from the whole texts."""
+    wanted = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -337,11 +337,11 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFra
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(at) - 1), sets], ["id", "tokens"])
 
     sets = picked(docs, wanted, "left_semi").mapInArrow(run, "id long, tokens array<bigint>")
-    both = pairs.join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b").join(
+    both = small(pairs).join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b").join(
         sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a"
     )
     shared = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("i"), (F.size("x") + F.size("y")).alias("s"))
-    return shared.where(F.lit(100) * F.col("i") >= F.lit(percent) * (F.col("s") - F.col("i"))).select("a", "b").distinct()
+    return shared.where(F.lit(100) * F.col("i") >= F.lit(percent) * (F.col("s") - F.col("i"))).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -368,17 +368,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     schemes = allocate({r[0]: r[1] for r in sizes}, percent, max((r[3] for r in sizes), default=0))
     expected = sum(r[2] * max(1, schemes[r[0]].ones) * 3 * (100 - percent) // (100 + percent) + r[1] for r in sizes)
     copies = rep.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("rep")).alias("first")).where("NOT first").select("doc_id")
-    indexed = picked(docs.where("doc_id IS NOT NULL"), copies, "left_anti")
+    indexed = picked(docs.where("doc_id IS NOT NULL"), cut_lineage(copies), "left_anti")
     met = cut_lineage(meetings(indexed, k, schemes, percent, expected))
 
     # what a set's sizes and sketch allow; a doc_id with several texts has several
-    sketches = about.where("n > 0").join(only_reps.select("doc_id", "n").distinct(), ["doc_id", "n"], "left_semi").select(F.col("doc_id").alias("id"), "n", *_WORDS).distinct()
+    firsts = only_reps.select("doc_id", "n").distinct()
+    sketches = cut_lineage(about.where("n > 0").join(firsts, ["doc_id", "n"], "left_semi").select(F.col("doc_id").alias("id"), "n", *_WORDS).distinct())
     pairs = cut_lineage(met.groupBy("lead", "doc").agg(F.count(F.lit(1)).alias("keys")).select(F.col("lead").alias("a"), F.col("doc").alias("b"), "keys"))
     likely = cut_lineage(_likely(pairs, sketches, percent))
 
     # documents with texts of several classes join these
     several = rep.groupBy("doc_id").agg(F.count_distinct("rep").alias("reps")).where("reps > 1").select("doc_id")
-    links = [cut_lineage(rep.join(several, "doc_id", "left_semi").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))]
+    links = [cut_lineage(picked(rep, cut_lineage(several), "left_semi").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))]
 
     def link(new: DataFrame) -> DataFrame:
         """Components after ``new`` pairs are verified too."""
@@ -387,39 +388,42 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     best = cut_lineage(likely.groupBy("b").agg(F.max_by("a", F.struct("keys", -F.col("a"))).alias("a")).select("a", "b"))
     found = link(best)
-    rest = cut_lineage(_apart(likely.join(best, ["a", "b"], "left_anti"), found).select("a", "b"))
+    rest = cut_lineage(_apart(likely, found).join(small(best), ["a", "b"], "left_anti").select("a", "b"))
     old, found = found, link(rest)
     release(old, best, rest)
 
     # members of one key in different components: the pairs that the stars left open
-    open_pairs = _apart(pairs, found).select(F.col("a").alias("lead"), F.col("b").alias("doc"))
-    open_keys = met.join(open_pairs, ["lead", "doc"], "left_semi").select("key").distinct()
-    of_open = cut_lineage(met.join(open_keys, "key", "left_semi"))
-    members = of_open.select("key", F.col("lead").alias("id")).unionAll(of_open.select("key", F.col("doc").alias("id"))).distinct()
-    several = members.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 2").select("key")  # a pair alone has met
-    members = cut_lineage(members.join(several, "key", "left_semi"))
+    open_pairs = cut_lineage(_apart(pairs, found).select(F.col("a").alias("lead"), F.col("b").alias("doc")))
+    open_keys = cut_lineage(met.join(small(open_pairs), ["lead", "doc"], "left_semi").select("key").distinct())
+    of_open = cut_lineage(met.join(small(open_keys), "key", "left_semi"))
+    members = of_open.select("key", F.col("lead").alias("id")).unionAll(of_open.select("key", F.col("doc").alias("id")))
+    members = cut_lineage(members.distinct())
+    release(met, open_pairs, open_keys, of_open, likely)
     seen = pairs.select("a", "b")
-    steps = [*range(ROUNDS), None]
-    for salt in steps:
-        named = members.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-        mixed = named.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
-        named = cut_lineage(named.join(mixed, "key", "left_semi"))
-        if named.isEmpty():
-            release(named)
+    for salt in [*range(ROUNDS), None]:
+        named = members.join(small(found), "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+        # one member of each key, chosen by hash; a pair alone has met, and so has one component
+        chosen = F.min(F.struct(F.xxhash64("id", F.lit(salt)), F.col("id").alias("o_id"), F.col("c").alias("o_c"))).alias("o")
+        groups = named.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("c").alias("low"), F.max("c").alias("high"), chosen)
+        groups = cut_lineage(groups.where("m > 2 AND low < high").select("key", "o.o_id", "o.o_c"))
+        if groups.isEmpty():
+            release(groups)
             break
         if salt is None:
+            named = cut_lineage(named.join(small(groups.select("key")), "key", "left_semi"))
             mine, other = (named.join(_named(sketches, "id", mark), "id") for mark in "xy")
             other = other.withColumnsRenamed({"id": "o_id", "c": "o_c"})
             met_again = mine.join(other, "key").where((F.col("id") < F.col("o_id")) & (F.col("c") != F.col("o_c")) & _fits(percent))
         else:
-            lead = named.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(salt)), F.col("id").alias("o_id"), F.col("c").alias("o_c"))).alias("o"))
-            met_again = named.join(lead.select("key", "o.o_id", "o.o_c"), "key").where("c <> o_c")
-        new = met_again.select(F.least("id", "o_id").alias("a"), F.greatest("id", "o_id").alias("b")).distinct().join(seen, ["a", "b"], "left_anti")
-        new = cut_lineage(_likely(new, sketches, percent).select("a", "b"))
+            met_again = named.join(small(groups), "key").where("c <> o_c")
+        new = met_again.select(F.least("id", "o_id").alias("a"), F.greatest("id", "o_id").alias("b")).distinct()
+        new = cut_lineage(new.join(small(seen), ["a", "b"], "left_anti"))
+        if salt is not None:
+            new = cut_lineage(_likely(new, sketches, percent).select("a", "b"))
         seen = seen.unionAll(new)
         old, found = found, link(new)
-        release(old, named)
-    release(met, of_open, members, likely, *links)
+        release(old, groups)
+    release(members, *links)
 
     whole = rep.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left")
     whole = whole.groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component"))
@@ -442,12 +446,13 @@ def _fits(percent: int) -> Column:
 
 def _likely(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b, ...) that neither sizes nor parity sketches rule out."""
-    both = pairs.join(_named(sketches, "a", "x"), "a").join(_named(sketches, "b", "y"), "b")
+    both = small(pairs).join(_named(sketches, "a", "x"), "a").join(_named(sketches, "b", "y"), "b")
     return both.where(_fits(percent)).select(*pairs.columns).distinct()
 
 
 def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
     """Pairs in different components."""
+    found = small(found)
     for side in ("a", "b"):
         pairs = pairs.join(found.select(F.col("id").alias(side), F.col("component").alias(f"{side}_c")), side, "left")
     return pairs.where(F.coalesce("a_c", "a") != F.coalesce("b_c", "b")).drop("a_c", "b_c")
