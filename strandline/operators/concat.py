@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import category, quoted
+from ..functions.columns import category
+from .index import numbered
 
 HOW = ("vertical", "vertical_relaxed", "diagonal", "diagonal_relaxed", "horizontal", "align", "align_full", "align_inner", "align_left", "align_right")
 
@@ -42,10 +43,8 @@ def concat(
     if how == "horizontal":
         if order is None:
             raise ValueError("rows have no place without an order")
-        # a global number: meant for small tables, as rows of all recordings are numbered together
-        number = F.row_number().over(Window.orderBy(quoted(order)))
-        numbered = [tables[0].withColumn("_n", number), *(t.withColumn("_n", number).drop(order) for t in tables[1:])]
-        return reduce(lambda a, b: a.join(b, "_n", "full_outer"), numbered).drop("_n")
+        placed = [numbered(t, [order], "_n") for t in tables]
+        return reduce(lambda a, b: a.join(b.drop(order), "_n", "full_outer"), placed).drop("_n")
     kind = {"align": "full_outer", "align_full": "full_outer"}.get(how, how.removeprefix("align_"))
     common = [c for c in tables[0].columns if all(c in t.columns for t in tables[1:])]
     return reduce(lambda a, b: a.join(b, common, kind), tables)

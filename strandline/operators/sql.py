@@ -7,11 +7,17 @@ from datetime import timedelta
 from pathlib import PurePath
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import ParseException
 from pyspark.sql import DataFrame, SparkSession
 
 _TOKEN = re.compile(r"'(?:[^']|'')*'|\"(?:[^\"]|\"\")*\"|`(?:[^`]|``)*`|--[^\n]*|/\*.*?\*/|\$(\w+)|::|\bEXCLUDE\b|\bself\b", re.S | re.I)
-_NOT_QUERIES = ("Insert", "Create", "Replace", "Drop", "Show", "Set", "Alter", "Describe", "Explain", "Cache", "Uncache", "Use", "Truncate", "Delete", "Update", "Merge", "Repair", "Analyze", "Refresh", "Clear", "Add", "List", "Reset", "Load", "Declare", "Comment", "Call", "CompoundBody")
+# What a parsed query's topmost node can be. Everything else is a command or writes.
+_QUERIES = frozenset(
+    "Project Filter Aggregate Distinct Sort GlobalLimit LocalLimit Offset Union Intersect Except UnresolvedWith UnresolvedHaving UnresolvedInlineTable "
+    "UnresolvedRelation UnresolvedSubqueryColumnAliases WithWindowDefinition Join Generate Pivot Unpivot SubqueryAlias Sample Tail LateralJoin "
+    "UnresolvedTableValuedFunction OneRowRelation RepartitionByExpression LogicalRelation".split()
+)
 
 
 class InvalidQuery(ValueError):
@@ -45,9 +51,9 @@ def check(spark: SparkSession, query: str) -> None:
     bare = re.sub(r"\{\w+\}", "placeholder", query)
     try:
         plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(bare)
-    except (ParseException, Exception) as e:
+    except (ParseException, Py4JJavaError) as e:
         raise InvalidQuery(f"invalid query: {e}") from e
-    if plan.getClass().getSimpleName().rstrip("$").startswith(_NOT_QUERIES):
+    if plan.getClass().getSimpleName().rstrip("$") not in _QUERIES:
         raise InvalidQuery("invalid query: only SELECT is allowed")
 
 

@@ -29,11 +29,17 @@ def tree_map(f: Callable[..., Any], tree: Any, *rest: Any) -> Any:
     return f(tree, *rest)
 
 
+#: The most tables that a table is split into by its values.
+TABLES = 10_000
+
+
 def partition_split(df: DataFrame, key: str, values: list[str] | None = None) -> dict[str, DataFrame]:
     """One table for each value of ``key``, without that column. Without ``values`` the distinct ones are read;
-    they name tables, so there are few."""
+    they name tables, and more than TABLES are an error."""
     if values is None:
-        values = sorted(r[0] for r in df.select(quoted(key)).where(quoted(key).isNotNull()).distinct().collect())
+        values = sorted(r[0] for r in df.select(quoted(key)).where(quoted(key).isNotNull()).distinct().limit(TABLES + 1).collect())
+        if len(values) > TABLES:
+            raise ValueError(f"{key} has more than {TABLES} values")
     return {v: df.where(quoted(key) == F.lit(v)).drop(key) for v in values}
 
 

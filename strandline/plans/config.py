@@ -16,6 +16,8 @@ from typing import Any
 
 from pyspark.sql import DataFrame
 
+from ..session import exists
+
 
 def resolve(name: str | Callable) -> Callable:
     if callable(name):
@@ -27,6 +29,20 @@ def resolve(name: str | Callable) -> Callable:
     return out
 
 
+def checked(node: Mapping[str, Any]) -> Mapping[str, Any]:
+    """The declaration of a node, if it is one."""
+    kinds = {"func": (str, Callable), "output": str, "inputs": Mapping, "bound": Mapping}
+    missing, unknown = {"func", "output"} - node.keys(), node.keys() - kinds.keys()
+    if missing or unknown:
+        raise ValueError(f"a node lacks {sorted(missing)} or has no place for {sorted(unknown)}")
+    wrong = [k for k, v in node.items() if not isinstance(v, kinds[k])]
+    if wrong:
+        raise TypeError(f"of a wrong kind in a node: {wrong}")
+    if isinstance(node["func"], str) and ":" not in node["func"]:
+        raise ValueError(f"a function is named module:name, not {node['func']!r}")
+    return node
+
+
 @dataclass(frozen=True)
 class Node:
     func: str | Callable
@@ -37,7 +53,7 @@ class Node:
 
 class Pipeline:
     def __init__(self, nodes: list[Node | Mapping[str, Any]]):
-        self.nodes = [n if isinstance(n, Node) else Node(**n) for n in nodes]
+        self.nodes = [n if isinstance(n, Node) else Node(**checked(n)) for n in nodes]
         names = [n.output for n in self.nodes]
         if len(set(names)) != len(names):
             raise ValueError("two nodes have one output")
@@ -68,12 +84,23 @@ class Pipeline:
             waiting = [n for n in waiting if n not in ready]
         return out
 
-    def run(self, **given: Any) -> DataFrame:
-        """The leaf's DataFrame; nothing is computed yet."""
+    def run(self, run_folder: str | None = None, return_results: bool = True, **given: Any) -> DataFrame | None:
+        """The leaf's DataFrame; nothing is computed yet. With a run folder the leaf is written there as Parquet
+        and read from it; without results wanted, which needs a run folder, None is returned."""
+        if not return_results and run_folder is None:
+            raise ValueError("results that aren't returned need a run folder")
         leaf, values = self.leaf, dict(given)
+        unused = set(given) - {v for n in self.nodes for v in names_in(n.inputs)}
+        if unused:
+            raise ValueError(f"no node uses these inputs: {sorted(unused)}")
         for node in self.order(set(given)):
             values[node.output] = resolve(node.func)(**{k: filled(v, values) for k, v in node.inputs.items()}, **node.bound)
-        return values[leaf]
+        out = values[leaf]
+        if run_folder is None:
+            return out
+        path = f"{run_folder}/{leaf}"
+        out.write.mode("overwrite").parquet(path)
+        return out.sparkSession.read.parquet(path) if return_results else None
 
     def digest(self) -> str:
         """A key for caches: equal declarations have equal ones."""
@@ -81,14 +108,14 @@ class Pipeline:
         return hashlib.blake2b(text.encode(), digest_size=8).hexdigest()
 
     def cached(self, folder: str, **given: Any) -> DataFrame:
-        """The leaf from Parquet below ``folder`` if this pipeline has written it, else computed and written."""
+        """The leaf from Parquet below ``folder`` if this pipeline has written it from these inputs, else computed
+        and written. Tables count as the same by their schema and files, or by their plan if they have none."""
         spark = next(v.sparkSession for v in given.values() if isinstance(v, DataFrame))
-        path = f"{folder}/{self.digest()}"
-        try:
-            return spark.read.parquet(path)
-        except Exception:  # not written yet
-            self.run(**given).write.parquet(path)
-            return spark.read.parquet(path)
+        about = {k: [v.schema.json(), sorted(v.inputFiles()) or v.semanticHash()] if isinstance(v, DataFrame) else repr(v) for k, v in sorted(given.items())}
+        path = f"{folder}/{self.digest()}-{hashlib.blake2b(json.dumps(about).encode(), digest_size=8).hexdigest()}"
+        if not exists(spark, f"{path}/_SUCCESS"):
+            self.run(**given).write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path)
 
 
 def names_in(value: Any) -> set[str]:

@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Iterator, Mapping, Sequence
+from concurrent.futures import Future, ThreadPoolExecutor, as_completed
 from dataclasses import dataclass, field
+from itertools import islice
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import quoted
+from ..operators.index import numbered
+from ..session import exists
 from ..sources.media import lookup
 
+#: Rows of a set that is pickled with its rows.
+PICKLED = 1_000_000
+
 
 @dataclass(frozen=True)
 class Stream:
@@ -29,32 +37,6 @@ class Stream:
         return self.data if self.data is not None else spark.read.parquet(self.path)
 
 
-#: Ranges into which rows are cut before they are numbered, and about how many keys are looked at for the cuts.
-RANGES, SAMPLED = 200, 4000
-
-
-def numbered(df: DataFrame, order: Sequence[str]) -> DataFrame:
-    """Put a global 0-based ``sample_idx`` along ``order`` (which tells rows apart) without sorting in one task.
-
-    Keys chosen by their hash, about ``SAMPLED`` of them, give the cuts of ``RANGES`` ranges; a row's range
-    depends on its key and the cuts alone, so a task that runs again gives the same. Rows are numbered in
-    their range and moved by the sizes of the ranges before, a table of a row for each.
-    """
-    key = F.struct(*(quoted(c).alias(f"c{i}") for i, c in enumerate(order)))
-    one_in = max(1, df.count() // SAMPLED)
-    some = df.where(F.pmod(F.xxhash64(*map(quoted, order)), F.lit(one_in)) == 0).select(key.alias("k")).distinct()
-    place = F.row_number().over(Window.orderBy("k"))
-    ranked = some.select("k", place.alias("r"), F.count(F.lit(1)).over(Window.partitionBy()).alias("n"))
-    step = F.greatest(F.floor(F.col("n") / RANGES), F.lit(1))
-    cuts = ranked.where(F.col("r") % step == 0).agg(F.collect_list("k").alias("_cuts"))  # RANGES keys or a few more
-    dealt = df.join(F.broadcast(cuts)).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < key))).drop("_cuts")
-    inside = dealt.withColumn("_n", F.row_number().over(Window.partitionBy("_range").orderBy(*map(quoted, order))))
-    sizes = dealt.groupBy("_range").count()
-    before = F.coalesce(F.sum("count").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = F.broadcast(sizes.select("_range", before.alias("_start")))
-    return inside.join(starts, "_range").select((F.col("_start") + F.col("_n") - 1).cast("long").alias("sample_idx"), *map(quoted, df.columns))
-
-
 class SampleSet:
     """``samples`` has sample_idx, input_id and data columns; ``streams`` are joined by ``get_batch``."""
 
@@ -68,6 +50,7 @@ class SampleSet:
         if missing:
             raise ValueError(f"no such index columns: {sorted(missing)}")
         self.samples, self.streams = samples, dict(streams) if streams is not None else None
+        self.path: str | None = None
 
     @classmethod
     def build(cls, leaf: DataFrame, order: Sequence[str], streams: Mapping[str, Stream] | None = None) -> SampleSet:
@@ -123,16 +106,34 @@ class SampleSet:
                 raise ValueError("streams of tables without a path can't be saved")
             text = json.dumps({n: {k: v for k, v in asdict_of(s).items()} for n, s in self.streams.items()})
             self.samples.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.mode(mode).text(f"{path}/streams")
+        self.path = path
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> SampleSet:
         samples = spark.read.parquet(f"{path}/data")
         samples = samples.withColumn("input_id", F.col("input_id").cast("string"))
-        try:
-            text = "".join(r[0] for r in spark.read.text(f"{path}/streams").collect())
-        except Exception:  # no streams were saved
-            return cls(samples, None)
-        return cls(samples, {n: Stream(**s) for n, s in json.loads(text).items()})
+        streams = None
+        if exists(spark, f"{path}/streams"):
+            streams = {n: Stream(**s) for n, s in json.loads("".join(r[0] for r in spark.read.text(f"{path}/streams").collect())).items()}
+        out = cls(samples, streams)
+        out.path = path
+        return out
+
+    def __reduce__(self):
+        """A set that was saved or loaded is pickled as its folder; another as its rows, PICKLED of them at most."""
+        if self.path is not None:
+            return _load, (self.path,)
+        table = self.samples.limit(PICKLED + 1).toArrow()
+        if table.num_rows > PICKLED:
+            raise ValueError(f"a set of more than {PICKLED} rows must be saved before it is pickled")
+        if self.streams and any(s.path is None for s in self.streams.values()):
+            raise ValueError("streams of tables without a path can't be pickled")
+        return _rebuild, (table, self.samples.schema.json(), self.streams)
+
+    def __eq__(self, other: object) -> bool:
+        return isinstance(other, SampleSet) and self.equals(other)
+
+    __hash__ = None
 
     def equals(self, other: SampleSet) -> bool:
         """Equal rows (counted) and streams."""
@@ -145,6 +146,15 @@ class SampleSet:
         return self.get_batch(index).toArrow()
 
 
+def _load(path: str) -> SampleSet:
+    return SampleSet.load(SparkSession.getActiveSession(), path)
+
+
+def _rebuild(table: pa.Table, schema: str, streams: Mapping[str, Stream] | None) -> SampleSet:
+    spark = SparkSession.getActiveSession()
+    return SampleSet(spark.createDataFrame(table, T.StructType.fromJson(json.loads(schema))), streams)
+
+
 def asdict_of(s: Stream) -> dict:
     return {"index": s.index, "path": s.path, "media_index": s.media_index, "value": s.value}
 
@@ -165,28 +175,76 @@ def with_batch_ids(samples: DataFrame, batch_size: int, shuffle_seed: int | None
     return out.drop("_at")
 
 
+class Shuffle:
+    """A random order of n numbers, by number: four rounds of a Feistel network over the next even power of two,
+    walked until the result is below n. Neither the order nor its inverse is ever held."""
+
+    def __init__(self, n: int, seed: int):
+        self.n, self.seed = n, seed
+        self.half = max(1, -(-max(1, n - 1).bit_length() // 2))
+
+    def __call__(self, i: int) -> int:
+        low = (1 << self.half) - 1
+        while True:
+            a, b = i >> self.half, i & low
+            for k in range(4):
+                mixed = hashlib.blake2b(f"{self.seed} {k} {b}".encode(), digest_size=8).digest()
+                a, b = b, a ^ (int.from_bytes(mixed, "little") & low)
+            i = a << self.half | b
+            if i < self.n:
+                return i
+
+
 class Loader:
-    """Iterates over batches as Arrow tables; the next partitions are computed while one is used."""
+    """Iterates over batches as Arrow tables, or over what ``collate`` makes of them.
+
+    A batch is addressed by its number: its rows follow sample_idx, or with ``shuffle`` a random order of it
+    that ``seed`` decides, and each is fetched by ``get_batch``, streams included. ``prebatch`` batches are
+    fetched by one Spark job, ``num_workers`` jobs run beside each other, and ``num_workers *
+    prefetch_factor`` are asked for ahead of the consumer. With ``in_order`` batches come by number, else
+    as they are ready. The driver holds the batches asked for and no more.
+    """
 
-    def __init__(self, samples: SampleSet, batch_size: int = 1, shuffle: bool = False, seed: int = 0, drop_last: bool = False, collate=None):
-        self.set, self.size, self.seed, self.drop_last, self.collate = samples, batch_size, seed if shuffle else None, drop_last, collate or (lambda t: t)
+    def __init__(
+        self, samples: SampleSet, batch_size: int = 1, shuffle: bool = False, seed: int = 0, drop_last: bool = False, collate=None,
+        num_workers: int = 1, prefetch_factor: int = 2, in_order: bool = True, prebatch: int = 16, include_streams: bool | None = None,
+    ):
+        if min(batch_size, num_workers, prefetch_factor, prebatch) < 1:
+            raise ValueError("sizes and numbers must be positive")
+        self.set, self.size, self.shuffle, self.seed, self.drop_last, self.collate = samples, batch_size, shuffle, seed, drop_last, collate or (lambda t: t)
+        self.workers, self.ahead, self.in_order, self.prebatch, self.include_streams = num_workers, num_workers * prefetch_factor, in_order, prebatch, include_streams
 
     def __len__(self) -> int:
-        n = len(self.set)
+        return self._batches(len(self.set))
+
+    def _batches(self, n: int) -> int:
         return n // self.size if self.drop_last else -(-n // self.size)
 
+    def _fetch(self, first: int, last: int, n: int) -> list[pa.Table]:
+        """Batches first to last - 1."""
+        places = range(first * self.size, min(last * self.size, n))
+        if self.shuffle:
+            order = Shuffle(n, self.seed)
+            places = [order(i) for i in places]
+        table = self.set.get_batch(places, self.include_streams).drop("pos").toArrow()
+        return [table.slice(i * self.size, self.size) for i in range(last - first)]
+
     def __iter__(self) -> Iterator:
-        rows = with_batch_ids(self.set.samples, self.size, self.seed, self.drop_last)
-        if self.set.streams:
-            for name, s in self.set.streams.items():
-                rows = lookup(rows, s.table(rows.sparkSession), s.index, name, media_index=s.media_index, value=s.value)
-        ordered = rows.repartitionByRange("batch_id").sortWithinPartitions("batch_id", "batch_pos")
-        held, current = [], None
-        for row in ordered.toLocalIterator(prefetchPartitions=True):
-            if current is not None and row["batch_id"] != current:
-                yield self.collate(held)
-                held = []
-            current = row["batch_id"]
-            held.append(row.asDict())
-        if held:
-            yield self.collate(held)
+        n = len(self.set)
+        batches = self._batches(n)
+        runs = iter(range(0, batches, self.prebatch))
+        with ThreadPoolExecutor(self.workers) as pool:
+            waiting: list[Future] = []
+            try:
+                while True:
+                    for first in islice(runs, self.ahead - len(waiting)):
+                        waiting.append(pool.submit(self._fetch, first, min(batches, first + self.prebatch), n))
+                    if not waiting:
+                        return
+                    ready = waiting[0] if self.in_order else next(as_completed(waiting))
+                    waiting.remove(ready)
+                    for table in ready.result():
+                        yield self.collate(table)
+            finally:
+                for future in waiting:
+                    future.cancel()

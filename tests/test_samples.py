@@ -1,10 +1,13 @@
 from __future__ import annotations
 
+import pickle
+
 import pytest
 from pyspark.sql import functions as F
 
 from strandline.plans.config import Node, Pipeline
-from strandline.plans.dataset import Loader, SampleSet, Stream, with_batch_ids
+from strandline.operators.index import numbered
+from strandline.plans.dataset import Loader, SampleSet, Shuffle, Stream, with_batch_ids
 from strandline.plans.sinks import flatten_for_viewer
 
 
@@ -44,13 +47,45 @@ def test_saved_sets_are_equal(spark, samples, tmp_path):
 
 
 def test_loader(samples):
-    plain = [[r["sample_idx"] for r in b] for b in Loader(samples, 6)]
+    numbers = lambda loader: [b["sample_idx"].to_pylist() for b in loader]
+    plain = numbers(Loader(samples, 6))
     assert plain == [list(range(0, 6)), list(range(6, 12)), list(range(12, 18)), [18, 19]]
-    loader = Loader(samples, 6, shuffle=True, seed=1, drop_last=True)
-    mixed = [[r["sample_idx"] for r in b] for b in loader]
+    assert next(iter(Loader(samples, 2)))["m"].to_pylist() == [["b0", "b1"], ["a1", "a2"]]
+    loader = Loader(samples, 6, shuffle=True, seed=1, drop_last=True, prebatch=2)
+    mixed = numbers(loader)
     assert len(mixed) == len(loader) == 3 and len({i for b in mixed for i in b}) == 18 and mixed != plain[:3]
-    assert mixed == [[r["sample_idx"] for r in b] for b in loader]
+    assert mixed == numbers(loader) != numbers(Loader(samples, 6, shuffle=True, seed=2, drop_last=True))
+    loose = numbers(Loader(samples, 3, num_workers=3, prefetch_factor=1, in_order=False, prebatch=1, collate=lambda t: t.select(["sample_idx"])))
+    assert sorted(loose) == [list(range(i, min(20, i + 3))) for i in range(0, 20, 3)]
     assert with_batch_ids(samples.samples, 6).where("batch_id = 3").count() == 2
+    with pytest.raises(ValueError):
+        Loader(samples, 0)
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 64, 1000])
+def test_shuffle_is_a_permutation(n):
+    assert sorted(map(Shuffle(n, 5), range(n))) == list(range(n))
+
+
+def test_sets_are_pickled(spark, samples, tmp_path):
+    assert pickle.loads(pickle.dumps(samples)) == samples
+    samples.save(str(tmp_path / "s"))
+    raw = pickle.dumps(samples)
+    assert len(raw) < 500 and pickle.loads(raw) == samples
+    with pytest.raises(ValueError):
+        pickle.dumps(SampleSet(samples.samples, {"m": Stream("i", data=spark.range(1))}))
+
+
+@pytest.mark.parametrize("ranges", ["1", "7"])
+def test_numbers_over_all_rows(spark, ranges):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", ranges)
+    try:
+        df = spark.range(500).select((F.col("id") * 37 % 500).alias("k"), F.lit("x").alias("_range"))
+        got = numbered(df.repartition(5), ["k"], "n").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sorted(r.n for r in got) == list(range(500)) and all(r.n == r.k and r["_range"] == "x" for r in got)
 
 
 def test_pipeline(spark, tmp_path):
@@ -68,6 +103,21 @@ def test_pipeline(spark, tmp_path):
         assert sorted(r.n for r in y.cached(str(tmp_path), t=spark.range(3)).collect()) == [0, 1, 2]
 
 
+def test_pipeline_declarations_and_folders(spark, tmp_path):
+    node = {"func": "strandline.operators.index:with_row_index", "output": "out", "inputs": {"tables": "t"}, "bound": {"name": "n", "order": "id", "by": []}}
+    for bad, error in (({"output": "x"}, ValueError), (node | {"extra": 1}, ValueError), (node | {"output": 3}, TypeError), (node | {"func": "nowhere"}, ValueError)):
+        with pytest.raises(error):
+            Pipeline([bad])
+    p = Pipeline([node])
+    with pytest.raises(ValueError):
+        p.run(t=spark.range(2), other=1)
+    with pytest.raises(ValueError):
+        p.run(t=spark.range(2), return_results=False)
+    assert p.run(t=spark.range(2), run_folder=str(tmp_path / "r")).count() == 2
+    assert p.run(t=spark.range(3), run_folder=str(tmp_path / "r"), return_results=False) is None and spark.read.parquet(str(tmp_path / "r" / "out")).count() == 3
+    assert p.cached(str(tmp_path / "c"), t=spark.range(2)).count() == 2 and p.cached(str(tmp_path / "c"), t=spark.range(4)).count() == 4
+
+
 def test_viewer(spark):
     df = spark.createDataFrame([(0, "a", [1, 2], [5.0, 6.0])], "sample_idx long, input_id string, t array<long>, v array<double>")
     assert [tuple(r) for r in flatten_for_viewer(df, "t", ["input_id"]).collect()] == [(0, 0, 1, 5.0, "a"), (0, 1, 2, 6.0, "a")]
