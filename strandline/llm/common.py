@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage, release, shared_folder  # noqa: F401
+
 #: Rows and bytes that one Arrow batch to Python holds at most; both bound a worker's memory.
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 #: Bytes of text that one vectorised block holds, apart from a single longer document.
@@ -30,43 +30,6 @@ def arrow_limits(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; where none is set, as in local tests, a temporary one."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir", "") or sc.getCheckpointDir()
-    if named:
-        return named
-    if not sc.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="strandline-"))
-    return sc.getCheckpointDir()
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a compressed table in the shared folder and read it from there.
-
-    Executors may be lost at any later time: the table is whole and all can read it. Spark removes the
-    shuffle files of a finished query at once; ``release`` removes the table.
-    """
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.shuffleDependency.fileCleanup.enabled", "true")
-    # a union that keeps its inputs' partitioning fails where Spark merges their partitions differently at run time
-    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
-    path = f"{shared_folder(spark)}/strandline-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.written_to = path
-    return out
-
-
-def release(*tables: DataFrame) -> None:
-    """Remove tables that ``cut_lineage`` wrote and that nothing reads any more."""
-    for df in tables:
-        jvm = df.sparkSession.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df.written_to)
-        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def picked(docs: DataFrame, ids: DataFrame, how: str, key: str = "doc_id") -> DataFrame:
     """Rows of ``docs`` whose ``key`` is among ``ids`` (left_semi) or isn't (left_anti); no text moves while ids are few."""
     if ids.count() <= BROADCAST_IDS:
