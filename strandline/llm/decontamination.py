@@ -52,8 +52,7 @@ def window_size(length: int, k: int = SHINGLE, similarity: float = SIMILARITY) -
 
 def word_list(text: Column) -> Column:
     """The words of a text; none for null."""
-    clean = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
-    return F.when(clean == "", F.array().cast("array<string>")).otherwise(F.split(clean, " "))
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
 def shingle_list(words: Column, k: int) -> Column:
@@ -63,38 +62,38 @@ def shingle_list(words: Column, k: int) -> Column:
     return F.when(F.size(words) >= k, F.transform(at, run)).otherwise(F.array().cast("array<bigint>"))
 
 
-#: For each byte, its bits spread over the bytes of a long: sums of such longs count the bits of up to 127 words at once.
-_SPREAD = [sum((byte >> i & 1) << (8 * i) for i in range(8)) for byte in range(256)]
-_LANES = range(8)
+def added(x: list[Column], y: list[Column]) -> list[Column]:
+    """The sum, for each bit of a hash, of two numbers given by their binary digits: longs of 64 digits each."""
+    out, carry = [], None
+    for a, b in zip(x, y):
+        half, both = a.bitwiseXOR(b), a.bitwiseAND(b)
+        out.append(half if carry is None else half.bitwiseXOR(carry))
+        carry = both if carry is None else both.bitwiseOR(carry.bitwiseAND(half))
+    return [*out, carry]
 
 
-def _numbers(values: list[int]) -> Column:
-    return F.array(*(F.lit(v).cast("long") for v in values))
+def simhash(rows: DataFrame, hashes: str, size: int) -> DataFrame:
+    """Replace ``hashes``, arrays of ``size`` (a power of two) word hashes, by f: each bit is that of most words.
 
-
-def bit_counts(hashes: Column, size: int) -> Column:
-    """For runs of ``size`` hashes one after another: how many have each bit, as eight longs of eight counts."""
-    spread = _numbers(_SPREAD)
-    none = F.struct(*(F.lit(0).cast("long").alias(f"l{j}") for j in _LANES))
-    byte = lambda x, j: F.shiftrightunsigned(x, 8 * j).bitwiseAND(F.lit(255)).cast("int")
-    more = lambda acc, x: F.struct(*((acc[f"l{j}"] + F.get(spread, byte(x, j))).alias(f"l{j}") for j in _LANES))
-    count = F.floor(F.size(hashes) / size).cast("int")
-    return F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.aggregate(F.slice(hashes, i * size + 1, F.lit(size)), none, more)))
-
-
-def majority(sums: list[Column], words: int) -> Column:
-    """The fingerprint, given the lanes' counts over ``words`` words (63 at most): the bits that most of them have."""
-    lanes = lambda x: sum(x << (8 * i) for i in _LANES)
-    over = [(s + F.lit(lanes(64 - (words // 2 + 1)))).bitwiseAND(F.lit(lanes(64))) for s in sums]
-    moved = [F.shiftrightunsigned(x, j) if j < 7 else F.shiftleft(x, 1) for j, x in enumerate(over)]
-    return reduce(lambda x, y: x.bitwiseOR(y), moved)
-
-
-def fingerprints(counts: Column, size: int, parts: int) -> Column:
-    """Of windows of ``size`` words, each ``parts`` neighbours of ``counts``; none for a shorter list."""
-    lane = lambda i, j: reduce(lambda x, y: x + y, (F.get(counts, i + p)[f"l{j}"] for p in range(parts)))
-    at = F.sequence(F.lit(0), F.size(counts) - parts)
-    return F.when(F.size(counts) >= parts, F.transform(at, lambda i: majority([lane(i, j) for j in _LANES], size)))
+    The bits are counted for all 64 places at once, by adding neighbouring numbers until one is left; a
+    select for each step keeps what is used twice from being computed twice.
+    """
+    keys = [c for c in rows.columns if c != hashes]
+    rows = rows.select(*keys, *(F.get(hashes, F.lit(i)).alias(f"{hashes}{i}_0") for i in range(size)))
+    count, digits = size, 1
+    while count > 1:
+        number = lambda i: [F.col(f"{hashes}{i}_{d}") for d in range(digits)]  # noqa: E731, B023
+        sums = [added(number(2 * i), number(2 * i + 1)) for i in range(count // 2)]
+        rows = rows.select(*keys, *(c.alias(f"{hashes}{i}_{d}") for i, planes in enumerate(sums) for d, c in enumerate(planes)))
+        count, digits = count // 2, digits + 1
+    # more than size / 2: the highest digit, or the next one and any below it
+    planes = [F.col(f"{hashes}0_{d}") for d in range(digits)]
+    if digits == 1:
+        return rows.select(*keys, planes[0].alias("f"))
+    if digits == 2:
+        return rows.select(*keys, planes[1].alias("f"))
+    low = reduce(lambda x, y: x.bitwiseOR(y), planes[:-2])
+    return rows.select(*keys, planes[-1].bitwiseOR(planes[-2].bitwiseAND(low)).alias("f"))
 
 
 def block_list(fingerprint: Column) -> Column:
@@ -107,14 +106,9 @@ def windows_of(rows: DataFrame, size: int, step: int) -> DataFrame:
     """``rows`` (w and others) with fingerprint f of each window of ``size`` words at every ``step`` words."""
     keys = [c for c in rows.columns if c != "w"]
     hashed = rows.select(*keys, F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
-    if size % step or step == 1:  # windows at every word: each on its own
-        at = F.sequence(F.lit(0), F.size("h") - size)
-        runs = F.when(F.size("h") >= size, F.transform(at, lambda i: F.slice("h", i + 1, F.lit(size))))
-        alone = hashed.select(*keys, F.explode(runs).alias("h"))
-        counted, parts = alone.select(*keys, bit_counts(F.col("h"), size).alias("c")), 1
-    else:
-        counted, parts = hashed.select(*keys, bit_counts(F.col("h"), step).alias("c")), size // step
-    return counted.select(*keys, F.explode(fingerprints(F.col("c"), size, parts)).alias("f"))
+    at = F.sequence(F.lit(0), F.floor((F.size("h") - size) / step).cast("int"))
+    runs = F.when(F.size("h") >= size, F.transform(at, lambda i: F.slice("h", i * step + 1, F.lit(size))))
+    return simhash(hashed.select(*keys, F.explode(runs).alias("h")), "h", size)
 
 
 def contaminated(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, k: int = SHINGLE) -> DataFrame:
