@@ -4,7 +4,7 @@ A text's words are its runs of letters and digits, lower-cased. An item's size s
 of it can bear and still be similar, and so how long a run of its words stays whole in the passage: the
 window's size is the largest power of two that such a run must hold when windows begin at every half window
 (``window_size``). Every document is cut into such windows, every item into the windows at each of its
-words, and each gets a 64-bit SimHash fingerprint of its words. A fingerprint has RADIUS + 1 blocks; two
+words, and each gets a 64-bit SimHash fingerprint of its pairs of neighbouring words. A fingerprint has RADIUS + 1 blocks; two
 that differ in RADIUS bits at most have a block in common, so the join on blocks finds all of those, among
 them a window of the run that stayed whole. The documents that it finds, and only they, are verified: in
 each, windows of the item's full size are laid wherever a shared shingle of five words would put the item's
@@ -31,12 +31,14 @@ LARGEST = 32
 BROADCAST_ROWS = 1_000_000
 
 
-def window_size(length: int, k: int = SHINGLE, similarity: float = SIMILARITY) -> int:
-    """Words of the windows for an item of ``length`` words.
+def window_size(length: int, k: int = SHINGLE, similarity: float = SIMILARITY) -> tuple[int, int]:
+    """The windows for an item of ``length`` words: how many neighbouring features, and words of a feature.
 
-    A similar window holds at least that share of the item's shingles, and an edit within the passage costs
-    k - 1 of them at least. So of the runs between edits the longest has a certain length, and windows of w
-    words at every max(1, w / 2) words have one inside it if w + max(1, w / 2) - 1 is no more than that.
+    A feature is a pair of words (one word for items of one): single words would let a few frequent ones
+    decide the fingerprint. A similar window holds at least ``similarity`` of the item's shingles, and an
+    edit within the passage costs k - 1 of them at least. So of the runs between edits the longest has a
+    certain length, and windows of w features at every max(1, w / 2) have one inside it if w + max(1, w / 2)
+    - 1 is no more than its features.
     """
     n = length - k + 1
     lost = n - math.ceil(n * similarity - 1e-9)
@@ -44,10 +46,11 @@ def window_size(length: int, k: int = SHINGLE, similarity: float = SIMILARITY) -
     for edits in range(lost // max(1, k - 1) + 1):
         rest = n - (lost if edits == 0 else edits * (k - 1))
         run = min(run, -(-rest // (edits + 1)) + k - 1)
+    span = min(2, length)
     size = 1
-    while 2 * size <= LARGEST and 2 * size + size - 1 <= run:
+    while 2 * size <= LARGEST and 2 * size + size - 1 <= run - span + 1:
         size *= 2
-    return size
+    return size, span
 
 
 def word_list(text: Column) -> Column:
@@ -102,10 +105,13 @@ def block_list(fingerprint: Column) -> Column:
     return F.array(*(value(b) for b in range(RADIUS + 1)))
 
 
-def windows_of(rows: DataFrame, size: int, step: int) -> DataFrame:
-    """``rows`` (w and others) with fingerprint f of each window of ``size`` words at every ``step`` words."""
+def windows_of(rows: DataFrame, size: int, step: int, span: int) -> DataFrame:
+    """``rows`` (w and others) with fingerprint f of each window of ``size`` features at every ``step``."""
     keys = [c for c in rows.columns if c != "w"]
     hashed = rows.select(*keys, F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
+    if span == 2:
+        pairs = F.zip_with(F.slice("h", F.lit(1), F.size("h") - 1), F.slice("h", F.lit(2), F.size("h") - 1), lambda x, y: F.xxhash64(x, y))
+        hashed = hashed.where(F.size("h") > 1).select(*keys, pairs.alias("h"))
     at = F.sequence(F.lit(0), F.floor((F.size("h") - size) / step).cast("int"))
     runs = F.when(F.size("h") >= size, F.transform(at, lambda i: F.slice("h", i * step + 1, F.lit(size))))
     return simhash(hashed.select(*keys, F.explode(runs).alias("h")), "h", size)
@@ -132,16 +138,16 @@ def contaminated(docs: DataFrame, items: DataFrame, similarity: float = SIMILARI
     texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").withColumn("tid", F.xxhash64("text"))
     # an item of LARGEST * 40 words has the largest window whatever its size; so few lengths come to the driver
     lengths = wanted.select(F.least("length", F.lit(LARGEST * 40)).alias("n"), "k").distinct().collect()
-    sizes: dict[int, list[tuple[int, int]]] = {}
+    sizes: dict[tuple[int, int], list[int]] = {}
     for n, own in lengths:
-        sizes.setdefault(window_size(n, own, similarity), []).append((n, own))
+        sizes.setdefault(window_size(n, own, similarity), []).append(n)
     if not sizes:
         return docs.select("doc_id").limit(0).selectExpr(
             "doc_id", "cast(null as long) item_id", "0 start", "0 n_words", "0 hamming", "0D similarity"
         )
     words = texts.select("doc_id", "tid", word_list(F.col("text")).alias("w"))
-    of_size = lambda some: F.least("length", F.lit(LARGEST * 40)).isin([n for n, _ in some])
-    met = reduce(DataFrame.unionAll, (_met(words, wanted.where(of_size(some)), size) for size, some in sorted(sizes.items())))
+    of_size = lambda some: F.least("length", F.lit(LARGEST * 40)).isin(some)
+    met = reduce(DataFrame.unionAll, (_met(words, wanted.where(of_size(some)), *size) for size, some in sorted(sizes.items())))
     met = cut_lineage(met.groupBy("doc_id", "tid", "uid").agg(F.min("hamming").alias("hamming")))
     held = picked(texts, met.select("tid").distinct(), "left_semi", "tid").dropDuplicates(["doc_id", "tid"])
     held = cut_lineage(held.join(met, ["doc_id", "tid"], "left_semi").select("doc_id", "tid", word_list(F.col("text")).alias("w")))
@@ -158,11 +164,11 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _met(words: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+def _met(words: DataFrame, wanted: DataFrame, size: int, span: int) -> DataFrame:
     """(doc_id, tid, uid, hamming): windows of documents and items whose fingerprints differ in RADIUS bits at most."""
-    theirs = windows_of(wanted.select("uid", "w"), size, 1).distinct()
+    theirs = windows_of(wanted.select("uid", "w"), size, 1, span).distinct()
     blocks = _small(theirs.select("uid", F.col("f").alias("g"), F.explode(block_list(F.col("f"))).alias("block")))
-    ours = windows_of(words, size, max(1, size // 2))
+    ours = windows_of(words, size, max(1, size // 2), span)
     hamming = F.bit_count(F.col("f").bitwiseXOR(F.col("g")))
     near = ours.withColumn("block", F.explode(block_list(F.col("f")))).join(blocks, "block").where(hamming <= RADIUS)
     return near.select("doc_id", "tid", "uid", hamming.alias("hamming"))

@@ -282,7 +282,7 @@ class Encoder:
         self.model, self.agenda = model(path), agenda(path)
         self.lead = self.model.library.encode("\n")  # the space before the text, and a line end
         self.ids: dict[str, str] = {}
-        self.raw: dict[str, bytes] = {}
+        self.odd: dict[str, bytes] = {}  # what units decode to that isn't the unit itself
         self.old: tuple[dict[str, str], dict[str, bytes]] = ({}, {})
         self.differing = 0
 
@@ -321,17 +321,21 @@ class Encoder:
         """Bring units of one part into the young half."""
         fresh = distinct - self.ids.keys()
         if len(self.ids) + len(fresh) > CACHE_UNITS:
-            self.old, self.ids, self.raw = (self.ids, self.raw), {}, {}
+            self.old, self.ids, self.odd = (self.ids, self.odd), {}, {}
             fresh = distinct
         again = fresh & self.old[0].keys()
         for u in again:
-            self.ids[u], self.raw[u] = self.old[0][u], self.old[1][u]
+            self.ids[u] = self.old[0][u]
+            if u in self.old[1]:
+                self.odd[u] = self.old[1][u]
         fresh = list(fresh - again)
         if fresh:
             texts, raws = self.agenda.id_text, self.agenda.id_bytes
             for u, ids in zip(fresh, self.checked(fresh)):
                 self.ids[u] = ",".join(map(texts.__getitem__, ids))
-                self.raw[u] = b"".join(map(raws.__getitem__, ids))
+                raw = b"".join(map(raws.__getitem__, ids))
+                if raw != u.encode():
+                    self.odd[u] = raw
 
     def batch(self, texts: list[str]) -> Iterator[tuple[str, bytes]]:
         """Of each text, its ids joined by commas and the bytes that they decode to."""
@@ -347,20 +351,22 @@ class Encoder:
 
     def both(self, units: list[str]) -> tuple[str, bytes]:
         try:
-            return ",".join(map(self.ids.__getitem__, units)), self.decoded(map(self.raw.__getitem__, units))
+            ids, raw = ",".join(map(self.ids.__getitem__, units)), self.spelled(units)
         except KeyError:
-            ids, raw = [], []
+            parts = []
             for at in range(0, len(units), PART_UNITS):
                 part = units[at : at + PART_UNITS]
                 self.learn(set(part))
-                ids += [self.ids[u] for u in part]
-                raw += [self.raw[u] for u in part]
-            return ",".join(ids), self.decoded(raw)
-
-    @staticmethod
-    def decoded(raw: Iterable[bytes]) -> bytes:
-        joined = b"".join(raw)
-        return joined[1:] if joined[:1] == b" " else joined
+                parts.append((",".join(map(self.ids.__getitem__, part)), self.spelled(part)))
+            ids, raw = ",".join(p[0] for p in parts), b"".join(p[1] for p in parts)
+        return ids, raw[1:] if raw[:1] == b" " else raw
+
+    def spelled(self, units: list[str]) -> bytes:
+        """The bytes that the units decode to."""
+        odd = self.odd
+        if odd and not odd.keys().isdisjoint(units):
+            return b"".join(odd[u] if u in odd else u.encode() for u in units)
+        return "".join(units).encode()
 
     def encode(self, text: str) -> list[int]:
         ids = self.both(self.units(text))[0]
