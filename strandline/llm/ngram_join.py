@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, blocks, cut_lineage, mix, only, picked, release, shingles, small, table, word_hashes
+from .common import arrow_limits, blocks, cut_lineage, mix, only, picked, release, shingles, small, table, trimmed, word_hashes
 from .components import components
 
 #: Ratio of a size band's ends.
@@ -215,7 +215,7 @@ def profile(docs: DataFrame, k: int) -> DataFrame:
                     ["doc_id", "n", "h1", "h2", *_WORDS],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, " + ", ".join(f"{w} long" for w in _WORDS))
+    return docs.mapInArrow(lambda b: trimmed(run(b)), "doc_id long, n long, h1 long, h2 long, " + ", ".join(f"{w} long" for w in _WORDS))
 
 
 def planes(x: np.ndarray, width: int) -> bytes:
@@ -315,10 +315,10 @@ def meetings(docs: DataFrame, k: int, schemes: list[Scheme], percent: int, expec
                 part = rest[a : a + GATHER]
                 yield pa.RecordBatch.from_arrays(met(key[part], lead[part], doc[part]), ["key", "lead", "doc"])
 
-    sent = docs.mapInArrow(local, "bucket int, steps binary, place binary, ids binary, key long, lead long, doc long")
+    sent = docs.mapInArrow(lambda b: trimmed(local(b)), "bucket int, steps binary, place binary, ids binary, key long, lead long, doc long")
     # what has met already passes through and is spread by its key
     to = F.coalesce("bucket", F.pmod(F.xxhash64("key", "doc"), F.lit(buckets)).cast("int"))
-    out = sent.repartitionById(buckets, to).mapInArrow(across, "key long, lead long, doc long")
+    out = sent.repartitionById(buckets, to).mapInArrow(lambda b: trimmed(across(b)), "key long, lead long, doc long")
     # a key cut like those that met across, so that its members are found together
     return out.withColumn("key", F.shiftleft(F.shiftrightunsigned("key", 64 - bits), 64 - bits)) if bits < 64 else out
 
@@ -336,7 +336,7 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFra
                 sets = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(tokens.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(at) - 1), sets], ["id", "tokens"])
 
-    sets = picked(docs, wanted, "left_semi").mapInArrow(run, "id long, tokens array<bigint>")
+    sets = picked(docs, wanted, "left_semi").mapInArrow(lambda b: trimmed(run(b)), "id long, tokens array<bigint>")
     both = small(pairs).join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b").join(
         sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a"
     )

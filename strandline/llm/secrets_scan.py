@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, as_text, only, table
+from .common import arrow_limits, as_text, only, table, trimmed
 
 THRESHOLD = 0.5
 #: Characters before and after a candidate in which neighbouring words are looked for.
@@ -281,7 +281,7 @@ def redact(docs: DataFrame, mask: str = "[REDACTED]", path: str | None = None) -
             at = batch.schema.get_field_index("text")
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lambda b: trimmed(run(b)), docs.schema)
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

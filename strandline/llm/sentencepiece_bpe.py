@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import arrow_limits, as_text, only, table
+from .common import arrow_limits, as_text, only, table, trimmed
 
 SPACE = "▁"
 #: Units whose ids one worker remembers; beyond it the memory starts anew, so a worker's size is bounded.
@@ -386,7 +386,7 @@ def encode_column(docs: DataFrame, model_path: str, keep: list[str], text: str =
                 [*(batch.column(k) for k in keep), pa.array(ids, pa.list_(pa.int32()))], [*keep, "ids"]
             )
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lambda b: trimmed(run(b)), schema)
 
 
 def digest(docs: DataFrame, model_path: str) -> DataFrame:
@@ -405,7 +405,7 @@ def digest(docs: DataFrame, model_path: str) -> DataFrame:
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.mapInArrow(lambda b: trimmed(run(b)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def vocabulary_path(name: str = "piece_bpe_32k.model") -> str:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _LOWER, arrow_limits, blocks, only, prefix_hash, span_hash, table, words
+from .common import _LOWER, arrow_limits, blocks, only, prefix_hash, span_hash, table, trimmed, words
 
 #: Labelled documents that the chain is fitted on at most (in expectation), word buckets, and how many of
 #: them a category's model uses. The model's size and the rows sent to the driver follow from these alone.
@@ -111,17 +111,17 @@ def selections(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, fold: np.ndarr
     All pairs are counted, in parts, so that no copy of them is needed to choose from the whole vocabulary.
     """
     size = 1 << BUCKET_BITS
-    counts = np.zeros((folds, 1 + y.shape[1], size), np.int32)  # of all documents, then of each category's
+    counts = np.zeros((folds, 1 + y.shape[1], size), np.min_scalar_type(len(y)))  # of all documents, then of each category's
     for at in range(0, len(rows), COUNT_PAIRS):
         r, c = rows[at : at + COUNT_PAIRS], cols[at : at + COUNT_PAIRS]
         for f in range(folds):
             own, inside = r[fold[r] == f], c[fold[r] == f]
-            counts[f, 0] += np.bincount(inside, minlength=size)
+            counts[f, 0] += np.bincount(inside, minlength=size).astype(counts.dtype)
             for k in range(y.shape[1]):
-                counts[f, 1 + k] += np.bincount(inside[y[own, k] > 0], minlength=size)
+                counts[f, 1 + k] += np.bincount(inside[y[own, k] > 0], minlength=size).astype(counts.dtype)
     out = []
     for k in range(y.shape[1]):
-        every, positive = counts[:, 0].sum(axis=0), counts[:, 1 + k].sum(axis=0)
+        every, positive = counts[:, 0].sum(axis=0, dtype=np.int32), counts[:, 1 + k].sum(axis=0, dtype=np.int32)
         parts = [
             best_buckets(positive - counts[f, 1 + k], every - counts[f, 0], y[fold != f, k].sum(), (fold != f).sum())
             for f in range(folds)
@@ -188,14 +188,14 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str] = CATEGOR
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": ids[first : first + len(dense)],
                     "cols": pa.array([cols[a:b] for a, b in zip(cut, cut[1:])], pa.list_(pa.int32())),
-                    "counts": pa.array([np.minimum(values[a:b], 32767) for a, b in zip(cut, cut[1:])], pa.list_(pa.int16())),
+                    "counts": pa.array([values[a:b] for a, b in zip(cut, cut[1:])], pa.list_(pa.int32())),
                     "dense": pa.array(list(dense), pa.list_(pa.float64())),
                     "y": pa.array(list(y[first : first + len(dense)]), pa.list_(pa.float64())),
                 })
 
     # ``some`` has about fit_rows rows of four numbers, whatever the input's size
     chosen = docs.where("text IS NOT NULL").join(F.broadcast(some), "doc_id").mapInArrow(
-        run, "doc_id long, cols array<int>, counts array<smallint>, dense array<double>, y array<double>"
+        run, "doc_id long, cols array<int>, counts array<int>, dense array<double>, y array<double>"
     )
     got = chosen.orderBy("doc_id").toArrow()
     if got.num_rows == 0:
@@ -221,7 +221,8 @@ def probabilities(column: pa.Array, chain: Chain | None, n: int) -> np.ndarray:
 def score(docs: DataFrame, chain: Chain | None, categories: dict[str, str] = CATEGORIES, key: str = "doc_id") -> DataFrame:
     """``key``, ``toxic`` (the probability of ``REJECT`` is at least 0.5) and p_<category> of each category.
 
-    Null, empty and whitespace texts have probabilities 0 and stay; without a fitted chain all do.
+    Null, empty and whitespace texts have probabilities 0 and stay; without a fitted chain all do. Rows that
+    repeat are scored each, and an empty table gives no rows.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(chain)
     names = [f"p_{c}" for c in categories]
@@ -248,7 +249,7 @@ def keep_clean(docs: DataFrame, chain: Chain | None, categories: dict[str, str]
         for batch in batches:
             yield batch.filter(pa.array(probabilities(batch.column("text"), shipped.value, len(categories))[:, reject] < THRESHOLD))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lambda b: trimmed(run(b)), docs.schema)
 
 
 def inputs(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
