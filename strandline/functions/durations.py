@@ -23,6 +23,11 @@ class Duration:
     nanos: int = 0
     index: int = 0
 
+    @property
+    def calendar(self) -> bool:
+        """Whether it counts months, which have no fixed length."""
+        return self.months != 0
+
     def steps(self, unit: str) -> int:
         """This duration in steps of a key: ``unit`` is ``i`` for integer keys, else a time unit."""
         if self.months:
@@ -73,3 +78,16 @@ def key_number(column: Column, kind: T.DataType) -> Column:
     if isinstance(kind, T.TimestampType):
         return F.unix_micros(column)
     return column if isinstance(kind, (T.FloatType, T.DoubleType, T.DecimalType)) else column.cast("long")
+
+
+def shifted(column: Column, kind: T.DataType, months: Column | int, nanos: int = 0) -> Column:
+    """A time or date moved by months (a day that the month lacks becomes its last) and then by a fixed span."""
+    if nanos % 1000:
+        raise ValueError("a time moves by whole microseconds")
+    days, rest = divmod(nanos // 1000, 86_400_000_000)
+    months = F.lit(months).cast("int") if isinstance(months, int) else months.cast("int")
+    if isinstance(kind, T.DateType):
+        if rest:
+            raise ValueError("a date moves by whole days")
+        return F.date_add(F.add_months(column, months), days)
+    return column + F.make_interval(months=months) + F.make_interval(days=F.lit(days), secs=F.lit(rest / 1e6).cast("decimal(18,6)"))

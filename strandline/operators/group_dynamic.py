@@ -6,10 +6,11 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import gather_every as thin
 from ..functions.columns import quoted
-from ..functions.durations import key_number, key_unit, parse
+from ..functions.durations import NANOS, Duration, key_number, key_unit, parse, shifted
 
 WEEKDAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
 _WEEK_US, _MONDAY_US = 7 * 86_400_000_000, 4 * 86_400_000_000  # 1970-01-05 was a Monday
@@ -32,6 +33,33 @@ def window_bounds(d: Column, every: int, period: int, closed: str) -> tuple[Colu
     return low, high
 
 
+def month_number(column: Column) -> Column:
+    """Months since January of year 0 of a date or time."""
+    return F.year(column).cast("long") * 12 + F.month(column) - 1
+
+
+def calendar_windows(rows: DataFrame, column: Column, first: Column, kind, every: Duration, period: Duration, closed: str, start_by: str) -> DataFrame:
+    """``rows`` once for each window ``_w`` that holds them, of windows that begin whole months apart.
+
+    Window i begins at ``first`` moved by i times ``every`` and ends where ``first`` moved by the months of both
+    and then by the rest of ``period`` is, so windows as long as their steps leave no gap. Bounds are instants, so the candidates by month
+    numbers, a few for each row, are held against them; months differ in length, so they can't be divided.
+    """
+    if every.nanos or period.months <= 0 and period.nanos <= 0:
+        raise ValueError("windows by months begin whole months apart and have a positive length")
+    span = period.months + period.nanos // NANOS["d"] // 28 + 2  # months that a window can touch
+    at = (month_number(column) - month_number(first)) / F.lit(every.months)
+    low = F.floor(at - F.lit(span / every.months)).cast("long")
+    low = F.greatest(low, F.lit(0).cast("long")) if start_by != "window" else low
+    high = F.floor(at).cast("long") + 1
+    rows = rows.withColumns({"_f": first, "_low": low, "_high": high}).where("_low <= _high").withColumn("_w", F.explode(F.sequence("_low", "_high")))
+    months = (F.col("_w") * every.months).cast("int")
+    rows = rows.withColumns({"_s": shifted(F.col("_f"), kind, months), "_e": shifted(F.col("_f"), kind, months + period.months, period.nanos)})
+    after = column >= F.col("_s") if closed in ("left", "both") else column > F.col("_s")
+    before = column <= F.col("_e") if closed in ("right", "both") else column < F.col("_e")
+    return rows.where(after & before).drop("_f", "_low", "_high", "_s", "_e")
+
+
 def _field(rows: str, name: str) -> Column:
     return F.transform(rows, lambda s: s["_v"][name])
 
@@ -52,7 +80,8 @@ def group_dynamic(
 ) -> DataFrame:
     """One row per window that holds a row, every column but ``group_by`` a list in key order.
 
-    Windows start ``every`` apart and are ``period`` long (default: ``every``). ``start_by``: the group's
+    Windows start ``every`` apart and are ``period`` long (default: ``every``); both may count calendar
+    months (``1mo``, ``1q``, ``1y``) where the key is a date or time. ``start_by``: the group's
     first key (no window starts before it), the key's epoch (``window``) or a weekday. ``label`` and
     ``include_boundaries`` are accepted for the sake of callers and change nothing, as labels aren't part
     of the result. ``gather_every`` n keeps every n-th element of the lists; a mapping does so for its
@@ -68,14 +97,30 @@ def group_dynamic(
         raise ValueError(f"no such start: {start_by}")
     kind = df.schema[index_column].dataType
     unit = key_unit(kind, unit)
-    step = parse(every).steps(unit)
-    length = parse(period).steps(unit) if period is not None else step
-    if step <= 0 or length <= 0:
-        raise ValueError("windows need positive steps and lengths")
+    spans = parse(every), parse(period if period is not None else every)
+    by_months = any(d.calendar for d in spans)
+    if by_months:
+        if not isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+            raise ValueError("months need a key of dates or times")
+        if spans[0].months <= 0 or start_by in WEEKDAYS:
+            raise ValueError("windows by months begin a positive number of months apart, from the first key or the epoch")
+        step = length = 0
+    else:
+        step, length = (d.steps(unit) for d in spans)
+        if step <= 0 or length <= 0:
+            raise ValueError("windows need positive steps and lengths")
     columns = [c for c in df.columns if c not in group_by]
     k = key_number(quoted(index_column), kind)
     rows = df.withColumns({"_k": k, "_tie": quoted(order) if order else F.xxhash64(*map(quoted, df.columns))}).where("_k IS NOT NULL")
-    if start_by == "window":
+    if by_months and start_by == "window":
+        rows = rows.withColumn("_first", F.lit("1970-01-01").cast(kind))
+    elif by_months:
+        first = F.min(quoted(index_column))
+        if group_by:
+            rows = rows.withColumn("_first", first.over(Window.partitionBy(*map(quoted, group_by))))
+        else:
+            rows = rows.join(F.broadcast(rows.agg(first.alias("_first"))))
+    elif start_by == "window":
         rows = rows.withColumn("_first", F.lit(0).cast("long"))
     elif group_by:
         rows = rows.withColumn("_first", F.min("_k").over(Window.partitionBy(*map(quoted, group_by))))
@@ -84,10 +129,14 @@ def group_dynamic(
     if start_by in WEEKDAYS:
         shift = _MONDAY_US + WEEKDAYS.index(start_by) * 86_400_000_000
         rows = rows.withColumn("_first", F.col("_first") - F.pmod(F.col("_first") - shift, F.lit(_WEEK_US)))
-    low, high = window_bounds(F.col("_k") - F.col("_first"), step, length, closed)
-    if start_by != "window":
-        low = F.greatest(low, F.lit(0).cast("long"))
-    if step == length and closed == "left":
+    low = high = None
+    if not by_months:
+        low, high = window_bounds(F.col("_k") - F.col("_first"), step, length, closed)
+        if start_by != "window":
+            low = F.greatest(low, F.lit(0).cast("long"))
+    if by_months:
+        rows = calendar_windows(rows, quoted(index_column), F.col("_first"), kind, *spans, closed, start_by)
+    elif step == length and closed == "left":
         rows = rows.withColumn("_w", high)
     else:
         rows = rows.withColumns({"_low": low, "_high": high}).where("_low <= _high").withColumn("_w", F.explode(F.sequence("_low", "_high")))

@@ -1,7 +1,9 @@
 from __future__ import annotations
 
-from datetime import datetime, timedelta
+import random
+from datetime import date, datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -59,6 +61,34 @@ def test_without_keys_and_from_the_epoch(spark):
     assert len(group_dynamic(t, "t", "1w").collect()) == 1
 
 
+@pytest.mark.parametrize("closed", ["left", "right", "both", "none"])
+@pytest.mark.parametrize(("every", "period", "start"), [("1mo", None, "datapoint"), ("1q", "1mo", "window"), ("2mo", "3mo", "datapoint"), ("1mo", "1mo15d", "window"), ("1y", "40d", "datapoint")])
+def test_calendar_windows_against_a_plain_count(spark, closed, every, period, start):
+    months = {"1mo": 1, "1q": 3, "2mo": 2, "1y": 12}[every]
+    more, days_more = {None: (months, 0), "1mo": (1, 0), "3mo": (3, 0), "1mo15d": (1, 15), "40d": (0, 40)}[period]
+    rng = random.Random(months)
+    days = sorted({datetime(2023, 1, 31) + timedelta(days=rng.randrange(800), hours=rng.choice([0, 0, 7])) for _ in range(60)} | {datetime(2024, 2, 29), datetime(2023, 1, 31)})
+    first = pd.Timestamp(days[0]) if start == "datapoint" else pd.Timestamp("1970-01-01")
+    want = []
+    for i in range(900):
+        a = first + pd.DateOffset(months=months * i)
+        b = first + pd.DateOffset(months=months * i + more) + pd.DateOffset(days=days_more)
+        held = [d for d in days if (a <= d if closed in ("left", "both") else a < d) and (d <= b if closed in ("right", "both") else d < b)]
+        if held:
+            want.append(held)
+    df = spark.createDataFrame([("a", d) for d in days], "input_id string, k timestamp_ntz")
+    assert sorted(r["k"] for r in group_dynamic(df, "k", every, period, ["input_id"], closed, start_by=start).collect()) == sorted(want)
+
+
+def test_calendar_windows_need_times(spark):
+    df = spark.createDataFrame([("a", 1)], "input_id string, k long")
+    for kw in ({"every": "1mo"}, {"every": 5, "period": "1mo"}):
+        with pytest.raises(ValueError):
+            group_dynamic(df, "k", group_by=["input_id"], **kw)
+    dates = spark.createDataFrame([("a", date(2024, 1, 31)), ("a", date(2024, 2, 29)), ("a", date(2024, 3, 30))], "input_id string, k date")
+    assert sorted(len(r["k"]) for r in group_dynamic(dates, "k", "1mo", group_by=["input_id"]).collect()) == [1, 2]
+
+
 def test_lists_keep_nulls_and_thinned_columns_come_last(spark):
     df = spark.createDataFrame([("a", i, None if i == 1 else i) for i in range(5)], "input_id string, k long, v long")
     out = group_dynamic(df, "k", 5, group_by=["input_id"], gather_every={"k": 2})
