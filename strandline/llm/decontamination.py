@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import cut_lineage, only, picked, table
 
 #: Words of a shingle, the least similarity, bits in which fingerprints may differ, and bits of a block.
-SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 3
+SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 2
 BLOCK_BITS = 64 // (RADIUS + 1)
 #: The largest window.
 LARGEST = 32
@@ -82,7 +82,8 @@ def simhash(rows: DataFrame, hashes: str, size: int) -> DataFrame:
     select for each step keeps what is used twice from being computed twice.
     """
     keys = [c for c in rows.columns if c != hashes]
-    rows = rows.select(*keys, *(F.get(hashes, F.lit(i)).alias(f"{hashes}{i}_0") for i in range(size)))
+    # numbers that can't be null keep the generated code small, which is compiled only up to some length
+    rows = rows.select(*keys, *(F.coalesce(F.get(hashes, F.lit(i)), F.lit(0).cast("long")).alias(f"{hashes}{i}_0") for i in range(size)))
     count, digits = size, 1
     while count > 1:
         number = lambda i: [F.col(f"{hashes}{i}_{d}") for d in range(digits)]  # noqa: E731, B023
@@ -110,8 +111,9 @@ def windows_of(rows: DataFrame, size: int, step: int, span: int) -> DataFrame:
     keys = [c for c in rows.columns if c != "w"]
     hashed = rows.select(*keys, F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
     if span == 2:
-        pairs = F.zip_with(F.slice("h", F.lit(1), F.size("h") - 1), F.slice("h", F.lit(2), F.size("h") - 1), lambda x, y: F.xxhash64(x, y))
-        hashed = hashed.where(F.size("h") > 1).select(*keys, pairs.alias("h"))
+        count = F.greatest(F.size("h") - 1, F.lit(0))
+        pairs = F.zip_with(F.slice("h", F.lit(1), count), F.slice("h", F.lit(2), count), lambda x, y: F.xxhash64(x, y))
+        hashed = hashed.select(*keys, pairs.alias("h"))
     at = F.sequence(F.lit(0), F.floor((F.size("h") - size) / step).cast("int"))
     runs = F.when(F.size("h") >= size, F.transform(at, lambda i: F.slice("h", i * step + 1, F.lit(size))))
     return simhash(hashed.select(*keys, F.explode(runs).alias("h")), "h", size)
