@@ -374,7 +374,8 @@ class Encoder:
 
 
 def encode_column(docs: DataFrame, model_path: str, keep: list[str], text: str = "text") -> DataFrame:
-    """``keep`` and ``ids`` (array<int>), the ids of the whole text; null text: no ids."""
+    """``keep`` and ``ids`` (array<int>), the ids of the whole text; a null or empty text has none, rows that
+    repeat get theirs each, and an empty table gives no rows."""
     schema = docs.select(*keep).schema.add("ids", T.ArrayType(T.IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -390,7 +391,11 @@ def encode_column(docs: DataFrame, model_path: str, keep: list[str], text: str =
 
 
 def digest(docs: DataFrame, model_path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every whole text (null: empty)."""
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every whole text.
+
+    A null text is empty and has no ids; rows that repeat get equal digests each, and an empty table gives
+    no rows. Very long texts are encoded by parts of PART_UNITS units.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(model_path)

@@ -323,20 +323,31 @@ def read_pages(media: DataFrame, keep: list[str], content: str = "content") -> D
     return media.mapInArrow(run, schema)
 
 
-#: The round trip's page: 576 columns (36 times the tile side of 16) and so many rows at most.
+#: The round trip's page: columns, rows at most, and the side of its tiles, twelve of which lie side by side.
 SIDE, PAGE_ROWS, TILE = 576, 1024, 48
 
 
 def store(payload: bytes) -> bytes:
-    """A TIFF of a payload whose length is a multiple of 576: pages of 576 columns, in deflated strips with
-    the horizontal predictor; a payload of one row is a PackBits page."""
+    """A TIFF of a payload whose length is a multiple of 576, as pages of 576 columns.
+
+    Its form follows from the number of rows: one is a PackBits page, two are LZW, fewer than a tile's are
+    deflated strips and more are deflated tiles; all but the first with the horizontal predictor.
+    """
     samples = np.frombuffer(payload, np.uint8).reshape(-1, SIDE)
     pages = [samples[y : y + PAGE_ROWS] for y in range(0, len(samples), PAGE_ROWS)]
-    return write_tiff(pages) if len(samples) > 1 else write_tiff(pages, PACKBITS, 1)
+    if len(samples) == 1:
+        return write_tiff(pages, PACKBITS, 1)
+    if len(samples) == 2:
+        return write_tiff(pages, LZW)
+    return write_tiff(pages, tile=TILE if len(samples) >= TILE else 0)
 
 
 def round_trip(docs: DataFrame) -> DataFrame:
-    """Store every text's padded bytes as a TIFF, read its pages back and compute features of them."""
+    """Store every text's padded bytes as a TIFF, read its pages back and compute features of them.
+
+    A null text is empty and, like an empty one, a page of padding alone; a long one is many pages. Rows that
+    repeat are stored each and get equal values; an empty table gives no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
