@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from strandline.plans.config import Node, Pipeline
 from strandline.operators.index import numbered
 from strandline.plans.dataset import Loader, SampleSet, Shuffle, Stream, with_batch_ids
-from strandline.plans.sinks import flatten_for_viewer
+from strandline import visualize
+from strandline.plans.sinks import Component, ViewerSink, flatten_for_viewer
 
 
 @pytest.fixture
@@ -121,3 +122,30 @@ def test_pipeline_declarations_and_folders(spark, tmp_path):
 def test_viewer(spark):
     df = spark.createDataFrame([(0, "a", [1, 2], [5.0, 6.0])], "sample_idx long, input_id string, t array<long>, v array<double>")
     assert [tuple(r) for r in flatten_for_viewer(df, "t", ["input_id"]).collect()] == [(0, 0, 1, 5.0, "a"), (0, 1, 2, 6.0, "a")]
+
+
+def test_viewer_sink(spark, tmp_path):
+    rows = [(0, "a", [10, 20], [1.5, None], [[1, 2, 3], [4, 5, 6]], 7), (1, "a", [30, 40], [2.5, 3.5], [[7, 8, 9], [1, 1, 1]], 8), (2, "b", [5, 6], [0.5, 0.5], [[0, 0, 0], [9, 9, 9]], 9)]
+    df = spark.createDataFrame(rows, "sample_idx long, input_id string, t array<long>, v array<double>, p array<array<int>>, s int")
+    sink = ViewerSink({"t": "time", "v": Component("Scalars"), "p": [Component("Points3D"), Component("Points2D", indices=[2, 0])], "s": Component("Size", static=True)})
+    sink.log(df, str(tmp_path / "v"))
+    got = spark.read.parquet(str(tmp_path / "v"))
+    of = lambda kind: sorted((r.recording, r.key, r.pos, r.times.get("t"), list(r["shape"]), list(r.data)) for r in got.where(F.col("kind") == kind).collect())
+    assert of("Scalars") == [("a", 0, 0, "10", [], [1.5]), ("a", 1, 0, "30", [], [2.5]), ("a", 1, 1, "40", [], [3.5]), ("b", 2, 0, "5", [], [0.5]), ("b", 2, 1, "6", [], [0.5])]
+    assert of("Points3D")[1] == ("a", 0, 1, "20", [3], [4.0, 5.0, 6.0]) and of("Points2D")[1][-2:] == ([2], [6.0, 4.0])
+    assert of("Size") == [("a", 0, 0, None, [], [7.0]), ("b", 2, 0, None, [], [9.0])]
+    with pytest.raises(ValueError):
+        ViewerSink({"v": Component("Scalars")})
+    with pytest.raises(ValueError):
+        sink.rows(df.drop("v"))
+    with pytest.raises(TypeError):
+        ViewerSink({"t": "time", "v": 3})
+
+
+def test_visualize_command(spark, samples, tmp_path, capfd):
+    samples.save(str(tmp_path / "s"))
+    visualize.main([str(tmp_path / "s"), "--rows", "3"])
+    assert "sample_idx" in capfd.readouterr().out
+    (tmp_path / "schema.yaml").write_text("t: time\ni:\n- {kind: Points2D}\n")
+    visualize.main([str(tmp_path / "s"), "--to", str(tmp_path / "out"), "--schema", str(tmp_path / "schema.yaml")])
+    assert spark.read.parquet(str(tmp_path / "out")).where("recording = 'a' AND entity = 'i'").count() == 10
