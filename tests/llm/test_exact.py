@@ -59,6 +59,29 @@ def test_shards_against_prefix_sums(spark, hot):
 
 
 
+def test_suffix_dedup_at_400_bytes_on_a_whole_table(spark):
+    """Against a count of every 400-byte string of sf0.01 by its hash."""
+    arrow_limits(spark)
+    docs = only(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), doc_id="long", text="string")
+    rows = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    starts = {d: np.array([hash(b[i : i + 400]) for i in range(len(b) - 399)], np.int64) for d, b in rows.items()}
+    values, counts = np.unique(np.concatenate(list(starts.values())), return_counts=True)
+    often = values[counts > 1]
+    removed = 0
+    for r in suffix_dedup.deduplicated(docs, 400).collect():
+        raw, hit = rows[r.doc_id], np.isin(starts[r.doc_id], often)
+        change = np.zeros(len(raw) + 1, np.int64)
+        at = np.flatnonzero(hit)
+        np.add.at(change, at, 1)
+        np.add.at(change, at + 400, -1)
+        gone = np.cumsum(change)[:-1] > 0
+        kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
+        spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(raw), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest())
+        removed += r.n_removed > 0
+    assert removed > 100
+
+
 def plain_dedup(rows, length):
     count = collections.Counter(b[i : i + length] for _, t in rows for b in [(t or "").encode()] for i in range(len(b) - length + 1))
     out = []

@@ -423,3 +423,18 @@ def test_pipeline(spark):
     first = {}
     for i in sorted(x for x in texts if x is not None and texts[x]):
         assert first.setdefault(texts[i], i) == i
+
+
+def test_pipeline_of_an_empty_table_and_of_equal_rows(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    kept = docs.limit(0)
+    for name, stage in pipeline.STAGES:
+        kept = stage(spark, kept, sf)
+        assert kept.count() == 0, name
+    same = docs.orderBy("doc_id").limit(1).unionAll(docs.orderBy("doc_id").limit(1)).drop("n_chars", "source").withColumn("_working", F.lit(1))
+    for name, stage in pipeline.STAGES[:-1]:
+        same = stage(spark, same, sf)
+        assert same.columns == ["doc_id", "text", "lang", "_working"], name
+    assert same.count() == 1
