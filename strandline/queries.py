@@ -5,11 +5,15 @@ Results hold scalars only: lists are exploded with their place, so both engines
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .functions import columns as C
 from .functions import geo
+from .functions.durations import key_number
 from .operators.align import AsOf, Field, Interp, align
 from .operators.concat import concat
 from .operators.group_dynamic import group_dynamic
@@ -18,7 +22,11 @@ from .operators.sql import sql
 from .operators.tree import partition_split, tree_map, unnest
 from .operators.waypoints import with_waypoints
 from .plans.dataset import SampleSet, Stream, with_batch_ids
+from .plans.sinks import Component, ViewerSink
+from .session import shared_folder
+from .sources import framed_log, mcap, media
 from .sources.path import extract_path
+from .sources.writers import npy_bytes, write_files, write_framed_log, write_mcap
 
 FLAGSHIP = "drive_clips"
 QUERIES: dict = {}
@@ -365,6 +373,128 @@ def to_physical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.physical(table(spark, sf_dir, "events").where(F.col("event_type").isin(kinds)).select("event_id", "event_type", "ts"), {"event_type": kinds})
 
 
+# --- files: tables written in a format and scanned back ----------------------------------------------------
+
+
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+
+
+_NUMBERED = "SELECT CAST(user_id % 4 AS BIGINT) AS file, event_type AS topic, event_id, epoch_us(ts) * 1000 AS log_time, row_number() OVER (PARTITION BY user_id % 4, event_type ORDER BY ts, event_id) - 1 AS seq FROM events"
+
+
+def _mcap(spark: SparkSession, sf_dir: str) -> str:
+    """Four files of all events, a topic for each type."""
+    events = table(spark, sf_dir, "events").select((F.col("user_id") % 4).alias("file"), "event_type", (key_number(F.col("ts"), T.TimestampNTZType()) * 1000).alias("t"), F.to_json(F.struct("event_id", F.col("value").alias("v"))).alias("m"), "event_id")
+    folder = _folder(spark)
+    write_mcap(events, folder, "file", "event_type", "t", "m", ["t", "event_id"]).collect()  # a path for each file
+    return folder
+
+
+def _file(column: str = "input_id"):
+    return F.regexp_extract(column, r"(\d+)\.\w+$", 1).cast("long").alias("file")
+
+
+@query(f"SELECT file, topic, seq, event_id, log_time FROM ({_NUMBERED}) WHERE topic IN ('click', 'purchase')")
+def mcap_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned = mcap.scan_messages(spark, _mcap(spark, sf_dir), ["click", "purchase"])
+    tables = mcap.decode_topics(scanned, {t: {"event_id": "bigint", "log_time": None} for t in ("click", "purchase")})
+    return concat([t.select(_file(), F.lit(k).alias("topic"), "seq", "event_id", "log_time") for k, t in tables.items()])
+
+
+@query(f"SELECT file, topic, seq, log_time FROM ({_NUMBERED}) WHERE seq % 9 = 4 OR topic = 'view' AND seq < 2")
+def mcap_multi_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = _mcap(spark, sf_dir)
+    wanted = mcap.message_index(spark, folder).where("seq % 9 = 4 OR topic = 'view' AND seq < 2").select("input_id", "topic", "seq")
+    return mcap.fetch_messages(spark, folder, wanted.unionAll(wanted)).select(_file(), "topic", "seq", "log_time")
+
+
+@query(f"SELECT file, topic, CAST(count(*) AS BIGINT) AS messages FROM ({_NUMBERED}) GROUP BY file, topic")
+def mcap_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mcap.message_counts(spark, _mcap(spark, sf_dir)).select(_file(), "topic", "messages")
+
+
+@query("""SELECT file, seq, message_type, payload FROM (SELECT CAST(user_id % 3 AS BIGINT) AS file, row_number() OVER (PARTITION BY user_id % 3 ORDER BY event_id) - 1 AS seq,
+CASE event_type WHEN 'click' THEN 'Gnss' WHEN 'view' THEN 'ImageMetadata' WHEN 'purchase' THEN 'VehicleMotion' END AS message_type, CAST(event_id AS VARCHAR) AS payload FROM events) WHERE message_type IN ('Gnss', 'VehicleMotion')""")
+def framed_log_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for x in ("click", 0, "view", 4, "purchase", 7))), F.col("event_type")), F.lit(99))
+    events = table(spark, sf_dir, "events").select((F.col("user_id") % 3).alias("file"), "event_id", kind.alias("kind"), F.col("event_id").cast("string").cast("binary").alias("payload"))
+    folder = _folder(spark)
+    write_framed_log(events, folder, "file", "kind", "payload", ["event_id"]).collect()  # a path for each file
+    frames = framed_log.scan_frames(spark, folder, ["Gnss", "VehicleMotion"])
+    return frames.select(_file(), "seq", "message_type", F.col("payload").cast("string").alias("payload"))
+
+
+@query("SELECT vec_id, CAST(len(embedding) AS INTEGER) AS n, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 3) AS total FROM embeddings")
+def path_media_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector is a numpy file in its label's folder, found by a path template."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("string").alias("input_id"), "embedding")
+    folder = _folder(spark)
+    named = vectors.withColumn("name", F.concat_ws("/", "input_id", F.format_string("%06d", "vec_id")))
+    write_files(named, folder, "name", ["embedding"], ["vec_id"], lambda rows: npy_bytes(rows[0][0]), ".npy").write.format("noop").mode("overwrite").save()
+    samples = vectors.select(F.col("vec_id").alias("sample_idx"), "input_id", "vec_id")
+    found = media.path_media(samples, folder, "{:06d}.npy", "vec_id", media.npy_decoder())
+    got = media.lookup(samples, found, "vec_id", "data")
+    return got.select("vec_id", F.get("data.shape", 0).alias("n"), F.round(F.aggregate("data.values", F.lit(0.0), lambda a, x: a + x), 3).alias("total"))
+
+
+# --- more of grouping, concatenation and functions ---------------------------------------------------------
+
+
+@query("""WITH e AS (SELECT user_id, event_id, date_trunc('month', ts) AS m, ts FROM events)
+SELECT user_id, first_value(event_id) OVER g AS first_id, CAST(count(*) OVER (PARTITION BY user_id, m) AS BIGINT) AS n, CAST(row_number() OVER g - 1 AS INTEGER) AS pos, event_id FROM e WINDOW g AS (PARTITION BY user_id, m ORDER BY ts, event_id)""")
+def dyn_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dyn("1mo", start_by="window")(spark, sf_dir)
+
+
+@query(f"SELECT conv_id, first_turn, CAST(pos // 3 AS INTEGER) AS pos, turn FROM (SELECT *, min(turn) OVER (PARTITION BY conv_id, w) AS first_turn FROM ({_TURNS.format(n=6)})) WHERE pos % 3 = 0")
+def dyn_gather_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mapping thins its columns, which come last; the others stay whole."""
+    talks = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("turn").alias("all"), "role", "text")
+    out = group_dynamic(talks, "turn", "6i", group_by=["conv_id"], gather_every={"turn": 3}, include_boundaries=True)
+    assert out.columns == ["conv_id", "all", "role", "text", "turn"]
+    return out.select("conv_id", F.get("all", 0).alias("first_turn"), F.posexplode("turn").alias("pos", "turn"))
+
+
+@query("SELECT CAST(doc_id AS BIGINT) AS k, CAST(n_chars AS DOUBLE) AS v FROM documents UNION ALL SELECT CAST(label AS BIGINT), CAST(vec_id AS DOUBLE) / 2 FROM embeddings")
+def concat_relaxed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("k"), F.col("n_chars").alias("v"))
+    b = table(spark, sf_dir, "embeddings").select(F.col("label").cast("int").alias("k"), (F.col("vec_id") / 2).alias("v"))
+    return concat([a, b], how="vertical_relaxed")
+
+
+@query("SELECT doc_id, n_chars, CAST(quality AS INTEGER) AS quality FROM documents LEFT JOIN labels USING (doc_id)")
+def concat_align_left(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("int").alias("quality"))
+    return concat([table(spark, sf_dir, "documents").select("doc_id", "n_chars"), labels], how="align_left")
+
+
+@query("SELECT event_id, make_timestamp(epoch_us(ts)) AS at, epoch_us(ts) * 1000 + 123 AS ns FROM events")
+def nanos_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text with nine places to nanoseconds, and nanoseconds to a time of microseconds."""
+    text = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("123Z"))
+    named = table(spark, sf_dir, "events").select("event_id", C.nanos_from_text(text).alias("ns"))
+    exact = F.timestamp_micros(F.floor(F.col("ns") / 1000).cast("long")).cast("timestamp_ntz")
+    near = C.datetime_from_nanos(F.col("ns")).cast("timestamp_ntz")
+    return named.select("event_id", F.when(F.abs(F.timestamp_diff("MICROSECOND", near, exact)) <= 1, exact).alias("at"), "ns")
+
+
+@query("SELECT event_id, value AS x, value * 2 - 1 AS y, CAST(CASE WHEN value BETWEEN 10 AND 60 AND value * 2 - 1 BETWEEN 10 AND 60 AND value > 10 AND value < 60 AND value * 2 - 1 > 10 AND value * 2 - 1 < 60 THEN 1 ELSE 0 END AS INTEGER) AS inside FROM events")
+def wkb_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points to well-known binary and back, and a box that must hold one."""
+    p = geo.point_from_wkb(geo.point_to_wkb(geo.point(F.col("value"), F.col("value") * 2 - 1)))
+    points = table(spark, sf_dir, "events").select("event_id", p.alias("p"))
+    inside = geo.contains(10.0, 10.0, 60.0, 60.0, F.array("p"))
+    return points.select("event_id", "p.x", "p.y", inside.cast("int").alias("inside"))
+
+
+@query("SELECT 'u' || user_id AS recording, 'value' AS entity, event_id AS key, CAST(0 AS INTEGER) AS pos, CAST(ts AS VARCHAR) AS at, value AS v FROM events")
+def viewer_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select(F.concat(F.lit("u"), F.col("user_id")).alias("input_id"), "event_id", "ts", "value")
+    out = ViewerSink({"ts": "time", "value": Component("Scalars")}, key="event_id").rows(rows)
+    return out.select("recording", "entity", "key", "pos", out.times["ts"].alias("at"), F.get("data", 0).alias("v"))
+
+
 # --- SQL pass-through: one text for both engines ------------------------------------------------------------
 
 PASS_THROUGH = {

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 from functools import lru_cache
+from pathlib import Path
 from typing import BinaryIO
 from urllib.parse import urlsplit
 
@@ -56,3 +57,15 @@ def size_of(file: BinaryIO) -> int:
 def read_at(file: BinaryIO, at: int, n: int) -> bytes:
     file.seek(at)
     return file.read(n)
+
+
+def create_file(path: str) -> BinaryIO:
+    """A new file for writing, with the folders above it."""
+    parts = urlsplit(path)
+    if parts.scheme in ("", "file"):
+        place = Path(parts.path if parts.scheme else path)
+        place.parent.mkdir(parents=True, exist_ok=True)
+        return open(place, "wb")
+    store, inside = _store(path)
+    store.create_dir(inside.rpartition("/")[0], recursive=True)
+    return store.open_output_stream(inside)
