@@ -37,19 +37,20 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, few_files: bool = False) -> DataFrame:
     """Write ``df`` as a compressed table in the shared folder and read it from there.
 
     Executors may be lost at any later time: the table is whole and all can read it. Spark removes the
     shuffle files of a finished query at once; ``release`` removes the table, else it goes when the
-    application ends.
+    application ends. ``few_files`` lets Spark gather what many tasks made into files of its advisory
+    size; use it where the last step has no shuffle whose partitions could be merged.
     """
     spark = df.sparkSession
     spark.conf.set("spark.sql.shuffleDependency.fileCleanup.enabled", "true")
     # a union that keeps its inputs' partitioning fails where Spark merges their partitions differently at run time
     spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     path = f"{shared_folder(spark)}/strandline-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    (df.hint("rebalance") if few_files else df).write.option("compression", "zstd").parquet(path)
     folder, store = _store(spark, path)
     store.deleteOnExit(folder)
     out = spark.read.schema(df.schema).parquet(path)
