@@ -39,7 +39,7 @@ def picked(docs: DataFrame, ids: DataFrame, how: str, key: str = "doc_id") -> Da
 
 
 def small(table: DataFrame) -> DataFrame:
-    """A written table, to be broadcast in joins if it has no more than BROADCAST_IDS rows."""
+    """A table that is written or kept, to be broadcast in joins if it has no more than BROADCAST_IDS rows."""
     return F.broadcast(table) if table.count() <= BROADCAST_IDS else table
 
 

@@ -354,7 +354,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     component of null. The tables that the result is read from stay in the shared folder.
     """
     docs = docs.select("doc_id", "text")
-    about = cut_lineage(profile(docs, k))
+    about = cut_lineage(profile(docs, k), few_files=True)
     known = about.where("n > 0 AND doc_id IS NOT NULL")
     classes = known.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"))
     rep = cut_lineage(known.select("doc_id", "n", "h1", "h2").distinct().join(classes, ["n", "h1", "h2"]).select("doc_id", "rep", "n"))
@@ -369,7 +369,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     expected = sum(r[2] * max(1, schemes[r[0]].ones) * 3 * (100 - percent) // (100 + percent) + r[1] for r in sizes)
     copies = rep.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("rep")).alias("first")).where("NOT first").select("doc_id")
     indexed = picked(docs.where("doc_id IS NOT NULL"), cut_lineage(copies), "left_anti")
-    met = cut_lineage(meetings(indexed, k, schemes, percent, expected))
+    met = cut_lineage(meetings(indexed, k, schemes, percent, expected), few_files=True)
 
     # what a set's sizes and sketch allow; a doc_id with several texts has several
     firsts = only_reps.select("doc_id", "n").distinct()
@@ -379,7 +379,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     # documents with texts of several classes join these
     several = rep.groupBy("doc_id").agg(F.count_distinct("rep").alias("reps")).where("reps > 1").select("doc_id")
-    links = [cut_lineage(picked(rep, cut_lineage(several), "left_semi").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))]
+    links = [cut_lineage(rep.join(several, "doc_id", "left_semi").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))]
 
     def link(new: DataFrame) -> DataFrame:
         """Components after ``new`` pairs are verified too."""

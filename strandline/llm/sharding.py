@@ -27,7 +27,7 @@ def shard_by_bytes(docs: DataFrame, size: Column, shards: int = 16, key: str = "
     docs = docs.drop("shard", "slot", "position")
     given = docs.columns
     # read once: what follows works on the written rows, whose places no longer change
-    once = cut_lineage(docs.withColumns({"_size": size.cast("long"), "_tie": F.xxhash64(*given), "_place": F.monotonically_increasing_id()}))
+    once = cut_lineage(docs.withColumns({"_size": size.cast("long"), "_tie": F.xxhash64(*given), "_place": F.monotonically_increasing_id()}), few_files=True)
     ranges = min(RANGES, max(1, -(-once.count() // rows)))
     order = [F.col(key).asc_nulls_first(), F.col("_tie"), F.col("_place")]
     dealt = cut_lineage(once.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()))
