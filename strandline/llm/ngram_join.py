@@ -383,7 +383,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     def link(new: DataFrame) -> DataFrame:
         """Components after ``new`` pairs are verified too."""
-        links.append(cut_lineage(verified(docs, new, k, percent)))
+        links.append(cut_lineage(verified(docs, new, k, percent), few_files=True))
         return components(reduce(DataFrame.unionAll, links))
 
     best = cut_lineage(likely.groupBy("b").agg(F.max_by("a", F.struct("keys", -F.col("a"))).alias("a")).select("a", "b"))
