@@ -50,7 +50,8 @@ def cut_lineage(df: DataFrame, few_files: bool = False) -> DataFrame:
     # a union that keeps its inputs' partitioning fails where Spark merges their partitions differently at run time
     spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     path = f"{shared_folder(spark)}/strandline-{uuid.uuid4().hex}"
-    (df.hint("rebalance") if few_files else df).write.option("compression", "zstd").parquet(path)
+    out = (df.hint("rebalance") if few_files else df).write.option("compression", "zstd")
+    out.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     folder, store = _store(spark, path)
     store.deleteOnExit(folder)
     out = spark.read.schema(df.schema).parquet(path)
