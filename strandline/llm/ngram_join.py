@@ -21,8 +21,8 @@ segments; a similar pair differs little in most of them.
 
 Equal sets are one: only the smallest doc_id of each is indexed. Keys cross the shuffle packed, a few bytes
 each. Sets that share a key meet the smallest id there first (a star, so the pairs grow with the keys and
-not with their square). Parity sketches of ``SKETCH`` bits rule out what cannot be similar, the rest is
-verified exactly: first every set against the partner with which it shares the most keys, then those still
+not with their square). Parity sketches, of ``SKETCH`` bits and then of some bits for each token, rule out
+what cannot be similar, the rest is verified exactly: first every set against the partner with which it shares the most keys, then those still
 in different components. Where a key's members are in different components after that, they are held
 against another of them, chosen by hash, ROUNDS times. What is then still apart is compared where sizes and
 sketches allow a link; pairs in one component need no comparison. So no link between two components is lost.
@@ -128,8 +128,12 @@ def _suffices(s: Scheme, size: int, percent: int) -> bool:
     return m * (1 - empty + s.ones / 8 * several) - spread * (1 + s.ones / 8) >= int(s.target(np.array([size]), percent)[0])
 
 
-def set_hashes(tokens: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Two 64-bit hashes and the parity sketch (SKETCH / 64 words a row) of each set."""
+def set_hashes(tokens: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """Two 64-bit hashes, the parity sketch (SKETCH / 64 words a row) and the deep sketch of each set.
+
+    The deep one has two to four bits for each token (256 at least), a power of two of them, so that of the
+    longer of two sketches the halves, added, are comparable to the shorter.
+    """
     n = len(at) - 1
     out = np.zeros((2, n), np.uint64)
     some = np.flatnonzero(np.diff(at))
@@ -140,7 +144,15 @@ def set_hashes(tokens: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarr
     bit = np.repeat(np.arange(n), np.diff(at)) * SKETCH + (tokens & np.uint64(SKETCH - 1)).astype(np.int64)
     odd = (np.bincount(bit, minlength=n * SKETCH) & 1).astype(bool)
     sketch = np.packbits(odd.reshape(n, SKETCH), axis=1, bitorder="little").view(np.uint64)
-    return out[0].view(np.int64), out[1].view(np.int64), sketch.view(np.int64)
+    sizes = np.diff(at)
+    words = np.maximum(4, 1 << np.ceil(np.log2(np.maximum(sizes, 1) / 32)).clip(0).astype(np.int64))
+    begin = np.cumsum(words) - words
+    owner = np.repeat(np.arange(n), sizes)
+    place = (tokens & (64 * words[owner] - 1).astype(np.uint64)).astype(np.int64)
+    odd = (np.bincount(64 * begin[owner] + place, minlength=64 * int(words.sum())) & 1).astype(bool)
+    deep = np.packbits(odd, bitorder="little").view(np.int64) if n else np.zeros(0, np.int64)
+    lists = pa.ListArray.from_arrays(pa.array(np.append(begin, words.sum()).astype(np.int32)), pa.array(deep))
+    return out[0].view(np.int64), out[1].view(np.int64), sketch.view(np.int64), lists
 
 
 def token_sets(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -204,18 +216,18 @@ _WORDS = [f"s{i}" for i in range(SKETCH // 64)]
 
 
 def profile(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n (set size), h1, h2 (hashes of the set) and its sketch's words of every document."""
+    """doc_id, n (set size), h1, h2 (hashes of the set), its sketch's words and its deep sketch of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, tokens, at in token_sets(batch.column("text"), k):
-                h1, h2, sketch = set_hashes(tokens, at)
+                h1, h2, sketch, deep = set_hashes(tokens, at)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(first, len(at) - 1), *map(pa.array, (np.diff(at), h1, h2, *sketch.T.copy()))],
-                    ["doc_id", "n", "h1", "h2", *_WORDS],
+                    [batch.column("doc_id").slice(first, len(at) - 1), *map(pa.array, (np.diff(at), h1, h2, *sketch.T.copy())), deep],
+                    ["doc_id", "n", "h1", "h2", *_WORDS, "deep"],
                 )
 
-    return docs.mapInArrow(lambda b: trimmed(run(b)), "doc_id long, n long, h1 long, h2 long, " + ", ".join(f"{w} long" for w in _WORDS))
+    return docs.mapInArrow(lambda b: trimmed(run(b)), "doc_id long, n long, h1 long, h2 long, " + ", ".join(f"{w} long" for w in _WORDS) + ", deep array<bigint>")
 
 
 def planes(x: np.ndarray, width: int) -> bytes:
@@ -373,9 +385,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     # what a set's sizes and sketch allow; a doc_id with several texts has several
     firsts = only_reps.select("doc_id", "n").distinct()
-    sketches = cut_lineage(about.where("n > 0").join(firsts, ["doc_id", "n"], "left_semi").select(F.col("doc_id").alias("id"), "n", *_WORDS).distinct())
+    sketches = cut_lineage(about.where("n > 0").join(firsts, ["doc_id", "n"], "left_semi").select(F.col("doc_id").alias("id"), "n", *_WORDS, "deep").dropDuplicates(["id", "n", *_WORDS]))
     pairs = cut_lineage(met.groupBy("lead", "doc").agg(F.count(F.lit(1)).alias("keys")).select(F.col("lead").alias("a"), F.col("doc").alias("b"), "keys"))
-    likely = cut_lineage(_likely(pairs, sketches, percent))
+    likely = _deeper(cut_lineage(_likely(pairs, sketches, percent)), sketches, percent)
 
     # documents with texts of several classes join these
     several = rep.groupBy("doc_id").agg(F.count_distinct("rep").alias("reps")).where("reps > 1").select("doc_id")
@@ -421,6 +433,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         if salt is not None:
             new = cut_lineage(_likely(new, sketches, percent).select("a", "b"))
         seen = seen.unionAll(new)
+        new = _deeper(new, sketches, percent)
         old, found = found, link(new)
         release(old, groups)
     release(members, *links)
@@ -450,6 +463,19 @@ def _likely(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     return both.where(_fits(percent)).select(*pairs.columns).distinct()
 
 
+def _deeper(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Written pairs (a, b, ...) that deep sketches don't rule out either, written."""
+    side = lambda column, mark: sketches.select(F.col("id").alias(column), F.col("n").alias(f"{mark}n"), F.col("deep").alias(f"{mark}d"))
+    both = small(pairs).join(side("a", "x"), "a").join(side("b", "y"), "b")
+    half = lambda c: F.floor(F.size(c) / 2).cast("int")
+    folded = lambda c: F.zip_with(F.slice(c, F.lit(1), half(c)), F.slice(c, half(c) + 1, half(c)), lambda p, q: p.bitwiseXOR(q))
+    alike = lambda p, q: F.aggregate(F.zip_with(p, q, lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda s, z: s + z)
+    x, y = F.size("xd"), F.size("yd")
+    differ = F.when(x == y, alike(F.col("xd"), F.col("yd"))).when(x == 2 * y, alike(folded("xd"), F.col("yd"))).when(y == 2 * x, alike(F.col("xd"), folded("yd"))).otherwise(0)
+    fits = differ * (100 + percent) <= (F.col("xn") + F.col("yn")) * (100 - percent)
+    return cut_lineage(both.where(fits).select(*pairs.columns).distinct())
+
+
 def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
     """Pairs in different components."""
     found = small(found)
