@@ -17,9 +17,9 @@ from .common import arrow_limits, as_text, only, table, trimmed
 
 SPACE = "▁"
 #: Units whose ids one worker remembers; beyond it the memory starts anew, so a worker's size is bounded.
-CACHE_UNITS = 400_000
-#: Distinct units that are encoded together at most.
-PART_UNITS = 50_000
+CACHE_UNITS = 250_000
+#: Distinct units that are encoded together at most, and characters of texts that are cut into units at a time.
+PART_UNITS, PART_CHARS = 50_000, 1 << 20
 
 
 class Unsupported(ValueError):
@@ -339,6 +339,15 @@ class Encoder:
 
     def batch(self, texts: list[str]) -> Iterator[tuple[str, bytes]]:
         """Of each text, its ids joined by commas and the bytes that they decode to."""
+        begin = size = 0
+        for i, text in enumerate(texts):
+            size += len(text)
+            if size > PART_CHARS:
+                yield from self.some(texts[begin : i + 1])
+                begin, size = i + 1, 0
+        yield from self.some(texts[begin:])
+
+    def some(self, texts: list[str]) -> Iterator[tuple[str, bytes]]:
         cut = [self.units(t) for t in texts]
         distinct: set[str] = set()
         for units in cut:
