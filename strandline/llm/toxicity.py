@@ -10,11 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _LOWER, arrow_limits, blocks, only, prefix_hash, span_hash, table, trimmed, words
+from .common import _LOWER, arrow_limits, blocks, only, prefix_hash, span_hash, table, trim_memory, trimmed, words
 
 #: Labelled documents that the chain is fitted on at most (in expectation), word buckets, and how many of
 #: them a category's model uses. The model's size and the rows sent to the driver follow from these alone.
 FIT_ROWS, BUCKET_BITS, SELECTED = 8_000, 20, 128
+#: A bucket counts so often in a document at most, in fitting and predicting alike.
+MOST = 32_767
 #: Pairs of documents and buckets that are counted at a time.
 COUNT_PAIRS = 1 << 20
 #: Lengths in bytes of the word beginnings that count as features of their own.
@@ -48,6 +50,7 @@ def buckets(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.
             np.concatenate(owners) << BUCKET_BITS | (np.concatenate(hashes) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64),
             return_counts=True,
         )
+        counts = np.minimum(counts, MOST)
         size = np.diff(offsets)
         share = lambda mask: np.diff(np.concatenate([[0], np.cumsum(mask)])[offsets]) / np.maximum(size, 1)  # noqa: E731, B023
         dense = np.stack(
@@ -110,23 +113,25 @@ def selections(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, fold: np.ndarr
 
     All pairs are counted, in parts, so that no copy of them is needed to choose from the whole vocabulary.
     """
-    size = 1 << BUCKET_BITS
-    counts = np.zeros((folds, 1 + y.shape[1], size), np.min_scalar_type(len(y)))  # of all documents, then of each category's
-    for at in range(0, len(rows), COUNT_PAIRS):
-        r, c = rows[at : at + COUNT_PAIRS], cols[at : at + COUNT_PAIRS]
-        for f in range(folds):
-            own, inside = r[fold[r] == f], c[fold[r] == f]
-            counts[f, 0] += np.bincount(inside, minlength=size).astype(counts.dtype)
-            for k in range(y.shape[1]):
-                counts[f, 1 + k] += np.bincount(inside[y[own, k] > 0], minlength=size).astype(counts.dtype)
+    size, kind = 1 << BUCKET_BITS, np.min_scalar_type(len(y))
+
+    def counted(of: np.ndarray) -> np.ndarray:
+        """By fold, how many of the documents marked in ``of`` have each bucket."""
+        counts = np.zeros((folds, size), kind)
+        for at in range(0, len(rows), COUNT_PAIRS):
+            r, c = rows[at : at + COUNT_PAIRS], cols[at : at + COUNT_PAIRS]
+            for f in range(folds):
+                counts[f] += np.bincount(c[(fold[r] == f) & of[r]], minlength=size).astype(kind)
+        return counts
+
+    every = counted(np.ones(len(y), bool))
+    all_of = every.sum(axis=0, dtype=np.int32)
     out = []
     for k in range(y.shape[1]):
-        every, positive = counts[:, 0].sum(axis=0, dtype=np.int32), counts[:, 1 + k].sum(axis=0, dtype=np.int32)
-        parts = [
-            best_buckets(positive - counts[f, 1 + k], every - counts[f, 0], y[fold != f, k].sum(), (fold != f).sum())
-            for f in range(folds)
-        ]
-        out.append([*parts, best_buckets(positive, every, y[:, k].sum(), len(y))])
+        own = counted(y[:, k] > 0)
+        positive = own.sum(axis=0, dtype=np.int32)
+        parts = [best_buckets(positive - own[f], all_of - every[f], y[fold != f, k].sum(), (fold != f).sum()) for f in range(folds)]
+        out.append([*parts, best_buckets(positive, all_of, y[:, k].sum(), len(y))])
     return out
 
 
@@ -188,15 +193,16 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str] = CATEGOR
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": ids[first : first + len(dense)],
                     "cols": pa.array([cols[a:b] for a, b in zip(cut, cut[1:])], pa.list_(pa.int32())),
-                    "counts": pa.array([values[a:b] for a, b in zip(cut, cut[1:])], pa.list_(pa.int32())),
+                    "counts": pa.array([values[a:b] for a, b in zip(cut, cut[1:])], pa.list_(pa.int16())),
                     "dense": pa.array(list(dense), pa.list_(pa.float64())),
                     "y": pa.array(list(y[first : first + len(dense)]), pa.list_(pa.float64())),
                 })
 
     # ``some`` has about fit_rows rows of four numbers, whatever the input's size
     chosen = docs.where("text IS NOT NULL").join(F.broadcast(some), "doc_id").mapInArrow(
-        run, "doc_id long, cols array<int>, counts array<int>, dense array<double>, y array<double>"
+        run, "doc_id long, cols array<int>, counts array<smallint>, dense array<double>, y array<double>"
     )
+    trim_memory()
     got = chosen.orderBy("doc_id").toArrow()
     if got.num_rows == 0:
         return None
@@ -204,8 +210,11 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str] = CATEGOR
     lists = got.column("cols").combine_chunks()
     cols, counts = lists.values.to_numpy(), got.column("counts").combine_chunks().values.to_numpy()
     rows = np.repeat(np.arange(got.num_rows, dtype=np.int32), np.diff(lists.offsets.to_numpy()))
-    del got
-    return Chain(rows, cols, counts, dense, y)
+    del got, lists
+    out = Chain(rows, cols, counts, dense, y)
+    del rows, cols, counts
+    trim_memory()
+    return out
 
 
 def probabilities(column: pa.Array, chain: Chain | None, n: int) -> np.ndarray:
