@@ -423,17 +423,20 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
             break
         if salt is None:
             named = cut_lineage(named.join(small(groups.select("key")), "key", "left_semi"))
-            mine, other = (named.join(_named(sketches, "id", mark), "id") for mark in "xy")
+            # the deep sketches are compared here already: the short ones say nothing of sets with far more tokens than bits
+            mine, other = (named.join(_named(sketches, "id", mark, deep=True), "id") for mark in "xy")
             other = other.withColumnsRenamed({"id": "o_id", "c": "o_c"})
-            met_again = mine.join(other, "key").where((F.col("id") < F.col("o_id")) & (F.col("c") != F.col("o_c")) & _fits(percent))
+            met_again = mine.join(other, "key").where(
+                (F.col("id") < F.col("o_id")) & (F.col("c") != F.col("o_c")) & _fits(percent) & _fits_deep(percent)
+            )
         else:
             met_again = named.join(small(groups), "key").where("c <> o_c")
-        new = met_again.select(F.least("id", "o_id").alias("a"), F.greatest("id", "o_id").alias("b")).distinct()
+        # written once each: else Spark looks a pair up in ``seen`` for every key that it shares
+        new = cut_lineage(met_again.select(F.least("id", "o_id").alias("a"), F.greatest("id", "o_id").alias("b")).distinct())
         new = cut_lineage(new.join(small(seen), ["a", "b"], "left_anti"))
         if salt is not None:
-            new = cut_lineage(_likely(new, sketches, percent).select("a", "b"))
+            new = _deeper(cut_lineage(_likely(new, sketches, percent).select("a", "b")), sketches, percent)
         seen = seen.unionAll(new)
-        new = _deeper(new, sketches, percent)
         old, found = found, link(new)
         release(old, groups)
     release(members, *links)
@@ -445,8 +448,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     )
 
 
-def _named(sketches: DataFrame, column: str, mark: str) -> DataFrame:
-    return sketches.select(F.col("id").alias(column), *(F.col(c).alias(f"{mark}{c}") for c in ("n", *_WORDS)))
+def _named(sketches: DataFrame, column: str, mark: str, deep: bool = False) -> DataFrame:
+    """The sketches of documents called ``column``, with marked names."""
+    deeper = [F.col("deep").alias(f"{mark}d")] if deep else []
+    return sketches.select(F.col("id").alias(column), *(F.col(c).alias(f"{mark}{c}") for c in ("n", *_WORDS)), *deeper)
 
 
 def _fits(percent: int) -> Column:
@@ -463,17 +468,21 @@ def _likely(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     return both.where(_fits(percent)).select(*pairs.columns).distinct()
 
 
-def _deeper(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Written pairs (a, b, ...) that deep sketches don't rule out either, written."""
-    side = lambda column, mark: sketches.select(F.col("id").alias(column), F.col("n").alias(f"{mark}n"), F.col("deep").alias(f"{mark}d"))
-    both = small(pairs).join(side("a", "x"), "a").join(side("b", "y"), "b")
+def _fits_deep(percent: int) -> Column:
+    """Deep sketches don't rule the similarity out."""
     half = lambda c: F.floor(F.size(c) / 2).cast("int")
     folded = lambda c: F.zip_with(F.slice(c, F.lit(1), half(c)), F.slice(c, half(c) + 1, half(c)), lambda p, q: p.bitwiseXOR(q))
     alike = lambda p, q: F.aggregate(F.zip_with(p, q, lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda s, z: s + z)
     x, y = F.size("xd"), F.size("yd")
     differ = F.when(x == y, alike(F.col("xd"), F.col("yd"))).when(x == 2 * y, alike(folded("xd"), F.col("yd"))).when(y == 2 * x, alike(F.col("xd"), folded("yd"))).otherwise(0)
-    fits = differ * (100 + percent) <= (F.col("xn") + F.col("yn")) * (100 - percent)
-    return cut_lineage(both.where(fits).select(*pairs.columns).distinct())
+    return differ * (100 + percent) <= (F.col("xn") + F.col("yn")) * (100 - percent)
+
+
+def _deeper(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Written pairs (a, b, ...) that deep sketches don't rule out either, written."""
+    side = lambda column, mark: sketches.select(F.col("id").alias(column), F.col("n").alias(f"{mark}n"), F.col("deep").alias(f"{mark}d"))
+    both = small(pairs).join(side("a", "x"), "a").join(side("b", "y"), "b")
+    return cut_lineage(both.where(_fits_deep(percent)).select(*pairs.columns).distinct())
 
 
 def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:

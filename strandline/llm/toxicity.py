@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from .common import _LOWER, arrow_limits, blocks, only, prefix_hash, span_hash, table, trim_memory, trimmed, words
 
 #: Labelled documents that the chain is fitted on at most (in expectation), word buckets, and how many of
-#: them a category's model uses. The model's size and the rows sent to the driver follow from these alone.
+#: them a category's model uses. The model's size and the rows of the task that fits follow from these alone.
 FIT_ROWS, BUCKET_BITS, SELECTED = 8_000, 20, 128
 #: A bucket counts so often in a document at most, in fitting and predicting alike.
 MOST = 32_767
@@ -174,8 +175,8 @@ class Chain:
 def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str] = CATEGORIES, fit_rows: int = FIT_ROWS) -> Chain | None:
     """Fit on about ``fit_rows`` labelled documents, chosen by a hash of doc_id; None without any.
 
-    A document labelled twice counts once, with the largest value of each category. Only buckets and
-    labels of those documents come to the driver.
+    A document labelled twice counts once, with the largest value of each category. Buckets and labels of
+    those documents go to one task, which fits; only the fitted chain comes to the driver.
     """
     each = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(
         *(F.max(F.coalesce(F.expr(c), F.lit(False)).cast("double")).alias(name) for name, c in categories.items())
@@ -202,19 +203,27 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str] = CATEGOR
     chosen = docs.where("text IS NOT NULL").join(F.broadcast(some), "doc_id").mapInArrow(
         run, "doc_id long, cols array<int>, counts array<smallint>, dense array<double>, y array<double>"
     )
-    trim_memory()
-    got = chosen.orderBy("doc_id").toArrow()
-    if got.num_rows == 0:
-        return None
+    # one task fits, as it is small for executors but not for the driver; only the chain's few weights come here
+    got = chosen.repartition(1).sortWithinPartitions("doc_id").mapInArrow(fitted, "chain binary").collect()
+    return pickle.loads(got[0]["chain"]) if got else None
+
+
+def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The chain, pickled, that all rows (cols, counts, dense, y) of ``batches`` give; nothing without any."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    got = pa.Table.from_batches(held)
+    del held
     dense, y = (np.array(got.column(c).to_pylist()) for c in ("dense", "y"))
     lists = got.column("cols").combine_chunks()
     cols, counts = lists.values.to_numpy(), got.column("counts").combine_chunks().values.to_numpy()
     rows = np.repeat(np.arange(got.num_rows, dtype=np.int32), np.diff(lists.offsets.to_numpy()))
     del got, lists
-    out = Chain(rows, cols, counts, dense, y)
+    chain = Chain(rows, cols, counts, dense, y)
     del rows, cols, counts
+    yield pa.RecordBatch.from_pydict({"chain": pa.array([pickle.dumps(chain)], pa.binary())})
     trim_memory()
-    return out
 
 
 def probabilities(column: pa.Array, chain: Chain | None, n: int) -> np.ndarray:

@@ -121,6 +121,19 @@ def test_toxicity(spark, frame):
     assert toxicity.score(two(frame([])), chain).count() == 0
 
 
+def test_toxicity_is_fitted_by_a_task(spark, frame, monkeypatch):
+    """The pairs of the fitting sample aren't gathered in the driver."""
+
+    def refused(*_):
+        raise AssertionError("fitted in the driver")
+
+    monkeypatch.setattr(toxicity.Chain, "__init__", refused)
+    rows = [(i, "vile words here" if i % 2 else "kind words there") for i in range(60)]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i, _ in rows], "doc_id long, quality int, toxic int")
+    chain = toxicity.fit(two(frame(rows)), labels)
+    assert {r.doc_id: r.toxic for r in toxicity.score(two(frame(rows)), chain).collect()} == {i: i % 2 == 1 for i, _ in rows}
+
+
 def test_toxicity_of_rare_words(spark, frame):
     arrow_limits(spark)
     rng = random.Random(8)

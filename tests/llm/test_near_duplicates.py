@@ -88,6 +88,28 @@ def test_every_allocation_finds_every_pair(ones, load):
             assert keys[a] & keys[b], (len(sets[a]), len(sets[b]))
 
 
+def test_long_texts_with_a_passage_in_common_make_few_pairs(spark, frame, monkeypatch):
+    """Of sets with more tokens than a short sketch has bits, the comparison within keys passes on no pairs that are far apart."""
+    arrow_limits(spark)
+    monkeypatch.setattr(ngram_join, "ROUNDS", 0)
+    rng = random.Random(5)
+    passage = " ".join(f"p{i}" for i in range(700))
+    rows = [(i, passage + " " + " ".join(f"w{rng.getrandbits(60)}" for _ in range(1000))) for i in range(60)]
+    rows += [(100 + i, rows[i][1] + " end") for i in range(3)]
+    made, write = [], ngram_join.cut_lineage
+
+    def counted(df, **more):
+        out = write(df, **more)
+        if out.columns == ["a", "b"]:
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "cut_lineage", counted)
+    found = ngram_join.near_duplicates(only(frame(rows), doc_id="long", text="string"), 5, 80).collect()
+    assert {r[0]: r[2] for r in found} == {i: i % 100 for i, _ in rows}
+    assert 0 < max(made) < 4 * len(rows), made
+
+
 def test_packed_numbers_come_back():
     rng = np.random.default_rng(1)
     for width in (1, 3, 5, 8):
